@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadflow.plans.lineage import cut, shared_dir
+
+__all__ = ["cut", "held_out", "lower_ascii", "may_contain", "membership", "shared_dir", "table", "unique_labels"]
+
 #: ASCII white space that separates words; everything else belongs to a word.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
@@ -19,22 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "checkpoints", "leadflow")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: ends the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

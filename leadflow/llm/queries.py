@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.llm.common import table
+from leadflow.llm.ngram_join import ngram_join
 from leadflow.llm.quality_mil import quality_mil
 from leadflow.llm.quality_rules import quality_rules
 from leadflow.llm.secrets import secrets
@@ -26,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,5 +40,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_url_filter, op4_toxicity, op5_quality_rules, op9_quality_mil, op10_secrets)
+    own = (op3_url_filter, op4_toxicity, op5_quality_rules, op8_ngram_join, op9_quality_mil, op10_secrets)
     return {f.__name__: f for f in own}
