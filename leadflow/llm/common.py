@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadflow.plans.lineage import cut, shared_dir
 
-__all__ = ["cut", "held_out", "lower_ascii", "may_contain", "membership", "shared_dir", "table", "unique_labels"]
+__all__ = ["cut", "filter_text", "from_text", "held_out", "lower_ascii", "may_contain", "membership", "shared_dir", "table", "unique_labels"]
 
 #: ASCII white space that separates words; everything else belongs to a word.
 SPACE = "\\x20\\x09-\\x0D"
@@ -54,3 +58,38 @@ def may_contain(df: DataFrame, id_col: str, bitmap: DataFrame, name: str = "_may
     out = out.join(F.broadcast(bitmap), "_word", "left")
     hit = F.coalesce(F.expr("shiftright(_bits, _shift) & 1"), F.lit(0)) == 1
     return out.withColumn(name, hit).drop("_word", "_shift", "_bits")
+
+
+#: Arrow types of what functions of texts return.
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32())}
+
+
+def from_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], dict[str, Sequence]]], fields: dict[str, str]) -> DataFrame:
+    """df without its column `text`, with columns that a function of the texts returns; rows are neither added nor lost.
+
+    make() runs once a task and gives the function; fields has the new columns' types, keys of _ARROW. Other columns
+    pass as Arrow arrays, so ids keep all their bits and nulls stay null.
+    """
+    kept = [c for c in df.columns if c != text]
+    schema = T.StructType([*(df.schema[c] for c in kept), *T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items())).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            got = f(b.column(b.schema.get_field_index(text)).to_pylist())
+            new = [pa.array(got[k], _ARROW[v], from_pandas=False) for k, v in fields.items()]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *new], [*kept, *fields])
+
+    return df.mapInArrow(run, schema)
+
+
+def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], Sequence[bool]]]) -> DataFrame:
+    """The rows of df whose text the function keeps, with all their columns."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            yield b.filter(pa.array(f(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -13,15 +13,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import held_out, unique_labels
+from leadflow.llm.common import from_text, held_out, unique_labels
 
 WORDS = re.compile(r"[^ \t-\r]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -116,13 +115,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
     known = unique_labels(labels, "quality").where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(params.seed)), "doc_id").limit(params.max_rows)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"_y": b["_y"], "x": [document_passages(t).ravel() for t in b["text"]]})
+    def encode() -> Callable[[list[str | None]], dict]:
+        return lambda texts: {"x": [document_passages(t).ravel() for t in texts]}
 
     # max_rows bounds the id list, so it may be broadcast to the scan
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = sample.mapInPandas(encode, "_y int, x array<float>").toPandas()
+    got = from_text(sample.select("_y", "text"), "text", encode, {"x": "array<float>"}).toPandas()
     y = got["_y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
@@ -133,20 +131,22 @@ def quality_mil(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
     """A row for each row of docs: doc_id, held_out, score, predicted, n_passages and the largest attention weight."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, params))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score() -> Callable[[list[str | None]], dict]:
         m = shared.value
-        for b in batches:
-            bags = [document_passages(t) for t in b["text"]]
-            out = pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "n_passages": [len(x) for x in bags]})
-            if isinstance(m, float):
-                yield out.assign(score=m, top_weight=1.0)
-            elif bags:
-                bag = np.repeat(np.arange(len(bags)), out["n_passages"])
-                f = forward(m, np.concatenate(bags), bag, len(bags))
-                top = np.zeros(len(bags))
-                np.maximum.at(top, bag, f["a"])
-                yield out.assign(score=f["p"], top_weight=top)
+
+        def run(texts: list[str | None]) -> dict:
+            bags = [document_passages(t) for t in texts]
+            n = [len(x) for x in bags]
+            if isinstance(m, float) or not bags:
+                return {"n_passages": n, "score": [m if isinstance(m, float) else 0.5] * len(n), "top_weight": [1.0] * len(n)}
+            bag = np.repeat(np.arange(len(bags)), n)
+            f = forward(m, np.concatenate(bags), bag, len(bags))
+            top = np.zeros(len(bags))
+            np.maximum.at(top, bag, f["a"])
+            return {"n_passages": n, "score": f["p"], "top_weight": top}
+
+        return run
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = rows.mapInPandas(score, "doc_id long, held_out boolean, n_passages long, score double, top_weight double")
+    scored = from_text(rows, "text", score, {"n_passages": "long", "score": "double", "top_weight": "double"})
     return scored.withColumn("predicted", (F.col("score") >= params.threshold).cast("int"))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.llm.common import table
+from leadflow.llm.mixing import schedule
 from leadflow.llm.ngram_join import ngram_join
+from leadflow.llm.packing import best_fit_packing
+from leadflow.llm.pii import pii
 from leadflow.llm.quality_mil import quality_mil
 from leadflow.llm.quality_rules import quality_rules
 from leadflow.llm.secrets import secrets
@@ -15,6 +18,14 @@ from leadflow.llm.toxicity import toxicity
 from leadflow.llm.url_filter import url_filter
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -27,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -40,5 +55,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_url_filter, op4_toxicity, op5_quality_rules, op8_ngram_join, op9_quality_mil, op10_secrets)
+    own = (op1_best_fit_packing, op2_mixing, op3_url_filter, op4_toxicity, op5_quality_rules, op6_pii, op8_ngram_join, op9_quality_mil, op10_secrets)
     return {f.__name__: f for f in own}

@@ -12,7 +12,7 @@ Extra columns are ignored by the scorer.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import held_out, unique_labels
+from leadflow.llm.common import filter_text, from_text, held_out, unique_labels
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -132,12 +132,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     index = {r[0]: i for i, r in enumerate(vocabulary.collect())}
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode() -> Callable[[list[str | None]], dict]:
         look = Lookup(shared.value)
-        for b in batches:
-            yield pd.DataFrame({"_p": b["_p"].astype("int32"), "ids": [look(x).tolist() for x in b["text"]]})
+        return lambda texts: {"ids": [look(x) for x in texts]}
 
-    got = sample.mapInPandas(encode, "_p int, ids array<int>").toPandas()
+    got = from_text(sample, "text", encode, {"ids": "array<long>"}).toPandas()
     rows = [np.asarray(x, np.int64) for x in got["ids"]]
     positive = [r for r, p in zip(rows, got["_p"], strict=True) if p]
     unlabelled = [r for r, p in zip(rows, got["_p"], strict=True) if not p]
@@ -146,19 +145,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     return index, *fit_nnpu(positive, unlabelled, len(index), prior, params)
 
 
+def _scores(model: tuple[dict[str, int], np.ndarray, float]) -> Callable[[list[str | None]], np.ndarray]:
+    index, w, b = model
+    look = Lookup(index)
+    return lambda texts: 1 / (1 + np.exp(-np.clip([w[look(t)].sum() + b for t in texts], -30, 30)))
+
+
 def score_toxicity(docs: DataFrame, model: tuple[dict[str, int], np.ndarray, float], params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """docs' doc_id with held_out, score and predicted, a row for each row of docs."""
-    index, w, b = model
-    shared = docs.sparkSession.sparkContext.broadcast(({f: i for f, i in index.items() if w[i]}, w, b))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, w, b = shared.value
-        look = Lookup(index)
-        for x in batches:
-            z = np.array([w[look(t)].sum() + b for t in x["text"]], dtype=float)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "held_out": x["held_out"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+    def score() -> Callable[[list[str | None]], dict]:
+        f = _scores(shared.value)
+        return lambda texts: {"score": f(texts)}
 
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(score, "doc_id long, held_out boolean, score double")
+    scored = from_text(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), "text", score, {"score": "double"})
     return scored.withColumn("predicted", (F.col("score") >= params.threshold).cast("int"))
 
 
@@ -168,14 +169,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """docs without the rows that the model rejects, in their own columns; the text is scored in the scan, nothing is shuffled."""
-    index, w, b = fit_toxicity(docs, labels, params)
-    shared, columns, cut_at = docs.sparkSession.sparkContext.broadcast((index, w, b)), docs.columns, params.threshold
+    shared, most = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, params)), params.threshold
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, w, b = shared.value
-        look = Lookup(index)
-        for x in batches:
-            z = np.array([w[look(t)].sum() + b for t in x["text"]], dtype=float)
-            yield x.loc[1 / (1 + np.exp(-np.clip(z, -30, 30))) < cut_at, columns]
+    def keep() -> Callable[[list[str | None]], np.ndarray]:
+        f = _scores(shared.value)
+        return lambda texts: f(texts) < most
 
-    return docs.mapInPandas(keep, docs.schema)
+    return filter_text(docs, "text", keep)
