@@ -14,6 +14,7 @@ from leadflow.llm.pii import pii
 from leadflow.llm.quality_mil import quality_mil
 from leadflow.llm.quality_rules import quality_rules
 from leadflow.llm.secrets import secrets
+from leadflow.llm.topk import top_k
 from leadflow.llm.toxicity import toxicity
 from leadflow.llm.url_filter import url_filter
 
@@ -42,6 +43,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -55,5 +61,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_mixing, op3_url_filter, op4_toxicity, op5_quality_rules, op6_pii, op8_ngram_join, op9_quality_mil, op10_secrets)
+    own = (op1_best_fit_packing, op2_mixing, op3_url_filter, op4_toxicity, op5_quality_rules, op6_pii, op7_top_k, op8_ngram_join, op9_quality_mil, op10_secrets)
     return {f.__name__: f for f in own}
