@@ -63,13 +63,13 @@ def mention_weight(text: Column, at: Column, length: Column) -> Column:
 def detect_cities(texts: DataFrame, key: str, text: str, roots: DataFrame, exclude: str | None = None) -> DataFrame:
     """(key, city) of the heaviest mention in each text, longer roots first among equals; texts without one are left out. X22.
 
-    Texts meet roots by equal first five letters of a word, never root by root: each word's beginning is a join key.
+    Texts meet roots by equal first four letters of a word (the shortest root), never root by root: each word's beginning is a join key.
     """
     low = F.lower(F.col(text))
     cols = [F.col(key), low.alias("_t")] + ([F.col(exclude).alias("_x")] if exclude else [F.lit(None).cast("string").alias("_x")])
     base = texts.where(F.col(text).isNotNull()).select(*cols)
-    keyed = base.withColumn("_k", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(r"(\p{L}[\p{L}-]{4,})"), F.lit(1)), lambda w: F.substring(w, 1, 5)))))
-    r = roots.withColumn("_k", F.substring("root", 1, 5))
+    keyed = base.withColumn("_k", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(r"(\p{L}[\p{L}-]{3,})"), F.lit(1)), lambda w: F.substring(w, 1, 4)))))
+    r = roots.withColumn("_k", F.substring("root", 1, 4))
     hits = keyed.join(r, "_k").where(F.col("_t").contains(F.col("root")) & ~F.coalesce(F.col("city") == F.col("_x"), F.lit(False)))
     gaps = F.transform(F.filter(F.sequence(F.lit(1), F.length("_t") - F.length("root") + 1), lambda i: F.substr(F.col("_t"), i, F.length("root")) == F.col("root")), lambda i: mention_weight(F.col("_t"), i, F.length("root")))
     weighed = hits.withColumn("_w", F.array_max(gaps)).where("_w > 0")

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from leadflow.functions.emails import extract_emails
 from leadflow.functions.phones import DEFAULT, PhoneRules, extract_phones
@@ -167,7 +168,7 @@ def plain_text(html: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     """Entities and broken markup need a parser; every other page function stays a column expression."""
     return html.map(plain_text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from leadflow.functions.values import AGGREGATOR_NAMES, LEGAL_FORMS, SEO_PHRASES, TRANSLITERATION
 
@@ -105,7 +106,7 @@ def token_sort_similarity(a: str, b: str) -> float:
     return 200.0 * _common_subsequence(x, y) / (len(x) + len(y)) if x and y else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two lower-cased, trimmed names; null names count as empty."""
     return pd.Series([token_sort_similarity((x or "").lower().strip(), (y or "").lower().strip()) for x, y in zip(a, b, strict=True)])

@@ -57,7 +57,7 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
 
 def line_signals(spark: SparkSession, d: str, least: int = 40) -> DataFrame:
     """doc_id and each distinct trimmed line of `least` characters or more."""
-    line = F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("signal")
+    line = F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("signal")
     return table(spark, d, "documents").select("doc_id", line).where(F.length("signal") >= least)
 
 

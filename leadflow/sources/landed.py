@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leadflow.functions.phones import DEFAULT, PhoneRules, normalize_phones
 from leadflow.functions.urls import classify_messenger, extract_domain
@@ -30,7 +30,7 @@ def directory_listings(pages: DataFrame, html: str = "html", source: str = "dire
     none = F.array().cast("array<string>")
     rows = items.select(
         F.lit(source).alias("source"), F.col("i.url").alias("source_url"), F.trim("i.name").alias("name"),
-        F.when(F.col("i.telephone").isNotNull(), F.transform(F.split("i.telephone", "[,;]"), F.trim)).otherwise(none).alias("phones"), F.col("i.address.streetAddress").alias("address"),
+        F.when(F.col("i.telephone").isNotNull(), F.transform(F.split("i.telephone", "[,;]"), lambda x: F.trim(x))).otherwise(none).alias("phones"), F.col("i.address.streetAddress").alias("address"),
         F.get("i.sameAs", F.lit(0)).alias("website"), F.when(F.col("i.email").isNotNull(), F.array(F.lower(F.trim("i.email")))).otherwise(none).alias("emails"),
         F.col("i.geo.latitude").try_cast("double").alias("lat"), F.col("i.geo.longitude").try_cast("double").alias("lon"), F.col("i.address.addressLocality").alias("city"),
     )
@@ -96,7 +96,7 @@ def mail_parts(raw: pd.Series) -> pd.DataFrame:
 
 
 #: MIME needs a parser: Arrow batches of raw messages in, structs out. SRC16, X39.
-parse_mail = F.pandas_udf(mail_parts, "sender string, recipient string, subject string, body string")
+parse_mail = F.pandas_udf(mail_parts, StructType([StructField(c, StringType()) for c in ("sender", "recipient", "subject", "body")]))
 
 
 def read_mail(spark: SparkSession, path: str) -> DataFrame:
