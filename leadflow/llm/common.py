@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from leadflow.plans.lineage import cut, shared_dir
 
-__all__ = ["cut", "filter_text", "from_text", "held_out", "lower_ascii", "may_contain", "membership", "shared_dir", "table", "unique_labels"]
+__all__ = ["cut", "filter_text", "from_text", "held_out", "in_arrow", "lower_ascii", "may_contain", "membership", "pieces", "shared_dir", "table", "unique_labels"]
 
 #: ASCII white space that separates words; everything else belongs to a word.
 SPACE = "\\x20\\x09-\\x0D"
@@ -61,7 +61,29 @@ def may_contain(df: DataFrame, id_col: str, bitmap: DataFrame, name: str = "_may
 
 
 #: Arrow types of what functions of texts return.
-_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32())}
+_ARROW = {
+    "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32()),
+    "array<struct<s:int,e:int,kind:string,hash:string>>": pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("hash", pa.string())])),
+}
+
+
+#: Rows of an Arrow batch: long texts make batches of the default size (10,000 rows) hundreds of MB.
+BATCH_ROWS = 1000
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with batches of BATCH_ROWS rows at most; the session keeps that setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of few rows, so that what Python makes of them stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def from_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], dict[str, Sequence]]], fields: dict[str, str]) -> DataFrame:
@@ -75,12 +97,12 @@ def from_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in pieces(batches):
             got = f(b.column(b.schema.get_field_index(text)).to_pylist())
             new = [pa.array(got[k], _ARROW[v], from_pandas=False) for k, v in fields.items()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *new], [*kept, *fields])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], Sequence[bool]]]) -> DataFrame:
@@ -89,7 +111,7 @@ def filter_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array(f(b.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)

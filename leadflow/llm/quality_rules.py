@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadflow.llm.common import from_text
+
 WORDS = re.compile(r"[^ \t-\r]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 #: A word with a Latin-1 capital and no lower-case letter.
@@ -116,15 +118,20 @@ def quality_rules(docs: DataFrame, params: RuleParams = RuleParams()) -> DataFra
     """A row for each row of docs: counts, base_failed, kept. kept is the same whatever order the sample suggests."""
     order = rule_order(docs, params)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean"}
+
+    def judge() -> Callable[[list[str | None]], dict]:
         rules = [RULES[k] for k in order]
-        for b in batches:
+
+        def run(texts: list[str | None]) -> dict:
             out = []
-            for text in b["text"]:
+            for text in texts:
                 m = measure(text)
                 n, repeated = len(m.words), repeat_words(m.words)
                 failed = n < 10 or 100 * repeated > 20 * n
                 out.append((n, m.word_chars, m.n_symbols, m.n_dup_lines, repeated, failed, not failed and not any(r(m) for r in rules)))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])], axis=1)
+            return {k: [x[i] for x in out] for i, k in enumerate(fields)}
+
+        return run
 
-    return docs.select("doc_id", "text").mapInPandas(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return from_text(docs.select("doc_id", "text"), "text", judge, fields)

@@ -17,14 +17,13 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import cut
+from leadflow.llm.common import cut, from_text
 
 #: Kinds in the order of the report, each with its pattern, the group that holds the value, and the least length of it.
 KINDS = (
@@ -76,21 +75,23 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 def secrets(docs: DataFrame, p: SecretParams = SecretParams(), owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """A row for each row of docs: base counts and hash, all spans, and how many values are live or widely copied."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    found = "array<struct<s:int,e:int,kind:string,hash:string>>"
+    fields = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "found": found}
+
+    def scan() -> Callable[[list[str | None]], dict]:
+        def run(texts: list[str | None]) -> dict:
             rows = []
-            for text in b["text"]:
-                text = text or ""
-                base = base_spans(text)
-                more = generic_spans(text, base, p)
-                found = [{"s": s, "e": e, "kind": kind, "hash": hashlib.sha256(v.encode()).hexdigest()[:32]} for s, e, kind, v in base + more]
+            for text in texts:
+                base = base_spans(text or "")
                 n = Counter(x[2] for x in base)
-                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(written([x[:3] for x in base]).encode()).hexdigest(), found))
-            yield pd.concat([b[["doc_id", "_owner", "_repo"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "found"])], axis=1)
+                spans = [{"s": s, "e": e, "kind": kind, "hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32]} for s, e, kind, v in base + generic_spans(text or "", base, p)]
+                rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(written([x[:3] for x in base]).encode()).hexdigest(), spans))
+            return {k: [r[i] for r in rows] for i, k in enumerate(fields)}
+
+        return run
 
-    schema = "doc_id long, _owner string, _repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<s:int,e:int,kind:string,hash:string>>"
     named = docs.select("doc_id", "text", F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("_owner"), F.concat_ws("\1", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in repository)).alias("_repo"))
-    scanned = cut(named.mapInPandas(scan, schema))
+    scanned = cut(from_text(named, "text", scan, fields))
     plain, carriers = scanned.where("size(found) = 0"), scanned.where("size(found) > 0")
     each = carriers.select(F.explode("found.hash").alias("hash"), "_owner", "_repo").distinct()
     owners = each.groupBy("hash").agg(F.countDistinct("_owner").alias("owners"), F.countDistinct("_repo").alias("repositories"))

@@ -16,11 +16,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import filter_text, from_text, held_out, unique_labels
+from leadflow.llm.common import cut, filter_text, from_text, held_out, in_arrow, pieces, unique_labels
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -34,6 +34,7 @@ class ToxicityParams:
     max_unlabelled: int = 10000
     max_features: int = 1000
     min_df: int = 4
+    least_z: float = 5.0
     epochs: int = 60
     batch: int = 1000
     rate: float = 0.03
@@ -50,14 +51,14 @@ def document_features(text: str | None) -> set[str]:
     return {f for w in set(TOKEN.findall((text or "").lower())) for f in word_features(w)}
 
 
-def _features_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
         y, f = [], []
-        for text, label in zip(b["text"], b["_p"], strict=True):
-            found = document_features(text)
+        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = ["", *document_features(text)]  # the empty feature counts documents
             f += found
             y += [label] * len(found)
-        yield pd.DataFrame({"_p": pd.Series(y, dtype="int32"), "_f": pd.Series(f, dtype="object")})
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(f, pa.string())], ["_p", "_f"])
 
 
 class Lookup:
@@ -123,11 +124,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     pos_ids = known.where("_y = 1").orderBy(*order).limit(params.max_positive).select("doc_id", F.lit(1).alias("_p"))
     unl_ids = fold.select("doc_id").distinct().orderBy(*order).limit(params.max_unlabelled).select("doc_id", F.lit(0).alias("_p"))
     # both limits bound the id list, so it may be broadcast to the scan instead of shuffling the texts
-    sample = fold.join(F.broadcast(pos_ids.union(unl_ids)), "doc_id").select("text", "_p")
-    df = sample.mapInPandas(_features_of, "_p int, _f string").groupBy("_f").agg(F.sum("_p").alias("p"), F.count("*").alias("n"))
-    counts = df.where(F.col("n") >= params.min_df)
-    share_p, share_u = F.col("p") / F.lit(float(params.max_positive)), (F.col("n") - F.col("p")) / F.lit(float(params.max_unlabelled))
-    z = F.abs(share_p - share_u) / F.sqrt((share_p + share_u) + 1e-4)
+    # equal texts count once, so that copies of one document do not vote for its rare words
+    sample = cut(fold.join(F.broadcast(pos_ids.union(unl_ids)), "doc_id").select("text", "_p").dropDuplicates())
+    df = cut(in_arrow(sample, _features_of, "_p int, _f string").groupBy("_f").agg(F.sum("_p").alias("p"), F.count("*").alias("n")))
+    every = df.where("_f = ''").first()
+    if every is None:
+        return {}, np.zeros(0), -30.0
+    counts = df.where((F.col("n") >= params.min_df) & (F.col("_f") != ""))
+    share_p, share_u = F.col("p") / F.lit(float(max(every["p"], 1))), (F.col("n") - F.col("p")) / F.lit(float(max(every["n"] - every["p"], 1)))
+    n_p, n_u = float(max(every["p"], 1)), float(max(every["n"] - every["p"], 1))
+    pooled = F.col("n") / F.lit(n_p + n_u)
+    z = F.abs(share_p - share_u) / F.sqrt(pooled * (1 / n_p + 1 / n_u))
+    counts = counts.where(z >= params.least_z)
     vocabulary = counts.orderBy(z.desc(), "_f").limit(params.max_features).select("_f")
     index = {r[0]: i for i, r in enumerate(vocabulary.collect())}
     shared = docs.sparkSession.sparkContext.broadcast(index)

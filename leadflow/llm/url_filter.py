@@ -12,7 +12,7 @@ rule blocks. Repeated rows are judged each. Ties at the threshold are allowed. E
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import lower_ascii
+from leadflow.llm.common import from_text, lower_ascii
 
 #: (rule, verdict): a host, "/", and the beginning of a path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -143,11 +143,10 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, p:
         hist[r["cls"], r["bin"]] = r["count"]
     threshold = calibrated(hist, p)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="url").assign(score=llr([u or "" for u in b["url"]], shared.value, p))
+    def score() -> Callable[[list[str | None]], dict]:
+        return lambda texts: {"score": llr([u or "" for u in texts], shared.value, p)}
 
-    out = judged.mapInPandas(score, "page_id long, host string, path string, rule string, _said string, score double")
+    out = from_text(judged, "url", score, {"score": "double"})
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_said", by_model).alias("verdict"), "score")
 
