@@ -7,10 +7,15 @@
    class has are dropped from it.
 4. Candidates share a prefix shingle and pass the length filter, the positional filter (shared shingles before and
    after the match cannot reach the needed overlap) and the suffix filter (a bound of the sets' Hamming distance from
-   counts in 16 fixed parts of the shingle space). Each pair is verified once, on the full sets.
-5. Rounds: first every posting list's members meet one pivot of it only, so a list of thousands of near copies costs
-   a row a member, not a row a pair. Components follow; then pairs whose ends are already connected are never formed,
-   and the last round forms every other candidate pair. So each pair either is verified or cannot change a component.
+   counts in parts of the shingle space). Each candidate pair is verified once, on the full sets.
+5. Posting lists of up to SMALL classes form their pairs. A longer list (near copies in thousands) never does: its
+   members meet its pivot, the class in which the shingle stands earliest, so the least edited one. What a member
+   differs in from the pivot is its delta; two members link exactly if their deltas' symmetric difference is small, so
+   members are prefix-filtered a second time, in delta space, by the rarest differences first. There, copies of one
+   text with edits of their own share nothing and form no pair. Members that hardly resemble the pivot (below STRANGER)
+   can only link to members below MIDDLE (triangle inequality of the Jaccard distance) and meet those by posting list.
+6. Pairs whose ends already share a component are not formed. So each pair of classes either is verified, is linked
+   by the triangle inequality, is excluded by a bound, or cannot change a component.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component; rows that
 share a doc_id are one document (their links are joined); a null doc_id is never linked and has a null component;
@@ -19,14 +24,14 @@ ties in rarity are broken by hash; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import cut, may_contain, membership
+from leadflow.llm.common import cut, in_arrow, may_contain, membership, pieces
 from leadflow.llm.shingles import mix, shingles_of, word_hashes
 from leadflow.operators.components import connected_components
 
@@ -35,8 +40,10 @@ SIZE = 5
 PERCENT = 80
 #: Slots of the count sketch (2 MB of counts, broadcast).
 SKETCH_BITS = 18
-PARTS = 16
-PIVOT_ROUNDS = 2
+#: Longest posting list whose members meet pair by pair.
+SMALL = 16
+#: Similarity to a pivot under which a member is a stranger; strangers link only to members under MIDDLE = 0.2 more.
+STRANGER, MIDDLE = 0.4, 0.6
 
 
 def sketch(docs: DataFrame, size: int = SIZE) -> np.ndarray:
@@ -51,7 +58,7 @@ def sketch(docs: DataFrame, size: int = SIZE) -> np.ndarray:
                 total[:] += np.bincount(np.concatenate(held), minlength=len(total))
             held, n = [], 0
 
-        for b in batches:
+        for b in pieces(batches):
             for w in word_hashes(b.column(0).to_pylist()):
                 held.append((shingles_of(w, size) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                 n += len(held[-1])
@@ -61,19 +68,19 @@ def sketch(docs: DataFrame, size: int = SIZE) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
-    got = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = in_arrow(docs.select("text"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, signature (s1, s2), prefix in rare-first order and the set's counts by part, for each row of docs."""
+    """doc_id, n, signature (s1, s2) and prefix in rare-first order, for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, s1, s2, prefix, parts = [], [], [], [], []
+        for b in pieces(batches):
+            n, s1, s2, prefix = [], [], [], []
             for w in word_hashes(b.column(1).to_pylist()):
                 s = shingles_of(w, size)
                 n.append(len(s))
@@ -82,13 +89,12 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE, percent: int
                 order = np.lexsort((s, shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 prefix.append(s[order[:keep]].astype(np.int64))
-                parts.append(np.bincount((mix(s) >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(prefix, pa.int64()), _lists(parts, pa.int32())],
-                ["doc_id", "n", "s1", "s2", "prefix", "parts"],
+                [b.column(0), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(prefix, pa.int64())],
+                ["doc_id", "n", "s1", "s2", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, prefix array<long>, parts array<int>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n int, s1 long, s2 long, prefix array<long>")
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -96,88 +102,169 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), kind))
 
 
-def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id and the whole set for each row of docs."""
+def _from_sets(docs: DataFrame, size: int, make: Callable[[np.ndarray], np.ndarray], kind: pa.DataType, ddl: str) -> DataFrame:
+    """doc_id and an array s that make() gives of the whole set, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles_of(w, size).astype(np.int64) for w in word_hashes(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets, pa.int64())], ["doc_id", "s"])
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([make(shingles_of(w, size)) for w in word_hashes(b.column(1).to_pylist())], kind)], ["doc_id", "s"])
+
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, s array<{ddl}>")
+
+
+def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    return _from_sets(docs, size, lambda s: s.astype(np.int64), pa.int64(), "long")
+
+
+def part_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Counts of a set's shingles in as many equal parts of the hash space as it has shingles, rounded up to a power of two.
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, s array<long>")
+    The difference of two sets' counts is a lower bound of their Hamming distance; counts stop at 127, which keeps it one.
+    """
+
+    def count(s: np.ndarray) -> np.ndarray:
+        bits = max(1, (len(s) - 1).bit_length())
+        return np.minimum(np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 127).astype(np.int8)
+
+    return _from_sets(docs, size, count, pa.int8(), "byte")
 
 
 def _passes(na: Column, nb: Column, ia: Column, ib: Column, percent: int) -> Column:
     """Length and positional filters for a prefix shingle at places ia and ib of sets of na and nb shingles."""
     most, least = F.greatest(na, nb), F.least(na, nb)
-    need = F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9)
+    need = _needed(na + nb, percent)
     reach = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
     return (100 * least >= percent * most) & (reach >= need)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, parts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link; pairs has a, b, na, nb, each pair once."""
-    far = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent) - 1e-9)
-    near = (
-        pairs.join(parts.select(F.col("rep").alias("b"), F.col("parts").alias("pb")), "b")
-        .join(parts.select(F.col("rep").alias("a"), F.col("parts").alias("pa")), "a")
-        .where(far <= F.col("na") + F.col("nb") - 2 * need)
-    )
-    near = cut(near.select("a", "b", "na", "nb"))
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+def _needed(s: Column, percent: int) -> Column:
+    """Shared shingles that sets of s shingles together need to link."""
+    return F.ceil(percent * s / F.lit(100.0 + percent) - 1e-9)
+
+
+def _with_ends(docs: DataFrame, pairs: DataFrame, arrays: Callable[[DataFrame], DataFrame], a: str, b: str) -> DataFrame:
+    """pairs with the arrays of both ends as columns a and b; only texts that a bitmap of the ends marks are hashed."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     wanted = may_contain(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", membership(ids, "doc_id")).where("_maybe")
-    sets = shingle_sets(wanted, size).join(ids, "doc_id", "left_semi")
-    both = (
-        near.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    )
-    same = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    own = arrays(wanted).join(ids, "doc_id", "left_semi")
+    return pairs.join(own.select(F.col("doc_id").alias("b"), F.col("s").alias(b)), "b").join(own.select(F.col("doc_id").alias("a"), F.col("s").alias(a)), "a")
+
+
+def _folded(x: str, y: str) -> Column:
+    """Counts x summed up to as many parts as y has, where y has fewer."""
+    r = F.greatest(F.lit(1), F.floor(F.size(x) / F.size(y))).cast("int")
+    fewer = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / r).cast("int") - 1), lambda i: F.aggregate(F.slice(x, i * r + 1, r), F.lit(0), lambda s, v: s + v.cast("int")))
+    return F.when(r == 1, F.transform(x, lambda v: v.cast("int"))).otherwise(fewer)
 
 
-def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def _bounded(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """pairs with `most`: an upper bound of the shingles that their ends share (suffix filter)."""
+    met = _with_ends(docs, pairs, lambda d: part_counts(d, size), "pa", "pb")
+    far = F.aggregate(F.zip_with(_folded("pa", "pb"), _folded("pb", "pa"), lambda x, y: F.abs(F.least(x, F.lit(127)) - F.least(y, F.lit(127)))), F.lit(0), lambda s, x: s + x)
+    return met.withColumn("most", F.floor((F.col("na") + F.col("nb") - far) / 2)).drop("pa", "pb")
+
+
+def _near(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs (a, b, na, nb) that the suffix filter lets through."""
+    return _bounded(docs, pairs, size).where(F.col("most") >= _needed(F.col("na") + F.col("nb"), percent)).drop("most")
+
+
+def _with_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    return _with_ends(docs, pairs, lambda d: shingle_sets(d, size), "sa", "sb")
+
+
+def _one_way(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) with a < b."""
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))
+    return pairs.select(F.when(F.col("a") < F.col("b"), F.struct("a", "b", "na", "nb")).otherwise(turned).alias("x")).select("x.*").distinct()
+
+
+def _labelled(df: DataFrame, labels: DataFrame, *ids: str) -> DataFrame:
+    """df with the component c_<id> of each id column."""
+    for k in ids:
+        df = df.join(labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
+    return df
+
+
+def _family_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, na, nb) between members of one pivot, and links that need no check.
+
+    stars: p, x, n, linked, delta (the shingles that only one of x and p has). With e = size of delta and h the largest
+    Hamming distance that any pair with x may have, x is close if e <= h, else far. A linking pair's deltas share
+    (e + e' - h) / 2 elements at least, so
+      far with far:   both hold a common element among the rarer halves of their deltas;
+      close with far: the close one among its rarer half, the far one among its h + 1 rarest;
+      close with close, not both linked to p: an element at all, or e + e' fits h, which is a link by itself.
+    """
+    # pivots whose members are all in one component have nothing left to find
+    named = _labelled(stars, labels, "x", "p")
+    split = named.where("c_x <> c_p").select("p").distinct()
+    fam = cut(named.join(split, "p", "left_semi").withColumnRenamed("c_x", "c").drop("c_p").withColumn("e", F.size("delta")))
+    largest = fam.groupBy("p").agg(F.max("n").alias("most"))
+    fam = fam.join(largest, "p").withColumn("h", F.floor((F.col("n") + F.least("most", F.floor(F.col("n") * 100 / percent))) * ((100 - percent) / (100.0 + percent)) + 1e-9).cast("int"))
+    fam = fam.withColumn("close", F.col("e") <= F.col("h")).withColumn("half", F.col("e") - F.floor((F.col("e") + 2) / 2) + 1)
+    each = cut(fam.select("p", "x", "n", "e", "h", "close", "linked", "half", "c", F.explode("delta").alias("t")))
+    often = each.groupBy("p", "t").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = each.join(often, ["p", "t"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = cut(ranked.withColumn("i", F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "t")) - 1).where("often > 1").drop("often"))
+    probe = ranked.select("p", "t", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("i").alias("iy"), F.col("close").alias("closey"), F.col("half").alias("halfy"), F.col("h").alias("hy"), F.col("linked").alias("linkedy"))
+    far = probe.where("not closey and iy < hy + 1")
+    met = ranked.where("i < half").join(far, ["p", "t"]).where("x <> y and c <> cy and (close or iy < halfy)")
+    rest = ranked.where("close and not linked").join(probe.where("closey"), ["p", "t"]).where("x <> y and c <> cy")
+    pairs = met.select("x", "y", "n", "ny").union(rest.select("x", "y", "n", "ny")).toDF("a", "b", "na", "nb")
+    least = fam.where("close").groupBy("p", "n").agg(F.min(F.struct("e", "x")).alias("m")).select("p", F.col("n").alias("ny"), F.col("m.e").alias("ey"), F.col("m.x").alias("y"))
+    both = F.col("n") + F.col("ny")
+    sure = fam.where("close and not linked").join(least, "p").where((F.col("x") != F.col("y")) & (F.col("e") + F.col("ey") <= both - 2 * _needed(both, percent)))
+    return pairs, sure.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs."""
     rows = cut(prefixes(docs, sketch(docs, size), size, percent))
     filled = rows.where("n > 0 and doc_id is not null")
-    classes = cut(filled.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts")))
+    classes = cut(filled.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("i", "token"))
-    common = postings.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").select("token")
-    index = cut(postings.join(common, "token").select("token", "rep", "n", "i"))
-    parts = classes.select("rep", "parts")
+    common = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    index = cut(postings.join(common, "token").select("token", "rep", "n", "i", "k"))
     # rows of one doc_id with different texts are one document
-    links = filled.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).where("x <> y").select("doc_id")
-    own = filled.join(links, "doc_id", "left_semi").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"])
-    links = cut(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    verified = None
+    several = filled.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).where("x <> y").select("doc_id")
+    same_id = filled.join(several, "doc_id", "left_semi").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    short = index.where(F.col("k") <= small)
+    left = short.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    right = short.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    fits = _passes(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"), percent)
+    direct = left.join(right, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
+    long = index.where(F.col("k") > small)
+    pivot = long.groupBy("token").agg(F.min(F.struct("i", F.xxhash64("rep").alias("o"), F.col("rep").alias("p"), F.col("n").alias("np"))).alias("x")).select("token", "x.p", "x.np")
+    listed = cut(long.join(pivot, "token"))
+    star = listed.where("rep <> p").select(F.col("p").alias("a"), F.col("rep").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")).distinct()
+    asked = cut(direct.withColumn("star", F.lit(False)).union(star.withColumn("star", F.lit(True))))
+    first = cut(_bounded(docs, asked, size))
+    both = F.col("na") + F.col("nb")
+    strange = F.col("star") & (F.col("most") < STRANGER * (both - F.col("most")))
+    close = first.where(~strange & (F.col("star") | (F.col("most") >= _needed(both, percent)))).drop("most")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    either = F.size("sa") + F.size("sb") - F.col("k")
+    met = _with_sets(docs, close, size).withColumn("k", shared).withColumn("like", F.col("k") / either)
+    delta = F.when(F.col("star") & (F.col("like") >= STRANGER), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")))
+    seen = cut(met.select("a", "b", "na", "nb", "star", "like", (100 * F.col("k") >= percent * either).alias("linked"), delta.alias("delta")))
+    links = cut(same_id.union(seen.where("linked").select("a", "b")))
     labels = connected_components(links, "a", "b")
-    for step in range(rounds + 1):
-        at = index.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        at = cut(at)
-        if step < rounds:
-            pivot = at.groupBy("token").agg(
-                F.min(F.struct(F.xxhash64("rep", F.lit(step)).alias("p"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c").alias("ca"))).alias("x"),
-                F.min("c").alias("lo"), F.max("c").alias("hi"),
-            ).where("lo < hi").select("token", "x.*")
-            found = at.join(pivot, "token").where("c <> ca").select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb"), "ia", F.col("i").alias("ib"))
-        else:
-            main = at.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("m"), F.count("*").alias("cs")).where("cs > 1").select("token", "m")
-            apart = at.join(main, "token").where("c <> m").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c").alias("ca"))
-            found = apart.join(at, "token").where("c <> ca").select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb"), "ia", F.col("i").alias("ib"))
-        fits = found.where(_passes(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"), percent))
-        low = F.col("a") < F.col("b")
-        one = fits.select(
-            F.when(low, F.struct("a", "b", "na", "nb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))).alias("x")
-        ).select("x.*").distinct()
-        if verified is not None:
-            one = one.join(verified, ["a", "b"], "left_anti")
-        pairs = cut(one)
-        if pairs.isEmpty():
-            continue
-        got = cut(_verify(docs, pairs, parts, size, percent))
-        links = links.union(got)
-        verified = pairs.select("a", "b") if verified is None else verified.union(pairs.select("a", "b"))
-        labels = connected_components(links, "a", "b")
+    known = first.where(strange).select(F.col("a").alias("p"), F.col("b").alias("rep"), F.lit(0.0).alias("like"))
+
+    stars = seen.where("star").select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("nb").alias("n"), "linked", "like", "delta")
+    family, sure = _family_pairs(stars.where("delta is not null").drop("like"), labels, percent)
+    ranked = listed.where("rep <> p").join(stars.where(F.col("like") < MIDDLE).select("p", F.col("x").alias("rep"), "like").union(known), ["p", "rep"])
+    loose = cut(_labelled(ranked, labels, "rep"))
+    other = loose.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("c_rep").alias("cb"), F.col("like").alias("likeb"))
+    odd = loose.where(F.col("like") < STRANGER).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c_rep").alias("ca"))
+    stranger = odd.join(other, "token").where((F.col("ca") != F.col("cb")) & ((F.col("likeb") >= STRANGER) | (F.col("a") < F.col("b"))) & fits)
+    more = cut(_one_way(family.union(stranger.select("a", "b", "na", "nb"))))
+    second = cut(_near(docs, more, size, percent))
+    last = _with_sets(docs, second, size).withColumn("k", shared).where(100 * F.col("k") >= percent * either).select("a", "b")
+    labels = connected_components(links.union(sure).union(last), "a", "b")
+
     component = classes.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
     named = rows.select("doc_id", "n", "s1", "s2").join(component, ["s1", "s2", "n"], "left")
     out = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id")).alias("component_id")

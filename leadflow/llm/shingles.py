@@ -17,7 +17,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Bytes of text that are hashed at a time; one longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
