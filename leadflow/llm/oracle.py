@@ -41,5 +41,18 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
 """
 
 
+OP7 = rf"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS c FROM w GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+st AS (SELECT count(*) AS n, (SELECT sum(n) FROM dl)::DOUBLE / count(*) AS m FROM documents), df AS (SELECT t, count(*) AS d FROM tf GROUP BY t),
+s AS (
+  SELECT q.doc_id AS query_id, x.doc_id, round(sum(ln(1 + (st.n - d + 0.5) / (d + 0.5)) * x.c * 2.2 / (x.c + 1.2 * (0.25 + 0.75 * dl.n / st.m))), 6) AS score
+  FROM tf q JOIN tf x USING (t) JOIN df USING (t) JOIN dl ON dl.doc_id = x.doc_id, st WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, x.doc_id)
+SELECT query_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op8_ngram_join": OP8}
+    return {"op5_quality_rules": OP5, "op7_top_k": OP7, "op8_ngram_join": OP8}

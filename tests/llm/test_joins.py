@@ -99,7 +99,7 @@ def test_search_matches_brute_force(spark):
     df = spark.createDataFrame([(k, t, "s") for k, t in texts.items()], DOCS).repartition(3)
     asked = [i for i in texts if i % 50 == 0]
     got = {}
-    for r in top_k(df, df.where("doc_id % 50 = 0"), SearchParams(k=7, shard_rows=60, query_rows=3)).collect():
+    for r in top_k(df, df.where("doc_id % 50 = 0"), SearchParams(k=7, shard_rows=60, block_terms=700)).collect():
         got.setdefault(r.query_id, {})[r.rank] = r.doc_id
     want = _bm25(texts, asked, 7)
     assert {q: [x[k] for k in sorted(x)] for q, x in got.items()} == {q: x for q, x in want.items() if x}
