@@ -11,7 +11,7 @@
 5. Posting lists of up to SMALL classes form their pairs. A longer list (near copies in thousands) never does: its
    members meet its pivot, the class in which the shingle stands earliest, so the least edited one. What a member
    differs in from the pivot is its delta; two members link exactly if their deltas' symmetric difference is small, so
-   members are prefix-filtered a second time, in delta space, by the rarest differences first. There, copies of one
+   members are prefix-filtered a second time, in delta space, additions before omissions. There, copies of one
    text with edits of their own share nothing and form no pair. Members that hardly resemble the pivot (below STRANGER)
    can only link to members below MIDDLE (triangle inequality of the Jaccard distance) and meet those by posting list.
 6. Pairs whose ends already share a component are not formed. So each pair of classes either is verified, is linked
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import cut, in_arrow, may_contain, membership, pieces
@@ -192,8 +192,8 @@ def _family_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[Da
     stars: p, x, n, linked, delta (the shingles that only one of x and p has). With e = size of delta and h the largest
     Hamming distance that any pair with x may have, x is close if e <= h, else far. A linking pair's deltas share
     (e + e' - h) / 2 elements at least, so
-      far with far:   both hold a common element among the rarer halves of their deltas;
-      close with far: the close one among its rarer half, the far one among its h + 1 rarest;
+      far with far:   both hold a common element among the first halves of their deltas, in any common order;
+      close with far: the close one among its first half, the far one among its first h + 1;
       close with close, not both linked to p: an element at all, or e + e' fits h, which is a link by itself.
     """
     # pivots whose members are all in one component have nothing left to find
@@ -203,10 +203,12 @@ def _family_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[Da
     largest = fam.groupBy("p").agg(F.max("n").alias("most"))
     fam = fam.join(largest, "p").withColumn("h", F.floor((F.col("n") + F.least("most", F.floor(F.col("n") * 100 / percent))) * ((100 - percent) / (100.0 + percent)) + 1e-9).cast("int"))
     fam = fam.withColumn("close", F.col("e") <= F.col("h")).withColumn("half", F.col("e") - F.floor((F.col("e") + 2) / 2) + 1)
-    each = cut(fam.select("p", "x", "n", "e", "h", "close", "linked", "half", "c", F.explode("delta").alias("t")))
-    often = each.groupBy("p", "t").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = each.join(often, ["p", "t"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    ranked = cut(ranked.withColumn("i", F.row_number().over(Window.partitionBy("p", "x").orderBy("often", "t")) - 1).where("often > 1").drop("often"))
+    # differences in a fixed order, the pivot's own shingles last: those of an edit of one's own come first
+    fam = cut(fam)
+    loose = fam.where("close and not linked").select("p", F.lit(True).alias("full")).distinct()
+    fam = fam.join(loose, "p", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    used = F.when(F.col("close"), F.when(F.col("full"), F.col("e")).otherwise(F.col("half"))).otherwise(F.greatest("half", F.least(F.col("e"), F.col("h") + 1)))
+    ranked = cut(fam.select("p", "x", "n", "h", "close", "linked", "half", "c", F.posexplode(F.slice("delta", F.lit(1), used.cast("int"))).alias("i", "t")))
     probe = ranked.select("p", "t", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("i").alias("iy"), F.col("close").alias("closey"), F.col("half").alias("halfy"), F.col("h").alias("hy"), F.col("linked").alias("linkedy"))
     far = probe.where("not closey and iy < hy + 1")
     met = ranked.where("i < half").join(far, ["p", "t"]).where("x <> y and c <> cy and (close or iy < halfy)")
@@ -247,7 +249,7 @@ def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, small:
     shared = F.size(F.array_intersect("sa", "sb"))
     either = F.size("sa") + F.size("sb") - F.col("k")
     met = _with_sets(docs, close, size).withColumn("k", shared).withColumn("like", F.col("k") / either)
-    delta = F.when(F.col("star") & (F.col("like") >= STRANGER), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")))
+    delta = F.when(F.col("star") & (F.col("like") >= STRANGER), F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_except("sa", "sb"))))
     seen = cut(met.select("a", "b", "na", "nb", "star", "like", (100 * F.col("k") >= percent * either).alias("linked"), delta.alias("delta")))
     links = cut(same_id.union(seen.where("linked").select("a", "b")))
     labels = connected_components(links, "a", "b")
