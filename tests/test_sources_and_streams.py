@@ -73,13 +73,6 @@ def test_exports(spark, tmp_path):
 T0 = datetime(2024, 1, 1)
 
 
-def _stream(spark, df, path, parts, schema):
-    """df as a stream of several files."""
-    for i in range(parts):
-        df.where(f"pmod(hash(*), {parts}) = {i}" if False else f"_n % {parts} = {i}").drop("_n").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 def _run(spark, out, name, mode, tmp_path):
     q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination(120)
