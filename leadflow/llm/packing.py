@@ -17,7 +17,6 @@ opened first; extra columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
