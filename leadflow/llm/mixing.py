@@ -153,6 +153,12 @@ def schedule(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     return placed.select("doc_id", F.col("_class").alias("source_class"), F.col("_block").alias("block"), F.col("_phase").alias("phase"), F.col("_slot").cast("long").alias("slot"))
 
 
+def with_slot(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+    """docs with the slot of each row as an extra column; a slot holds one block, and every slot from 0 on is taken."""
+    placed, _ = _placed(docs, p)
+    return placed.select(*(F.col(c) for c in docs.columns), F.col("_slot").cast("long").alias("slot"))
+
+
 def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """docs in their own columns and in the order of the mixture: sorted by slot, over ranges of slots."""
     placed, _ = _placed(docs, p)

@@ -9,6 +9,9 @@ A document longer than a bin fills whole bins of its own; what remains of it is
 hash into shards of about shard_rows rows, each packed for itself; only ids, lengths, sources and clusters are
 shuffled. Bins of a shard left open stay open: at most one bin in planes * capacity is lost to a shard's end.
 
+With a mixture, a shard is a range of its slots instead, so that shards follow the order of the mixture and each holds
+the sources in its proportions; bins of a shard are numbered by their first slot, pieces of a bin lie in slot order.
+
 Defined cases: a text without words (or null) takes one bin place of length 0; null sources count as one source; a
 null cluster conflicts with nothing; repeated rows share a cluster and so never a bin; equally tight bins: the one
 opened first; extra columns are ignored.
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import SPACE, lower_ascii
+from leadflow.llm.mixing import MixParams, with_slot
 
 
 @dataclass(frozen=True)
@@ -81,15 +85,21 @@ def _repeated(values: list) -> set:
     return twice
 
 
-def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Column | None = None) -> DataFrame:
+def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Column | None = None, mixture: MixParams | None = None) -> DataFrame:
     """doc_id, piece, n_words, shard, bin (unique over shards) and offset in the bin, for each piece of each row of docs.
 
-    cluster: a long that near or exact copies share; by default a hash of the text with A-Z lower-cased.
+    cluster: a long that near or exact copies share; by default a hash of the text with A-Z lower-cased. mixture: bins
+    ascend in the order of this mixture of the rows.
     """
     cluster = F.when(F.length("text") > 0, F.xxhash64(lower_ascii(F.col("text")))) if cluster is None else cluster
-    n_shards = max(1, -(-docs.select("doc_id").count() // p.shard_rows))
-    rows = docs.select("doc_id", word_count(F.col("text")).alias("n"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), cluster.alias("cluster"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n", "cluster", F.lit(p.seed)), F.lit(n_shards)).cast("int"))
+    rows = docs.select("doc_id", word_count(F.col("text")).alias("n"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
+    if mixture is None:
+        n_shards = max(1, -(-docs.select("doc_id").count() // p.shard_rows))
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n", "cluster", F.lit(p.seed)), F.lit(n_shards)).cast("int"))
+    else:
+        shard_slots = max(1, p.shard_rows // mixture.block_rows)
+        rows = with_slot(rows, mixture).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
+    rows = rows.withColumn("source", F.coalesce("source", F.lit("\0")))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         shard = int(part["shard"].iloc[0])
@@ -101,12 +111,17 @@ def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Col
         clusters = [None if pd.isna(c) else int(c) for c in packed["cluster"]]
         bins = pack_shard(packed["size"].tolist(), packed["source"].tolist(), clusters, p.capacity, p.planes)
         packed = packed.assign(bin=bins)
+        if mixture is not None:
+            packed = packed.sort_values(["slot", "doc_id", "n", "cluster"], kind="stable")
         packed["offset"] = packed.groupby("bin")["size"].cumsum() - packed["size"]
         long = part.loc[full.index[full > 0]].assign(times=full[full > 0])
         long = long.loc[long.index.repeat(long["times"])]
         long = long.assign(piece=long.groupby(level=0).cumcount(), size=p.capacity, offset=0)
         long["bin"] = range(len(set(bins)), len(set(bins)) + len(long))
         out = pd.concat([packed, long])
+        if mixture is not None:
+            out = out.sort_values(["slot", "doc_id", "n", "cluster", "piece"], kind="stable")
+            out["bin"] = pd.factorize(out["bin"])[0]  # bins by their first slot
         return pd.DataFrame({"doc_id": out["doc_id"], "piece": out["piece"].astype("int64"), "n_words": out["size"].astype("int64"), "shard": shard, "bin": out["bin"].astype("int64") + (shard << 32), "offset": out["offset"].astype("int64")})
 
     return rows.groupBy("shard").applyInPandas(pack, "doc_id long, piece long, n_words long, shard int, bin long, offset long")
