@@ -208,8 +208,9 @@ def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters by phones, sites and names, as a whole."""
-    return resolution.resolve(companies(spark, d).select("id", "city", F.substring("name", 1, 14).alias("name"), "phones", "website"))
+    """Clusters by phones, sites and names, as a whole: parts by brand under their whole names, with the phones and site of the company of their key."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("city"), F.col("p_name").alias("name"))
+    return resolution.resolve(rows.join(companies(spark, d).select("id", "phones", "website"), "id", "left"))
 
 
 _NET_SQL = f"""{COMPANIES}, live AS (SELECT *, {_DOMAIN_SQL} AS domain, regexp_extract({_DOMAIN_SQL}, '([^.]+\\.[^.]+)$', 1) AS base FROM companies WHERE NOT deleted),
