@@ -85,14 +85,18 @@ def _repeated(values: list) -> set:
     return twice
 
 
-def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Column | None = None, mixture: MixParams | None = None) -> DataFrame:
+def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Column | None = None, mixture: MixParams | None = None, members: DataFrame | None = None) -> DataFrame:
     """doc_id, piece, n_words, shard, bin (unique over shards) and offset in the bin, for each piece of each row of docs.
 
     cluster: a long that near or exact copies share; by default a hash of the text with A-Z lower-cased. mixture: bins
-    ascend in the order of this mixture of the rows.
+    ascend in the order of this mixture of the rows. members: doc_id and component_id of near copies, which take the
+    place of cluster for all rows with an id.
     """
     cluster = F.when(F.length("text") > 0, F.xxhash64(lower_ascii(F.col("text")))) if cluster is None else cluster
     rows = docs.select("doc_id", word_count(F.col("text")).alias("n"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
+    if members is not None:
+        near = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_near"))
+        rows = rows.join(near, "doc_id", "left").withColumn("cluster", F.coalesce("_near", "cluster")).drop("_near")
     if mixture is None:
         n_shards = max(1, -(-docs.select("doc_id").count() // p.shard_rows))
         rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n", "cluster", F.lit(p.seed)), F.lit(n_shards)).cast("int"))

@@ -20,7 +20,8 @@ from leadflow.llm.url_filter import url_filter
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return best_fit_packing(docs, members=ngram_join(docs))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
