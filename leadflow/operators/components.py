@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from leadflow.plans.lineage import cut
+from leadflow.plans.lineage import cut, skew_join
 
 
 def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
@@ -25,7 +25,8 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node with an edge to another one; component is the smallest node reachable.
 
-    Self loops, repeated edges, either direction and edges with a null end are allowed; the latter are ignored.
+    Self loops, repeated edges, either direction and edges with a null end are allowed; the latter are ignored. The
+    centre of a giant star is dealt over many tasks.
     """
     a, b = F.least(F.col(src), F.col(dst)), F.greatest(F.col(src), F.col(dst))
     now, state = _written(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(a.alias("a"), b.alias("b")).where("a < b").distinct())
@@ -34,8 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         before = state
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        large = skew_join(both, low, "u", "v").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        moved = large.join(lowest, "b").where("a <> m").select("m", F.col("a").alias("b"))
+        moved = skew_join(large, lowest, "b", "a").where("a <> m").select("m", F.col("a").alias("b"))
         now, state = _written(moved.union(lowest.select("m", "b")).distinct().toDF("a", "b"))
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())

@@ -1,4 +1,4 @@
-"""Cutting lineage with tables in a folder that all machines share."""
+"""Cutting lineage with tables in a folder that all machines share, and joins whose hot keys are dealt out."""
 
 from __future__ import annotations
 
@@ -6,21 +6,56 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than one in SHARES of all rows is hot, so there are fewer than SHARES hot keys.
+SHARES = 400
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own on a local master, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = os.path.join(tempfile.gettempdir(), "checkpoints", "leadflow")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/leadflow-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: ends the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leadflow-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}.parquet"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all that `cut` wrote in this application; results that still read it must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str | list[str], by: str | Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has few rows a key, when some keys may hold a large share of left.
+
+    Keys with more than one in SHARES rows of left are dealt over as many parts as they need, by the hash of `by`, and
+    their rows of right are repeated once a part: fewer than 2 * SHARES copies. The list of hot keys is thereby bounded
+    and may be broadcast. how: inner or left.
+    """
+    on = [on] if isinstance(on, str) else on
+    seen = Observation()
+    counts = cut(left.groupBy(*on).agg(F.count("*").alias("_n")).observe(seen, F.sum("_n").alias("total")))
+    total = seen.get["total"] or 0
+    hot = counts.where(F.col("_n") > max(total / SHARES, 1000.0 / SHARES)).select(*on, F.ceil(F.col("_n") * SHARES / F.lit(max(total, 1))).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = left.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    copies = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")
