@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from leadflow.plans.lineage import cut, shared_dir
 
-__all__ = ["cut", "filter_text", "from_text", "held_out", "in_arrow", "lower_ascii", "may_contain", "membership", "pieces", "shared_dir", "table", "unique_labels"]
+__all__ = ["cut", "filter_text", "from_text", "held_out", "in_arrow", "lower_ascii", "may_contain", "membership", "pieces", "shared_dir", "table", "unique_labels", "unused"]
 
 #: ASCII white space that separates words; everything else belongs to a word.
 SPACE = "\\x20\\x09-\\x0D"
@@ -52,12 +52,19 @@ def membership(ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def may_contain(df: DataFrame, id_col: str, bitmap: DataFrame, name: str = "_maybe") -> DataFrame:
-    """df with a boolean: false means that the id certainly is not in the set."""
-    slot = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(SLOTS))
-    out = df.withColumn("_word", F.shiftright(slot, 6)).withColumn("_shift", (slot.bitwiseAND(F.lit(63))).cast("int"))
+    """df with a boolean: false means that the id certainly is not in the set. df's own columns may have any names."""
+    slot = F.pmod(F.xxhash64(F.col(f"own.{id_col}").cast("long")), F.lit(SLOTS))
+    out = df.select(F.struct("*").alias("own")).select("own", F.shiftright(slot, 6).alias("_word"), (slot.bitwiseAND(F.lit(63))).cast("int").alias("_shift"))
     out = out.join(F.broadcast(bitmap), "_word", "left")
-    hit = F.coalesce(F.expr("shiftright(_bits, _shift) & 1"), F.lit(0)) == 1
-    return out.withColumn(name, hit).drop("_word", "_shift", "_bits")
+    return out.select("own.*", (F.coalesce(F.expr("shiftright(_bits, _shift) & 1"), F.lit(0)) == 1).alias(name))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Arrow types of what functions of texts return.
