@@ -16,12 +16,16 @@ m AS (
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
          len(string_split(t, chr(10))) AS n_lines, len(list_distinct(ws)) AS n_distinct,
-         len(list_filter(ws, lambda x: regexp_full_match(x, '[^a-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ][^a-zß-öø-ÿ]*'))) AS n_capitals
+         len(list_filter(ws, lambda x: regexp_full_match(x, '[^a-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ][^a-zß-öø-ÿ]*'))) AS n_capitals,
+         len(list_filter(ws, lambda x: NOT regexp_matches(x, '[A-Za-zÀ-ÖØ-öø-ÿ]'))) AS n_no_letter, len(lines) AS n_full_lines,
+         len(list_filter(lines, lambda x: left(regexp_replace(x, '^[\x20\x09\x0B-\x0D]+', ''), 1) IN ('-', '*', '•'))) AS n_bullets,
+         coalesce(list_max(map_values(list_histogram(list_transform(ws, lambda x: lower(x))))), 0) AS n_top
   FROM d LEFT JOIN cover USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
-            OR 2 * n_dup_lines > n_lines OR 10 * n_capitals > 6 * n_words OR 20 * n_distinct < n_words) AS kept
+            OR 2 * n_dup_lines > n_lines OR 10 * n_capitals > 6 * n_words OR 20 * n_distinct < n_words
+            OR 2 * n_no_letter > n_words OR 10 * n_top > 3 * n_words OR 10 * n_bullets > 9 * n_full_lines) AS kept
 FROM b
 """
 
