@@ -2,11 +2,13 @@
 
 A document is a bag of passages of PASSAGE words. Each passage is encoded (surface measures through a learned tanh
 layer), gated attention learned from document labels weighs the passages, and the weighted representation is
-scored (Ilse et al. 2018). Fitting reads a bounded sample of labelled rows of the learning fold, with all their
+scored (Ilse et al. 2018). Fitting reads a sample of labelled rows of the learning fold, bounded in rows and in
 passages; scoring reads every passage of every text.
 
-Defined cases: a null or empty text is one empty passage; without labelled rows of both kinds the score is the
-share of good labels (0.5 without any); repeated rows and null ids are scored each; extra columns are ignored.
+Defined cases: a null or empty text is one empty passage; without labelled rows of both kinds in the sample the score
+is the share of good labels (0.5 without any); repeated rows and null ids are scored each; equal places in the sample
+go to the smaller id; very long texts are scored whole, and one beyond max_passages is only left out of the sample;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import from_text, held_out, unique_labels
+from leadflow.llm.common import cut, from_text, held_out, unique_labels
 
 WORDS = re.compile(r"[^ \t-\r]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -30,9 +32,10 @@ N_FEATURES = 16
 
 @dataclass(frozen=True)
 class QualityParams:
-    """max_rows bounds the sample of labelled rows that the fit reads."""
+    """max_rows and max_passages (64 bytes each) bound the sample of labelled rows that the fit reads."""
 
     max_rows: int = 8000
+    max_passages: int = 400_000
     hidden: int = 16
     attention: int = 8
     epochs: int = 40
@@ -120,7 +123,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
 
     # max_rows bounds the id list, so it may be broadcast to the scan
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = from_text(sample.select("_y", "text"), "text", encode, {"x": "array<float>"}).toPandas()
+    place = F.xxhash64("doc_id", F.lit(params.seed)).alias("place")
+    encoded = cut(from_text(sample.select("_y", "doc_id", place, "text"), "text", encode, {"x": "array<float>"}))
+    sizes = encoded.select("place", "doc_id", (F.size("x") / N_FEATURES).cast("long").alias("n")).toPandas().sort_values(["place", "doc_id", "n"])
+    fits = sizes[sizes["n"].cumsum() <= params.max_passages]
+    last = (int(fits["place"].iloc[-1]), int(fits["doc_id"].iloc[-1])) if len(fits) else None
+    chosen_rows = encoded.where(F.struct("place", "doc_id") <= F.struct(*(F.lit(v).cast("long") for v in last))) if last else encoded.limit(0)
+    got = chosen_rows.where(F.size("x") <= params.max_passages * N_FEATURES).select("_y", "x").toPandas()
     y = got["_y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
@@ -128,7 +137,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
 
 
 def quality_mil(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """A row for each row of docs: doc_id, held_out, score, predicted, n_passages and the largest attention weight."""
+    """A row for each row of docs: doc_id, held_out, score, predicted, then n_passages and top_weight, the largest attention weight."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, params))
 
     def score() -> Callable[[list[str | None]], dict]:
@@ -149,4 +158,4 @@ def quality_mil(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     scored = from_text(rows, "text", score, {"n_passages": "long", "score": "double", "top_weight": "double"})
-    return scored.withColumn("predicted", (F.col("score") >= params.threshold).cast("int"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= params.threshold).cast("int").alias("predicted"), "n_passages", "top_weight")
