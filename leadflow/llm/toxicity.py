@@ -4,9 +4,15 @@ Confirmed toxic documents are the positives; documents drawn from the whole lear
 whatever their labels say. The risk estimator corrects the unlabelled risk by the class prior and never lets the negative
 part fall below zero (Kiryo et al. 2017). Fitting reads a bounded sample; scoring reads every whole text.
 
+The class prior is a parameter. Where it is not given, it is the share of toxic rows among labelled ones if clean rows
+are labelled too; with positives only, it is estimated: a classifier of half the positives against the unlabelled rows
+gives the density ratio at the other half, and where documents are surely toxic the prior is its inverse (Elkan and
+Noto 2008).
+
 Defined cases: a null or empty text has no features and gets the score of the bias; without any confirmed toxic
-row every score is 0; rows with a null id are scored and never learned from; repeated rows are scored each.
-Extra columns are ignored by the scorer.
+row every score is 0; rows with a null id are scored and never learned from; repeated rows are scored each; equal
+texts count once in the sample; equally telling features go by name; very long texts are read whole; extra columns,
+whatever their names, are ignored by the scorer and kept by drop_toxic.
 """
 
 from __future__ import annotations
@@ -28,8 +34,12 @@ PREFIXES = (4, 5, 6)
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """max_positive and max_unlabelled bound the sample that the fit reads; max_features bounds the broadcast model."""
+    """max_positive and max_unlabelled bound the sample that the fit reads; max_features bounds the broadcast model.
+
+    prior: share of toxic documents, None: from the labels (see above).
+    """
 
+    prior: float | None = None
     max_positive: int = 4000
     max_unlabelled: int = 10000
     max_features: int = 1000
@@ -112,6 +122,23 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], dim: int,
     return w, b
 
 
+def estimated_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], dim: int, p: ToxicityParams) -> float:
+    """Share of positives among the unlabelled, from positives and unlabelled rows alone; 0.5 where nothing can be said."""
+    if len(positive) < 4 or not dim:
+        return 0.5
+    fit, probe = positive[0::2], positive[1::2]
+    n, m = len(fit), len(unlabelled)
+    rows = [*fit, *unlabelled]
+    ids, of = np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(n + m), [len(r) for r in rows])
+    y, weight = np.repeat([1.0, 0.0], [n, m]), np.repeat([0.5 / n, 0.5 / m], [n, m])
+    w, b = np.zeros(dim), 0.0
+    for _ in range(200):  # both halves weigh the same, so the odds are the density ratio
+        g = weight * (1 / (1 + np.exp(-np.clip(np.bincount(of, w[ids], n + m) + b, -30, 30))) - y)
+        w, b = w - 2 * (np.bincount(ids, g[of], dim) + 1e-4 * w), b - 2 * g.sum()
+    ratio = np.array([np.exp(np.clip(w[r].sum() + b, -30, 30)) for r in probe])
+    return float(np.clip(1 / np.median(ratio), 0.005, 0.5))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> tuple[dict[str, int], np.ndarray, float]:
     """The model (feature -> index, weights, bias) from the learning fold of docs."""
     fold = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -119,7 +146,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     n, n_pos = known.agg(F.count("*"), F.count_if(F.col("_y") == 1)).first()
     if not n_pos:
         return {}, np.zeros(0), -30.0
-    prior = min(max(n_pos / n, 0.005), 0.5)
+    prior = params.prior if params.prior is not None else min(max(n_pos / n, 0.005), 0.5) if n > n_pos else None
     order = F.xxhash64(F.col("doc_id"), F.lit(params.seed)), F.col("doc_id")
     pos_ids = known.where("_y = 1").orderBy(*order).limit(params.max_positive).select("doc_id", F.lit(1).alias("_p"))
     unl_ids = fold.select("doc_id").distinct().orderBy(*order).limit(params.max_unlabelled).select("doc_id", F.lit(0).alias("_p"))
@@ -148,8 +175,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     rows = [np.asarray(x, np.int64) for x in got["ids"]]
     positive = [r for r, p in zip(rows, got["_p"], strict=True) if p]
     unlabelled = [r for r, p in zip(rows, got["_p"], strict=True) if not p]
-    if not positive or not unlabelled or not index:
-        return {}, np.zeros(0), -30.0 if not positive else float(np.log(prior / (1 - prior)))
+    if not positive:
+        return {}, np.zeros(0), -30.0
+    if prior is None:
+        prior = estimated_prior(positive, unlabelled, len(index), params)
+    if not unlabelled or not index:
+        return {}, np.zeros(0), float(np.log(prior / (1 - prior)))
     return index, *fit_nnpu(positive, unlabelled, len(index), prior, params)
 
 
