@@ -7,8 +7,10 @@ tokens outside the base patterns become spans of kind "owned" when only one owne
 In documents the owner is `source`; a repository is one source's files in one language.
 
 Only (hash, repository, owner) triples and span lists are shuffled, never texts. A value that a third of all rows
-carry is reduced to one row for each task before the shuffle. Defined cases: null and empty texts have no spans;
-null owners count as one owner of their own; repeated rows are scanned each; extra columns are ignored.
+carry is reduced to one row for each task before it is counted, and dealt over many tasks where its spans meet the
+counts. Defined cases: null and empty texts have no spans; null owners count as one owner of their own; repeated rows
+and null ids are scanned each (repeated rows of one owner still are one owner); spans that begin together are ordered
+by kind as listed, "owned" last; work is linear in very long texts but for sorting; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import cut, from_text
+from leadflow.plans.lineage import skew_join
 
 #: Kinds in the order of the report, each with its pattern, the group that holds the value, and the least length of it.
 KINDS = (
@@ -60,10 +64,15 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def generic_spans(text: str, taken: list[tuple[int, int, str, str]], p: SecretParams) -> list[tuple[int, int, str, str]]:
-    out = []
+    """High-entropy tokens that overlap no span of taken (ordered by start)."""
+    starts, reach, out = [x[0] for x in taken], [], []
+    for _, e, _, _ in taken:
+        reach.append(max(e, reach[-1]) if reach else e)
     for m in GENERIC.finditer(text):
-        v = m[0]
-        if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and entropy(v) >= p.least_entropy and not any(s < m.end() and m.start() < e for s, e, _, _ in taken):
+        v, before = m[0], bisect_left(starts, m.end())
+        if before and reach[before - 1] > m.start():
+            continue
+        if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and round(entropy(v), 9) >= p.least_entropy:
             out.append((m.start(), m.end(), "owned", v))
     return out
 
@@ -98,7 +107,8 @@ def secrets(docs: DataFrame, p: SecretParams = SecretParams(), owner: str = "sou
     # one row for each span, judged by its value's owners, then back to one row for each carrier
     keyed = carriers.withColumn("_row", F.expr("uuid()"))
     keyed = cut(keyed)
-    spans = keyed.select("_row", F.explode("found").alias("x")).select("_row", "x.*").join(owners, "hash")
+    spans = keyed.select("_row", F.explode("found").alias("x")).select("_row", "x.*")
+    spans = skew_join(spans, owners, "hash", "_row")
     live = F.col("owners") <= p.most_owners
     kept = spans.where((F.col("kind") != "owned") | live).groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("s", F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3).alias("k"), "e", "kind"))).alias("all"),
