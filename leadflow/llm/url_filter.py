@@ -2,25 +2,31 @@
 
 Two smoothed Markov models of variable order, one of URLs that a rule accepts and one of those that a rule rejects,
 give each URL a log-likelihood difference a character; a threshold calibrated on a fold kept from training turns it
-into a verdict. Counts of (context, character) go to hashed tables of fixed size, so the broadcast model is bounded
-by PARAMS whatever the number of URLs; the counts themselves come from every URL that a rule judges.
+into a verdict.
+
+Counts are exact and grow with the corpus: every character of every URL with the `order` characters before it is one
+row, and grams of a lower order are sums over those of the highest. A character's probability after k characters is
+its count there smoothed by its probability after k - 1; a context seen fewer than `least` times in training adds
+nothing to the shorter one. Models are tables of (gram, log ratio) that URLs meet in a join; only the few hundred
+grams that make up most of all URLs are broadcast, a bounded list.
 
 Defined cases: a URL that is null or lacks "://" has an empty host and path, fits no rule and is scored as the text
 it is (null: empty); an empty URL has the score 0; with one kind of example only, the verdict is allow unless a
-rule blocks. Repeated rows are judged each. Ties at the threshold are allowed. Extra columns are ignored.
+rule blocks. Repeated rows and null ids are judged each, and count each in training. Ties at the threshold are
+allowed; among thresholds that err equally often, the middle one counts. Very long URLs are read whole. Extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import from_text, lower_ascii
+from leadflow.llm.common import cut, lower_ascii
+from leadflow.plans.lineage import SHARES
 
 #: (rule, verdict): a host, "/", and the beginning of a path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -28,11 +34,12 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 
 @dataclass(frozen=True)
 class UrlParams:
-    """2 classes x (order + 1) x 2 tables of 2**bits counts are broadcast: 6 MB as given."""
+    """order: characters of context; least: training rows that a context needs; prior: weight of the shorter context."""
 
     order: int = 5
-    bits: int = 15
+    least: int = 2
     prior: float = 4.0
+    alphabet: int = 256
     bins: int = 400
     widest: float = 4.0
 
@@ -57,68 +64,36 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def _symbols(urls: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all URLs, each after `order` zeros, and the row of each byte (-1 for the zeros)."""
-    raw = [u.lower().encode() for u in urls]
-    n = np.array([len(r) for r in raw], np.int64)
-    text = np.frombuffer(b"".join(b"\0" * order + r for r in raw) + b"\0" * order, np.uint8)
-    row = np.full(len(text), -1, np.int64)
-    first = np.cumsum(n + order) - n
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    row[at] = np.repeat(np.arange(len(raw)), n)
-    return text, row
-
-
-def _slots(urls: list[str], p: UrlParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each character: its row, and by order the slots of its context and of context and character."""
-    text, row = _symbols(urls, p.order)
-    at = np.flatnonzero(row >= 0)
-    context, pair = np.zeros((p.order + 1, len(at)), np.int64), np.zeros((p.order + 1, len(at)), np.int64)
-    h = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
-    mix, shift = np.uint64(0xD6E8FEB86659FD93), np.uint64(64 - p.bits)
+def grams(url: Column, order: int) -> Column:
+    """For each character of the URL (A-Z lower-cased), it and the `order` characters before it; zeros stand before the first."""
+    text = F.concat(F.lit("\0" * order), lower_ascii(F.coalesce(url, F.lit(""))))
+    letters = F.split(text, "")
+    shifted = F.arrays_zip(*(F.slice(letters, k + 1, F.greatest(F.size(letters) - order, F.lit(0))).alias(f"c{k}") for k in range(order + 1)))
+    return F.when(F.length(url) > 0, F.transform(shifted, lambda x: F.concat(*(x[f"c{k}"] for k in range(order + 1))))).otherwise(F.array().cast("array<string>"))
+
+
+def log_ratios(counts: DataFrame, p: UrlParams = PARAMS) -> DataFrame:
+    """(gram, ratio): log of the accepted model's probability over the rejected one's, for each gram of counts.
+
+    counts: gram, a, r; a and r: how often training has it in accepted and rejected URLs.
+    """
+    before, model = None, None
     for k in range(p.order + 1):
-        if k:
-            h = (h ^ (text[at - k].astype(np.uint64) + np.uint64(1))) * mix
-            h ^= h >> np.uint64(32)
-        context[k] = ((h * mix) >> shift).astype(np.int64)
-        pair[k] = (((h ^ ((text[at].astype(np.uint64) + np.uint64(1)) << np.uint64(40))) * mix) >> shift).astype(np.int64)
-    return row[at], context, pair
-
-
-def url_counts(urls: DataFrame, p: UrlParams = PARAMS) -> np.ndarray:
-    """counts[class, table, order, slot] over all rows of urls (url, cls); table 0: contexts, 1: with the character."""
-    size = 1 << p.bits
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, 2, p.order + 1, size), np.int64)
-        for b in batches:
-            for c in (0, 1):
-                if own := [u or "" for u in b["url"][b["cls"] == c]]:
-                    _, context, pair = _slots(own, p)
-                    for k in range(p.order + 1):
-                        total[c, 0, k] += np.bincount(context[k], minlength=size)
-                        total[c, 1, k] += np.bincount(pair[k], minlength=size)
-        flat = total.ravel()
-        at = np.flatnonzero(flat)
-        yield pd.DataFrame({"slot": at, "n": flat[at]})
-
-    got = urls.mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(2 * 2 * (p.order + 1) * size)
-    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy()
-    return out.reshape(2, 2, p.order + 1, size)
-
-
-def llr(urls: list[str], counts: np.ndarray, p: UrlParams = PARAMS) -> np.ndarray:
-    """Log-likelihood difference a character, accepted minus rejected; 0 for an empty URL."""
-    row, context, pair = _slots(urls, p)
-    log = []
-    for c in (1, 0):
-        prob = np.full(len(row), 1 / 256)
-        for k in range(p.order + 1):  # each order leans on the one below it
-            prob = (counts[c, 1, k][pair[k]] + p.prior * prob) / (np.maximum(counts[c, 0, k][context[k]], counts[c, 1, k][pair[k]]) + p.prior)
-        log.append(np.log(prob))
-    n = np.bincount(row, minlength=len(urls))
-    return np.bincount(row, log[0] - log[1], len(urls)) / np.maximum(n, 1)
+        short = F.substr("gram", F.lit(p.order - k + 1))  # the last k + 1 characters
+        pairs = counts.groupBy(short.alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        contexts = pairs.groupBy(F.substr("g", F.lit(1), F.lit(k)).alias("c")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
+        model = pairs.withColumn("c", F.substr("g", F.lit(1), F.lit(k)))
+        if k == 0:
+            model = model.join(F.broadcast(contexts), "c")  # the empty context: one row
+            pa, pr = F.lit(1.0 / p.alphabet), F.lit(1.0 / p.alphabet)
+        else:
+            model = model.join(contexts, "c").withColumn("s", F.substr("g", F.lit(2))).join(before, "s")
+            pa, pr = F.col("pa"), F.col("pr")
+        known = (F.col("ca") + F.col("cr")) >= p.least
+        smooth = lambda n, all_, q: F.when(known, (F.col(n) + p.prior * q) / (F.col(all_) + p.prior)).otherwise(q)  # noqa: B023, E731
+        model = model.select("g", smooth("a", "ca", pa).alias("pa"), smooth("r", "cr", pr).alias("pr"))
+        before = model.withColumnRenamed("g", "s")
+    return model.select(F.col("g").alias("gram"), (F.log("pa") - F.log("pr")).alias("ratio"))
 
 
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, p: UrlParams = PARAMS) -> DataFrame:
@@ -126,29 +101,28 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, p:
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": rule, "_said": said})
-    cls = F.when(F.col("_said") == "allow", 1).otherwise(0)
-    seen = judged.where("_said is not null").select("url", cls.alias("cls"), (F.crc32(F.col("url").cast("binary")) % 5 == 0).alias("_kept_out"))
-    context = pages.sparkSession.sparkContext
-    shared = context.broadcast(url_counts(seen.where("not _kept_out"), p))
+    kept_out = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5 == 0
+    judged = cut(judged.withColumns({"rule": rule, "said": said, "kept_out": kept_out, "n": F.coalesce(F.length("url"), F.lit(0)), "row": F.monotonically_increasing_id()}))
+    each = judged.select("row", F.when(~F.col("kept_out"), F.col("said")).alias("teaches"), F.explode(grams(F.col("url"), p.order)).alias("gram"))
+    seen = Observation()
+    taught = [F.count_if(F.col("teaches") == v).alias(c) for v, c in (("allow", "a"), ("block", "r"))]
+    counts = cut(each.groupBy("gram").agg(*taught, F.count("*").alias("times")).observe(seen, F.sum("times").alias("total")))
+    ratios = cut(log_ratios(counts, p).join(counts.select("gram", "times"), "gram"))
+    # grams with more than one in SHARES of all characters: fewer than SHARES, so they may be broadcast
+    hot = F.col("times") > (seen.get["total"] or 0) / SHARES
+    common = each.join(F.broadcast(ratios.where(hot).select("gram", F.col("ratio").alias("known"))), "gram", "left")
+    here = common.groupBy("row").agg(F.sum("known").alias("d"))
+    rest = common.where("known is null").select("row", "gram").join(ratios.where(~hot).select("gram", "ratio"), "gram").groupBy("row").agg(F.sum("ratio").alias("d"))
+    sums = here.union(rest).groupBy("row").agg(F.sum("d").alias("d"))
+    scored = judged.join(sums, "row", "left").withColumn("score", F.coalesce(F.round(F.col("d") / F.greatest("n", F.lit(1)), 9), F.lit(0.0)))
+    scored = cut(scored.drop("row", "d", "n", "url"))
     width = 2 * p.widest / p.bins
-
-    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.clip(llr([u or "" for u in b["url"]], shared.value, p), -p.widest, p.widest - width)
-            yield pd.DataFrame({"cls": b["cls"], "bin": np.floor((s + p.widest) / width).astype("int32")})
-
+    bin_of = F.floor((F.least(F.greatest("score", F.lit(-p.widest)), F.lit(p.widest - width)) + p.widest) / width).cast("int")
     hist = np.zeros((2, p.bins))
-    for r in seen.where("_kept_out").select("url", "cls").mapInPandas(bins, "cls int, bin int").groupBy("cls", "bin").count().collect():
-        hist[r["cls"], r["bin"]] = r["count"]
-    threshold = calibrated(hist, p)
-
-    def score() -> Callable[[list[str | None]], dict]:
-        return lambda texts: {"score": llr([u or "" for u in texts], shared.value, p)}
-
-    out = from_text(judged, "url", score, {"score": "double"})
-    by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("_said", by_model).alias("verdict"), "score")
+    for r in scored.where("kept_out and said is not null").groupBy((F.col("said") == "allow").cast("int").alias("cls"), bin_of.alias("bin")).count().collect():
+        hist[r["cls"], r["bin"]] = r["count"]  # at most 2 * bins rows
+    by_model = F.when(F.col("score") >= calibrated(hist, p), "allow").otherwise("block")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("said", by_model).alias("verdict"), "score")
 
 
 def calibrated(hist: np.ndarray, p: UrlParams = PARAMS) -> float:
