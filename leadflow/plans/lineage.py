@@ -42,19 +42,24 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str | list[str], by: str | Column, how: str = "inner") -> DataFrame:
-    """left joined with right, which has few rows a key, when some keys may hold a large share of left.
-
-    Keys with more than one in SHARES rows of left are dealt over as many parts as they need, by the hash of `by`, and
-    their rows of right are repeated once a part: fewer than 2 * SHARES copies. The list of hot keys is thereby bounded
-    and may be broadcast. how: inner or left.
-    """
+def hot_keys(left: DataFrame, on: str | list[str]) -> DataFrame:
+    """The keys that hold more than one in SHARES of left's rows, fewer than SHARES of them, and how many parts each needs."""
     on = [on] if isinstance(on, str) else on
     seen = Observation()
     counts = cut(left.groupBy(*on).agg(F.count("*").alias("_n")).observe(seen, F.sum("_n").alias("total")))
     total = seen.get["total"] or 0
-    hot = counts.where(F.col("_n") > max(total / SHARES, 1000.0 / SHARES)).select(*on, F.ceil(F.col("_n") * SHARES / F.lit(max(total, 1))).cast("int").alias("_parts"))
-    hot = F.broadcast(hot)
+    return counts.where(F.col("_n") > max(total, 1000) / SHARES).select(*on, F.ceil(F.col("_n") * SHARES / F.lit(max(total, 1))).cast("int").alias("_parts"))
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str | list[str], by: str | Column, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has few rows a key, when some keys may hold a large share of left.
+
+    Hot keys are dealt over as many parts as they need, by the hash of `by`, and their rows of right are repeated once a
+    part: fewer than 2 * SHARES copies. The list of hot keys is bounded, so it may be broadcast. how: inner or left.
+    hot: hot_keys of left or of what left was filtered from, where they are at hand.
+    """
+    on = [on] if isinstance(on, str) else on
+    hot = F.broadcast(hot_keys(left, on) if hot is None else hot)
     part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")
     dealt = left.join(hot, on, "left").withColumn("_part", part).drop("_parts")
     copies = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
