@@ -11,7 +11,7 @@ import pytest
 
 from leadflow.llm import ngram_join as join
 from leadflow.llm.shingles import shingles_of, word_hashes
-from leadflow.llm.topk import SearchParams, top_k
+from leadflow.llm.topk import SearchParams, Shard, top_k
 
 DOCS = "doc_id long, text string, source string"
 
@@ -99,7 +99,7 @@ def test_search_matches_brute_force(spark):
     df = spark.createDataFrame([(k, t, "s") for k, t in texts.items()], DOCS).repartition(3)
     asked = [i for i in texts if i % 50 == 0]
     got = {}
-    for r in top_k(df, df.where("doc_id % 50 = 0"), SearchParams(k=7, shard_rows=60, block_terms=700)).collect():
+    for r in top_k(df, df.where("doc_id % 50 = 0"), SearchParams(k=7, segment_postings=600, shard_postings=2000, group_words=700)).collect():
         got.setdefault(r.query_id, {})[r.rank] = r.doc_id
     want = _bm25(texts, asked, 7)
     assert {q: [x[k] for k in sorted(x)] for q, x in got.items()} == {q: x for q, x in want.items() if x}
@@ -111,3 +111,28 @@ def test_search_edge_cases(spark):
     got = [(r.query_id, r["rank"], r.doc_id) for r in top_k(df, df.where("doc_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(50, 1, 50), (50, 2, 51)]
     assert top_k(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_cursors_skip_blocks_that_cannot_reach_the_threshold():
+    """Documents of two vocabularies: a query of one leaves most blocks of the other unread, and nothing is lost."""
+    rng = np.random.default_rng(2)
+    n = 64 * 40
+    kind = rng.integers(0, 2, n)
+    words = [np.unique(np.append(kind[i], rng.zipf(1.3, 30) % 200 * 2 + kind[i] + 10)) for i in range(n)]
+    words = [np.append(w, [7, 9][: 1 + (i % 97 == 0)]) for i, w in enumerate(words)]
+    size = np.array([len(w) for w in words])
+    of, h = np.repeat(np.arange(n, dtype=np.int32), size), np.concatenate(words).astype(np.int64)
+    tf = rng.integers(1, 5, len(h)).astype(np.int32)
+    p = SearchParams(k=5)
+    shard = Shard(np.arange(n), size, kind, of, h, tf, float(size.mean()), p)
+    impact = tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size[of] / size.mean()))
+    for q in range(20):
+        asked = np.unique(np.append(words[q], [7]))
+        weight = rng.random(len(asked)) + 0.1
+        t = np.searchsorted(shard.words, asked)
+        ids, scores = shard.search(t, weight)
+        w = dict(zip(asked.tolist(), weight.tolist(), strict=True))
+        full = np.round(np.bincount(of, impact * np.array([w.get(x, 0.0) for x in h.tolist()]), n), 6)
+        want = np.lexsort((np.arange(n), -full))[:5]
+        assert ids.tolist() == want.tolist() and np.allclose(scores, full[want])
+    assert 0 < shard.read < 0.7 * shard.bounded
