@@ -4,21 +4,25 @@ Each source's documents form blocks. Block k of a source with weight w is releas
 ceil((k + 1) / w); at every slot, the released block with the earliest deadline is placed, so a source's placed
 blocks never differ from w times the slots by one block or more.
 
-Weights are whole parts of SLOTS, so the schedule repeats every SLOTS slots: the driver schedules one period (a table
-of fixed size), and every block's slot follows from its number by arithmetic on the executors. When a source runs out,
-the rest continue with the same proportions in a new phase; there are at most as many phases as sources, and every
-document is placed exactly once.
+Weights are whole parts of `whole`, kept exactly: a source with p of the q parts that are left in a phase has the weight
+p / q, and the schedule repeats every q slots (less their common divisor). The driver schedules one such period, a
+table bounded by the parameters, and every block's slot follows from its number by arithmetic on the executors. When a
+source runs out, the rest continue with the same proportions in a new phase; there are at most as many phases as
+sources, and every document is placed exactly once.
 
 Numbers within a source come from counts of fixed-size hash ranges, not from one sort of the source, so a source that
-holds a third of all rows is spread over as many tasks as its rows need.
+holds a third of all rows is spread over as many tasks as its rows need. Only ids and sources are numbered; `mix` orders
+whole rows by what it finds.
 
-Defined cases: sources without a weight, and null sources, share the class REST with the weight that is left; a weight
-without documents is given to the others; rows with a null id come first in their range; repeated rows are placed
-each; the order of equal rows is open. Extra columns are kept by `mix` and ignored by `schedule`.
+Defined cases: sources without a weight, and null sources, share the class REST with the parts that are left (without
+any, REST follows all others); a weight without documents is given to the others; rows with a null id come first in
+their range; repeated rows are placed each; the order of equal rows is open; very long texts are rows like others.
+Extra columns, whatever their names, are kept by `mix` and ignored by `schedule`.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass, field
 
@@ -28,7 +32,6 @@ from pyspark.sql import functions as F
 from leadflow.llm.common import cut
 
 REST = "(rest)"
-SLOTS = 1000
 
 
 def _default_weights() -> dict[str, int]:
@@ -37,67 +40,62 @@ def _default_weights() -> dict[str, int]:
 
 @dataclass(frozen=True)
 class MixParams:
-    """weights: parts of SLOTS by source; block_rows: documents a block; range_rows: aim for rows in a hash range."""
+    """weights: parts of `whole` by source; block_rows: documents a block; range_rows: aim for rows in a hash range."""
 
     weights: dict[str, int] = field(default_factory=_default_weights)
+    whole: int = 1000
     block_rows: int = 8
-    range_rows: int = 20000
+    range_rows: int = 2000
     seed: int = 5
 
 
-def whole_parts(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Weights as whole parts of slots that sum to it, each at least 1, by largest remainder; ties by name."""
-    total = sum(weights.values())
-    exact = {k: w * slots / total for k, w in weights.items() if w > 0}
-    parts = {k: max(1, math.floor(x)) for k, x in exact.items()}
-    left = slots - sum(parts.values())
-    order = sorted(exact, key=lambda k: (-(exact[k] - math.floor(exact[k])), k))
-    for i in range(left):
-        parts[order[i % len(order)]] += 1
-    while left < 0:
-        most = max(parts, key=lambda k: (parts[k], k))
-        parts[most] -= 1
-        left += 1
-    return parts
+def reduced(parts: dict[str, int]) -> dict[str, int]:
+    """The same proportions in the smallest whole numbers; if all are 0, equal ones."""
+    parts = {k: w for k, w in parts.items() if w > 0} or dict.fromkeys(parts, 1)
+    common = math.gcd(*parts.values())
+    return {k: w // common for k, w in parts.items()}
 
 
-def pfair_period(parts: dict[str, int], slots: int = SLOTS) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks.
+def pfair_period(parts: dict[str, int]) -> list[str]:
+    """The source of each slot of one period, of as many slots as parts: earliest deadline first among released blocks.
 
-    Equal deadlines: first the block whose window overlaps its successor's, then the longer run of such windows (the
-    heavier source), then by name.
+    Equal deadlines: first the block whose window overlaps its successor's, then the heavier source, then by name.
     """
-    done, out = dict.fromkeys(parts, 0), []
+    slots = sum(parts.values())
+    waiting, ready, out = [(0, k, 0) for k in sorted(parts)], [], []  # (release, source, block)
+    heapq.heapify(waiting)
     for t in range(slots):
-        ready = [k for k, w in parts.items() if done[k] < w and done[k] * slots // w <= t]
-        if not ready:  # weights sum to slots, so something is always released
-            raise ValueError("weights do not fill the period")
-        due = {k: -(-(done[k] + 1) * slots // parts[k]) for k in ready}
-        best = min(ready, key=lambda k: (due[k], -(((done[k] + 1) * slots) % parts[k] > 0), -parts[k], k))
-        done[best] += 1
-        out.append(best)
+        while waiting and waiting[0][0] <= t:
+            _, k, n = heapq.heappop(waiting)
+            w = parts[k]
+            due, overlaps = -(-(n + 1) * slots // w), ((n + 1) * slots) % w > 0
+            heapq.heappush(ready, (due, not overlaps, -w, k, n))
+        *_, k, n = heapq.heappop(ready)  # parts sum to slots, so something is always released
+        out.append(k)
+        if n + 1 < parts[k]:
+            heapq.heappush(waiting, ((n + 1) * slots // parts[k], k, n + 1))
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, int], slots: int = SLOTS) -> list[dict]:
-    """Phases as dicts: parts, first (blocks of each source already placed), take (blocks of each placed in it), offset (slots before it)."""
+def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
+    """Phases as dicts: period, first (blocks of each source already placed), take (blocks of each placed in it), parts, offset (slots before it)."""
     left, done, offset, out = {k: n for k, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        parts = whole_parts({k: weights[k] for k in left}, slots) if len(left) > 1 else {k: slots for k in left}
-        period = pfair_period(parts, slots)
+        parts = reduced({k: weights[k] for k in left})
+        period, slots = pfair_period(parts), sum(parts.values())
         # the phase ends with the slot in which a source places its last block
-        whole = min(left[k] // parts[k] for k in left)
-        counts, cut_at = {k: whole * parts[k] for k in left}, whole * slots
-        if not any(left[k] == counts[k] for k in left):
+        whole = min(left[k] // w for k, w in parts.items())
+        counts, cut_at = {k: whole * w for k, w in parts.items()}, whole * slots
+        if not any(left[k] == n for k, n in counts.items()):
             for k in period:
                 counts[k] += 1
                 cut_at += 1
                 if counts[k] == left[k]:
                     break
-        out.append({"parts": parts, "period": period, "first": {k: done[k] for k in left}, "take": dict(counts), "offset": offset})
-        for k in list(left):
-            done[k] += counts[k]
-            left[k] -= counts[k]
+        out.append({"parts": parts, "period": period, "first": {k: done[k] for k in parts}, "take": dict(counts), "offset": offset})
+        for k, n in counts.items():
+            done[k] += n
+            left[k] -= n
             if not left[k]:
                 del left[k]
         offset += cut_at
@@ -109,57 +107,52 @@ def _class(source: Column, weights: dict[str, int]) -> Column:
 
 
 def _weights(p: MixParams) -> dict[str, int]:
-    return p.weights | {REST: max(1, SLOTS - sum(p.weights.values()))}
+    return p.weights | {REST: max(0, p.whole - sum(p.weights.values()))}
 
 
-def _placed(docs: DataFrame, p: MixParams) -> tuple[DataFrame, int]:
-    """docs with _class, _block and _slot."""
-    weights = _weights(p)
-    key = F.xxhash64(F.col("doc_id"), F.lit(p.seed))
-    rows = docs.withColumn("_class", _class(F.col("source"), p.weights)).withColumn("_key", key)
-    total = docs.select("source").count()
-    ranges = max(1, -(-total // p.range_rows))
+def _placed(docs: DataFrame, p: MixParams, *kept: Column) -> DataFrame:
+    """_class, _block, _phase, _slot and _key of each row of docs, with the columns `kept`."""
+    rows = docs.select(*kept, F.col("doc_id").alias("_id"), _class(F.col("source"), p.weights).alias("_class"), F.xxhash64(F.col("doc_id"), F.lit(p.seed)).alias("_key"))
+    ranges = max(1, -(-docs.select("source").count() // p.range_rows))
     # ranges of the signed 64-bit hash, ascending: rounding moves a border but never the order
     share = F.col("_key").cast("double") / F.lit(2.0**64) + 0.5
     rows = rows.withColumn("_range", F.least(F.floor(share * ranges), F.lit(ranges - 1)).cast("int"))
     sizes = cut(rows.groupBy("_class", "_range").agg(F.count("*").alias("_n")))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_class").orderBy("_range")) - F.col("_n")).drop("_n")
     blocks = {r["_class"]: -(-r["n"] // p.block_rows) for r in sizes.groupBy("_class").agg(F.sum("_n").alias("n")).collect()}  # one row a weight
-    plan = phases(blocks, weights)
-    spark = docs.sparkSession
     spans, table = [], []
-    for i, ph in enumerate(plan):
+    for i, ph in enumerate(phases(blocks, _weights(p))):
         seen: dict[str, int] = {}
         for t, k in enumerate(ph["period"]):
             table.append((i, k, seen.get(k, 0), t))
             seen[k] = seen.get(k, 0) + 1
-        spans += [(k, i, ph["first"][k], ph["first"][k] + ph["take"][k], ph["parts"][k], ph["offset"]) for k in ph["take"] if ph["take"][k]]
-    # at most (weights + 1) phases of SLOTS rows: a fixed bound, so both tables may be broadcast
-    slots = spark.createDataFrame(table, "_phase int, _class string, _turn long, _at long") if table else spark.createDataFrame([], "_phase int, _class string, _turn long, _at long")
-    reach = spark.createDataFrame(spans, "_class string, _phase int, _from long, _to long, _parts long, _offset long")
-    within = Window.partitionBy("_class", "_range").orderBy("_key", "doc_id")
+        spans += [(k, i, ph["first"][k], ph["first"][k] + n, ph["parts"][k], len(ph["period"]), ph["offset"]) for k, n in ph["take"].items() if n]
+    # at most (weights + 1) phases of `whole` slots, whatever the number of rows: both tables may be broadcast
+    spark = docs.sparkSession
+    slots = spark.createDataFrame(table, "_phase int, _class string, _turn long, _at long")
+    reach = spark.createDataFrame(spans, "_class string, _phase int, _from long, _to long, _parts long, _slots long, _offset long")
+    within = Window.partitionBy("_class", "_range").orderBy("_key", "_id")
     numbered = rows.withColumn("_i", F.row_number().over(within)).join(before, ["_class", "_range"])
     numbered = numbered.withColumn("_block", F.floor((F.col("_before") + F.col("_i") - 1) / p.block_rows).cast("long"))
     placed = numbered.join(F.broadcast(reach), "_class").where("_block >= _from and _block < _to")
     turn = F.col("_block") - F.col("_from")
     placed = placed.withColumn("_turn", turn % F.col("_parts")).withColumn("_cycle", F.floor(turn / F.col("_parts")))
     placed = placed.join(F.broadcast(slots), ["_phase", "_class", "_turn"])
-    return placed.withColumn("_slot", F.col("_offset") + F.col("_cycle") * SLOTS + F.col("_at")), len(plan)
+    return placed.withColumn("_slot", (F.col("_offset") + F.col("_cycle") * F.col("_slots") + F.col("_at")).cast("long"))
 
 
 def schedule(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """doc_id, source_class, block, phase and slot for each row of docs; slots order the blocks of the mixture."""
-    placed, _ = _placed(docs.select("doc_id", "source"), p)
-    return placed.select("doc_id", F.col("_class").alias("source_class"), F.col("_block").alias("block"), F.col("_phase").alias("phase"), F.col("_slot").cast("long").alias("slot"))
+    placed = _placed(docs, p)
+    return placed.select(F.col("_id").alias("doc_id"), F.col("_class").alias("source_class"), F.col("_block").alias("block"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"))
 
 
 def with_slot(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """docs with the slot of each row as an extra column; a slot holds one block, and every slot from 0 on is taken."""
-    placed, _ = _placed(docs, p)
-    return placed.select(*(F.col(c) for c in docs.columns), F.col("_slot").cast("long").alias("slot"))
+    return _placed(docs, p, F.struct("*").alias("_own")).select("_own.*", F.col("_slot").alias("slot"))
 
 
 def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """docs in their own columns and in the order of the mixture: sorted by slot, over ranges of slots."""
-    placed, _ = _placed(docs, p)
-    return placed.orderBy("_slot", "_key", "doc_id").select(*(F.col(c) for c in docs.columns))
+    placed = _placed(docs, p, F.struct("*").alias("_own"))
+    return placed.orderBy("_slot", "_key", "_id").select("_own.*")
