@@ -2,24 +2,24 @@
 
 Documents go into bins of fixed capacity (words), longest first. Open bins are ordered by what is left in them; the
 search begins at the smallest residual that holds the piece and goes on to the next until a bin is compatible, so the
-tightest compatible bin is taken. A bin's bitmaps hold the duplicate clusters in it (never two of one cluster) and, in
+tightest compatible bin is taken; stretches of bins that all conflict are passed over at once. A bin's bitmaps hold the duplicate clusters in it (never two of one cluster) and, in
 `planes` layers, its sources (never more than `planes` of one source).
 
 A document longer than a bin fills whole bins of its own; what remains of it is packed as a piece. Rows are dealt by
-hash into shards of about shard_rows rows, each packed for itself; only ids, lengths, sources and clusters are
-shuffled. Bins of a shard left open stay open: at most one bin in planes * capacity is lost to a shard's end.
+hash, of their place in the input too, into shards of about shard_rows rows, each packed for itself, so copies that
+may hold a third of all rows spread over all shards; only ids, lengths, sources and clusters are shuffled. Bins of a shard left open stay open: at most one bin in planes * capacity is lost to a shard's end.
 
 With a mixture, a shard is a range of its slots instead, so that shards follow the order of the mixture and each holds
 the sources in its proportions; bins of a shard are numbered by their first slot, pieces of a bin lie in slot order.
 
 Defined cases: a text without words (or null) takes one bin place of length 0; null sources count as one source; a
 null cluster conflicts with nothing; repeated rows share a cluster and so never a bin; equally tight bins: the one
-opened first; extra columns are ignored.
+opened first; equally long pieces: by id, then cluster; a null id is a row like others, last among equals; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import pandas as pd
@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from leadflow.llm.common import SPACE, lower_ascii
 from leadflow.llm.mixing import MixParams, with_slot
+from leadflow.plans.lineage import skew_join
 
 
 @dataclass(frozen=True)
 class PackParams:
     capacity: int = 2048
     planes: int = 4
-    shard_rows: int = 10000
+    shard_rows: int = 2000
     seed: int = 13
 
 
@@ -44,35 +45,76 @@ def word_count(text: Column) -> Column:
     return (F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
 
 
+class OpenBins:
+    """Open bins of a shard by what is left in them: a tree over residuals whose nodes hold what all bins below share.
+
+    A bin's mask has a bit for each cluster in it and for each source that is full in it. A node's mask is the
+    conjunction of the masks below, so a subtree in which every bin conflicts with a piece is passed over in one step, and
+    the search for the tightest compatible bin goes on to the next larger residual only where one may be.
+    """
+
+    def __init__(self, capacity: int):
+        self.size = 1 << max(1, capacity).bit_length()
+        self.node = [-1] * (2 * self.size)  # -1: no bin below, every bit set
+        self.at: dict[int, dict[int, int]] = {}  # residual -> bin -> mask, bins in order of opening
+
+    def put(self, left: int, b: int, mask: int) -> None:
+        bins = self.at.setdefault(left, {})
+        last = next(reversed(bins), -1)
+        bins[b] = mask
+        if b < last:
+            self.at[left] = dict(sorted(bins.items()))
+        i = left + self.size
+        while i:
+            self.node[i] &= mask
+            i >>= 1
+
+    def take(self, left: int, b: int) -> int:
+        """Remove a bin and give its mask."""
+        bins = self.at[left]
+        mask, all_ = bins.pop(b), -1
+        for m in bins.values():
+            all_ &= m
+        i = left + self.size
+        self.node[i] = all_
+        while i > 1:
+            i >>= 1
+            self.node[i] = self.node[2 * i] & self.node[2 * i + 1]
+        return mask
+
+    def tightest(self, least: int, conflicts: int) -> tuple[int, int] | None:
+        """(left, bin) of the compatible bin with the smallest residual of at least `least`, the one opened first among equals."""
+        return self._search(1, 0, self.size, least, conflicts)
+
+    def _search(self, i: int, low: int, width: int, least: int, conflicts: int) -> tuple[int, int] | None:
+        if low + width <= least or self.node[i] & conflicts or self.node[i] == -1:
+            return None
+        if width == 1:
+            return next(((low, b) for b, m in self.at[low].items() if not m & conflicts), None)
+        half = width // 2
+        return self._search(2 * i, low, half, least, conflicts) or self._search(2 * i + 1, low + half, half, least, conflicts)
+
+
 def pack_shard(sizes: list[int], sources: list[str], clusters: list[int | None], capacity: int, planes: int) -> list[int]:
     """The bin of each piece, bins numbered from 0 in order of opening; pieces are placed in the order given."""
-    source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources))}
     cluster_bit = {c: 1 << i for i, c in enumerate(sorted(_repeated(clusters)))}  # a cluster met once needs no bit
-    order: list[tuple[int, int]] = []  # (what is left, bin), ascending
-    layers: list[list[int]] = []  # of each bin: `planes` source bitmaps
-    held: list[int] = []  # of each bin: its cluster bitmap
-    out = []
+    source_bit = {s: 1 << (i + len(cluster_bit)) for i, s in enumerate(dict.fromkeys(sources))}
+    bins, layers, out = OpenBins(capacity), [], []  # layers: of each bin, `planes` source bitmaps
     for n, s, c in zip(sizes, sources, clusters, strict=True):
         sb, cb = source_bit[s], cluster_bit.get(c, 0)
-        at = bisect_left(order, (n, -1))
-        while at < len(order):
-            b = order[at][1]
-            if not held[b] & cb and not layers[b][-1] & sb:
-                break
-            at += 1
-        if at < len(order):
-            left, b = order.pop(at)
+        found = bins.tightest(n, sb | cb)
+        if found:
+            left, b = found
+            mask = bins.take(left, b)
         else:
-            left, b = capacity, len(layers)
+            left, b, mask = capacity, len(layers), 0
             layers.append([0] * planes)
-            held.append(0)
-        held[b] |= cb
         for k in range(planes):
             if not layers[b][k] & sb:
                 layers[b][k] |= sb
                 break
         if left > n or not n:
-            insort(order, (left - n, b))
+            bins.put(left - n, b, mask | cb | (layers[b][-1] & sb))
         out.append(b)
     return out
 
@@ -93,13 +135,13 @@ def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Col
     place of cluster for all rows with an id.
     """
     cluster = F.when(F.length("text") > 0, F.xxhash64(lower_ascii(F.col("text")))) if cluster is None else cluster
-    rows = docs.select("doc_id", word_count(F.col("text")).alias("n"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
+    rows = docs.select("doc_id", word_count(F.col("text")).alias("n"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), F.monotonically_increasing_id().alias("place"))
     if members is not None:
         near = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_near"))
-        rows = rows.join(near, "doc_id", "left").withColumn("cluster", F.coalesce("_near", "cluster")).drop("_near")
+        rows = skew_join(rows, near, "doc_id", "place", "left").withColumn("cluster", F.coalesce("_near", "cluster")).drop("_near")
     if mixture is None:
         n_shards = max(1, -(-docs.select("doc_id").count() // p.shard_rows))
-        rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "n", "cluster", F.lit(p.seed)), F.lit(n_shards)).cast("int"))
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64("place", "doc_id", "n", F.lit(p.seed)), F.lit(n_shards)).cast("int"))
     else:
         shard_slots = max(1, p.shard_rows // mixture.block_rows)
         rows = with_slot(rows, mixture).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))

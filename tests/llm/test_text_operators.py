@@ -111,12 +111,20 @@ def test_url_model_tells_languages_of_urls_apart(spark):
 
 
 def test_pfair_keeps_every_source_within_a_block():
-    parts = mixing.whole_parts({"a": 0.37, "b": 0.21, "c": 0.2, "d": 0.12, "e": 0.07, "f": 0.03})
-    assert sum(parts.values()) == 1000
+    parts = mixing.reduced({"a": 3700, "b": 2100, "c": 2000, "d": 1197, "e": 1000, "f": 3})
+    assert sum(parts.values()) == 10000
     done = dict.fromkeys(parts, 0)
     for t, k in enumerate(mixing.pfair_period(parts), 1):
         done[k] += 1
-        assert all(abs(done[s] - parts[s] * t / 1000) < 1 for s in parts), t
+        assert all(abs(done[s] * 10000 - parts[s] * t) < 10000 for s in parts), t
+    assert done == parts
+
+
+def test_phases_keep_exact_proportions_and_place_all_blocks():
+    weights = {"a": 300, "b": 7, "c": 0, "d": 693}
+    got = mixing.phases({"a": 50, "b": 9, "c": 4, "d": 20}, weights)
+    assert {k: sum(ph["take"].get(k, 0) for ph in got) for k in weights} == {"a": 50, "b": 9, "c": 4, "d": 20}
+    assert got[1]["parts"] == {"a": 300, "b": 7} and got[-1]["parts"] == {"c": 1} and got[-1]["take"] == {"c": 4}
 
 
 def test_mixing_places_every_row_once_and_near_its_weight(spark):
@@ -129,7 +137,7 @@ def test_mixing_places_every_row_once_and_near_its_weight(spark):
     assert (by_slot["nunique"] == 1).all() and (by_slot["count"] <= 5).all() and sorted(by_slot.index) == list(range(len(by_slot)))
     first = got[got["phase"] == 0]["slot"].max() + 1
     order = by_slot["first"].tolist()[:first]
-    share = mixing.whole_parts({k: w for k, w in {"src0": 300, "src1": 200, "src2": 200, mixing.REST: 300}.items()})
+    share = {"src0": 300, "src1": 200, "src2": 200, mixing.REST: 300}
     for t in range(1, first + 1):
         for k, w in share.items():
             assert abs(order[:t].count(k) - w * t / 1000) < 1
@@ -140,8 +148,9 @@ def test_mixing_places_every_row_once_and_near_its_weight(spark):
 
 
 def test_mixing_edge_cases(spark):
-    df = spark.createDataFrame([(1, "a", None, None), (1, "a", None, None), (None, None, "src0", None)], DOCS).selectExpr("*", "1 as block")
+    df = spark.createDataFrame([(1, "a", None, None), (1, "a", None, None), (None, None, "src0", None)], DOCS).selectExpr("*", "1 as block", "2 as _key", "3 as _i", "4 as slot", "5 as _own")
     assert mixing.schedule(df).count() == 3 and mixing.mix(df).columns == df.columns
+    assert {tuple(r)[4:] for r in mixing.mix(df).collect()} == {(1, 2, 3, 4, 5)}
     assert mixing.schedule(df.limit(0)).collect() == [] and mixing.mix(df.limit(0)).collect() == []
 
 
@@ -168,6 +177,14 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.pack_shard(sizes, sources, clusters, 100, 2) == _naive_pack(sizes, sources, clusters, 100, 2)
 
 
+def test_equal_rows_pack_in_little_time():
+    import time
+
+    began = time.perf_counter()
+    assert packing.pack_shard([7] * 20000, ["s"] * 20000, [1] * 20000, 100, 4) == list(range(20000))
+    assert time.perf_counter() - began < 20
+
+
 def test_packing_is_whole_and_without_conflicts(spark):
     rows = [(i, " ".join(["w"] * (i % 37)) + f" x{i % 9}", f"s{i % 4}", "en") for i in range(500)] + [(1000, " ".join(f"v{i}" for i in range(105)), "s0", "en"), (1001, None, None, None), (1002, "", "s1", "en"), (None, "a b", "s1", "en")]
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as shard", "2 as bin")
