@@ -17,9 +17,14 @@
 6. Pairs whose ends already share a component are not formed. So each pair of classes either is verified, is linked
    by the triangle inequality, is excluded by a bound, or cannot change a component.
 
+Texts are hashed three times: for the sketch, for prefixes, and once more where a class has a candidate; those sets and
+their counts by part are written once, and all filters and checks read that table. A shingle that thousands of classes
+share, and a pivot that thousands meet, are hot keys: they are dealt over as many tasks as they need.
+
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component; rows that
 share a doc_id are one document (their links are joined); a null doc_id is never linked and has a null component;
-ties in rarity are broken by hash; extra columns are ignored.
+ties in rarity are broken by hash; very long texts are hashed whole; extra columns, whatever their names, are ignored by
+ngram_join and kept by keep_one.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import cut, in_arrow, may_contain, membership, pieces
+from leadflow.llm.common import cut, in_arrow, may_contain, membership, pieces, unused
 from leadflow.llm.shingles import mix, shingles_of, word_hashes
 from leadflow.operators.components import connected_components
+from leadflow.plans.lineage import SHARES, hot_keys, skew_join
 
 SIZE = 5
 #: The threshold in percent.
@@ -42,8 +48,9 @@ PERCENT = 80
 SKETCH_BITS = 18
 #: Longest posting list whose members meet pair by pair.
 SMALL = 16
-#: Similarity to a pivot under which a member is a stranger; strangers link only to members under MIDDLE = 0.2 more.
-STRANGER, MIDDLE = 0.4, 0.6
+#: Similarity to a pivot under which a member is a stranger. A stranger's distance to the pivot is over 1 - STRANGER, so
+#: by the triangle inequality it links only to members whose similarity is below STRANGER + 1 - percent / 100.
+STRANGER = 0.4
 
 
 def sketch(docs: DataFrame, size: int = SIZE) -> np.ndarray:
@@ -102,23 +109,10 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), kind))
 
 
-def _from_sets(docs: DataFrame, size: int, make: Callable[[np.ndarray], np.ndarray], kind: pa.DataType, ddl: str) -> DataFrame:
-    """doc_id and an array s that make() gives of the whole set, for each row of docs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([make(shingles_of(w, size)) for w in word_hashes(b.column(1).to_pylist())], kind)], ["doc_id", "s"])
-
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, s array<{ddl}>")
-
-
-def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    return _from_sets(docs, size, lambda s: s.astype(np.int64), pa.int64(), "long")
-
-
-def part_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Counts of a set's shingles in as many equal parts of the hash space as it has shingles, rounded up to a power of two.
+def hashed_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, the whole set s and its counts by part c, for each row of docs.
 
+    c counts a set's shingles in as many equal parts of the hash space as it has shingles, rounded up to a power of two.
     The difference of two sets' counts is a lower bound of their Hamming distance; counts stop at 127, which keeps it one.
     """
 
@@ -126,7 +120,12 @@ def part_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
         bits = max(1, (len(s) - 1).bit_length())
         return np.minimum(np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 127).astype(np.int8)
 
-    return _from_sets(docs, size, count, pa.int8(), "byte")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            sets = [shingles_of(w, size) for w in word_hashes(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([s.astype(np.int64) for s in sets], pa.int64()), _lists([count(s) for s in sets], pa.int8())], ["doc_id", "s", "c"])
+
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, s array<long>, c array<byte>")
 
 
 def _passes(na: Column, nb: Column, ia: Column, ib: Column, percent: int) -> Column:
@@ -142,12 +141,19 @@ def _needed(s: Column, percent: int) -> Column:
     return F.ceil(percent * s / F.lit(100.0 + percent) - 1e-9)
 
 
-def _with_ends(docs: DataFrame, pairs: DataFrame, arrays: Callable[[DataFrame], DataFrame], a: str, b: str) -> DataFrame:
-    """pairs with the arrays of both ends as columns a and b; only texts that a bitmap of the ends marks are hashed."""
+def _ends(docs: DataFrame, pairs: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """hashed_sets of the ends of pairs as a written table; only texts that a bitmap of the ends marks are hashed."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     wanted = may_contain(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", membership(ids, "doc_id")).where("_maybe")
-    own = arrays(wanted).join(ids, "doc_id", "left_semi")
-    return pairs.join(own.select(F.col("doc_id").alias("b"), F.col("s").alias(b)), "b").join(own.select(F.col("doc_id").alias("a"), F.col("s").alias(a)), "a")
+    sets = cut(hashed_sets(wanted, size))
+    return cut(sets.dropDuplicates(["doc_id", "s"])) if repeated else sets
+
+
+def _with_ends(ends: DataFrame, pairs: DataFrame, c: str, a: str, b: str, hot: DataFrame | None = None) -> DataFrame:
+    """pairs with column c of both ends as columns a and b; hot: hot keys among the first ends."""
+    met = pairs.join(ends.select(F.col("doc_id").alias("b"), F.col(c).alias(b)), "b")
+    own = ends.select(F.col("doc_id").alias("a"), F.col(c).alias(a))
+    return met.join(own, "a") if hot is None else skew_join(met, own, "a", "b", hot=hot)
 
 
 def _folded(x: str, y: str) -> Column:
@@ -157,22 +163,13 @@ def _folded(x: str, y: str) -> Column:
     return F.when(r == 1, F.transform(x, lambda v: v.cast("int"))).otherwise(fewer)
 
 
-def _bounded(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+def _bounded(ends: DataFrame, pairs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """pairs with `most`: an upper bound of the shingles that their ends share (suffix filter)."""
-    met = _with_ends(docs, pairs, lambda d: part_counts(d, size), "pa", "pb")
+    met = _with_ends(ends, pairs, "c", "pa", "pb", hot)
     far = F.aggregate(F.zip_with(_folded("pa", "pb"), _folded("pb", "pa"), lambda x, y: F.abs(F.least(x, F.lit(127)) - F.least(y, F.lit(127)))), F.lit(0), lambda s, x: s + x)
     return met.withColumn("most", F.floor((F.col("na") + F.col("nb") - far) / 2)).drop("pa", "pb")
 
 
-def _near(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (a, b, na, nb) that the suffix filter lets through."""
-    return _bounded(docs, pairs, size).where(F.col("most") >= _needed(F.col("na") + F.col("nb"), percent)).drop("most")
-
-
-def _with_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    return _with_ends(docs, pairs, lambda d: shingle_sets(d, size), "sa", "sb")
-
-
 def _one_way(pairs: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, na, nb) with a < b."""
     turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))
@@ -226,8 +223,10 @@ def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, small:
     filled = rows.where("n > 0 and doc_id is not null")
     classes = cut(filled.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("i", "token"))
-    common = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    index = cut(postings.join(common, "token").select("token", "rep", "n", "i", "k"))
+    common = cut(postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
+    total = common.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    often = common.where(F.col("k") > max(total, 1000) / SHARES).select("token", F.ceil(F.col("k") * SHARES / F.lit(max(total, 1))).cast("int").alias("_parts"))
+    index = cut(skew_join(postings, common, "token", "rep", hot=often).select("token", "rep", "n", "i", "k"))
     # rows of one doc_id with different texts are one document
     several = filled.groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n")).alias("x"), F.max(F.struct("s1", "s2", "n")).alias("y")).where("x <> y").select("doc_id")
     same_id = filled.join(several, "doc_id", "left_semi").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -239,16 +238,18 @@ def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, small:
     direct = left.join(right, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
     long = index.where(F.col("k") > small)
     pivot = long.groupBy("token").agg(F.min(F.struct("i", F.xxhash64("rep").alias("o"), F.col("rep").alias("p"), F.col("n").alias("np"))).alias("x")).select("token", "x.p", "x.np")
-    listed = cut(long.join(pivot, "token"))
+    listed = cut(skew_join(long, pivot, "token", "rep", hot=often))
     star = listed.where("rep <> p").select(F.col("p").alias("a"), F.col("rep").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")).distinct()
     asked = cut(direct.withColumn("star", F.lit(False)).union(star.withColumn("star", F.lit(True))))
-    first = cut(_bounded(docs, asked, size))
+    repeated = not filled.groupBy("doc_id").count().where("count > 1").isEmpty()
+    ends, hot = _ends(docs, asked, size, repeated), hot_keys(asked, "a")
+    first = cut(_bounded(ends, asked, hot))
     both = F.col("na") + F.col("nb")
     strange = F.col("star") & (F.col("most") < STRANGER * (both - F.col("most")))
     close = first.where(~strange & (F.col("star") | (F.col("most") >= _needed(both, percent)))).drop("most")
     shared = F.size(F.array_intersect("sa", "sb"))
     either = F.size("sa") + F.size("sb") - F.col("k")
-    met = _with_sets(docs, close, size).withColumn("k", shared).withColumn("like", F.col("k") / either)
+    met = _with_ends(ends, close, "s", "sa", "sb", hot).withColumn("k", shared).withColumn("like", F.col("k") / either)
     delta = F.when(F.col("star") & (F.col("like") >= STRANGER), F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_except("sa", "sb"))))
     seen = cut(met.select("a", "b", "na", "nb", "star", "like", (100 * F.col("k") >= percent * either).alias("linked"), delta.alias("delta")))
     links = cut(same_id.union(seen.where("linked").select("a", "b")))
@@ -257,14 +258,14 @@ def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, small:
 
     stars = seen.where("star").select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("nb").alias("n"), "linked", "like", "delta")
     family, sure = _family_pairs(stars.where("delta is not null").drop("like"), labels, percent)
-    ranked = listed.where("rep <> p").join(stars.where(F.col("like") < MIDDLE).select("p", F.col("x").alias("rep"), "like").union(known), ["p", "rep"])
+    ranked = listed.where("rep <> p").join(stars.where(F.col("like") < STRANGER + 1 - percent / 100).select("p", F.col("x").alias("rep"), "like").union(known), ["p", "rep"])
     loose = cut(_labelled(ranked, labels, "rep"))
     other = loose.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("c_rep").alias("cb"), F.col("like").alias("likeb"))
     odd = loose.where(F.col("like") < STRANGER).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c_rep").alias("ca"))
     stranger = odd.join(other, "token").where((F.col("ca") != F.col("cb")) & ((F.col("likeb") >= STRANGER) | (F.col("a") < F.col("b"))) & fits)
     more = cut(_one_way(family.union(stranger.select("a", "b", "na", "nb"))))
-    second = cut(_near(docs, more, size, percent))
-    last = _with_sets(docs, second, size).withColumn("k", shared).where(100 * F.col("k") >= percent * either).select("a", "b")
+    second = cut(_bounded(ends, more).where(F.col("most") >= _needed(F.col("na") + F.col("nb"), percent)).drop("most"))
+    last = _with_ends(ends, second, "s", "sa", "sb").withColumn("k", shared).where(100 * F.col("k") >= percent * either).select("a", "b")
     labels = connected_components(links.union(sure).union(last), "a", "b")
 
     component = classes.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
@@ -281,10 +282,10 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     marks = cut(ngram_join(docs, size, percent).select("doc_id", "component_id"))
     gone = marks.where("doc_id <> component_id").select("doc_id").distinct()
     again = marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_k")).where("_k > 1").select("doc_id")
-    columns = [F.col(c) for c in docs.columns]
-    tested = may_contain(docs, "doc_id", membership(gone.union(again), "doc_id"))
-    sure = tested.where("doc_id is null or not _maybe").select(*columns)
-    unsure = tested.where("doc_id is not null and _maybe").select(*columns).join(gone, "doc_id", "left_anti")
+    columns, mark = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "_maybe")
+    tested = may_contain(docs, "doc_id", membership(gone.union(again), "doc_id"), mark)
+    sure = tested.where(F.col("doc_id").isNull() | ~F.col(mark)).select(*columns)
+    unsure = tested.where(F.col("doc_id").isNotNull() & F.col(mark)).select(*columns).join(gone, "doc_id", "left_anti")
     repeated = unsure.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     single = unsure.join(again, "doc_id", "left_anti")
     return sure.union(single.select(*columns)).union(repeated.select(*columns))

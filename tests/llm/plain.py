@@ -57,7 +57,7 @@ def shingles(text, size=5):
     return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
 
 
-def components(texts):
+def components(texts, percent=80):
     """doc_id -> smallest doc_id reachable, of a dict doc_id -> text; every pair is compared."""
     sets = {k: shingles(t) for k, t in texts.items()}
     root = {k: k for k in texts}
@@ -70,7 +70,7 @@ def components(texts):
     ids = sorted(texts)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {k: find(k) for k in ids}

@@ -57,13 +57,21 @@ def test_join_edge_cases(spark):
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as n", "2 as token", "3 as prefix")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in join.ngram_join(df).collect())
     assert got == [(False, 1, 1), (False, 1, 1), (False, 2, 1), (False, 3, 3), (False, 4, 4), (True, 0, None)]
+    df = df.selectExpr("*", "7 as _maybe", "8 as _word", "9 as _bits", "6 as _shift", "5 as own", "4 as `a.b`")
     kept = join.keep_one(df)
+    assert {tuple(r)[6:] for r in kept.collect()} == {(7, 8, 9, 6, 5, 4)}
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0)]
     assert join.ngram_join(df.limit(0)).collect() == []
     assert join.keep_one(df.limit(0)).collect() == []
 
 
+def test_components_match_brute_force_at_another_threshold(spark):
+    texts = _corpus()
+    got = {r.doc_id: r.component_id for r in join.ngram_join(spark.createDataFrame([(k, t, "s") for k, t in texts.items()], DOCS), percent=50, small=3).collect()}
+    assert got == plain.components(texts, 50)
+
+
 def test_one_document_with_two_texts_joins_their_links(spark):
     rows = [(5, "a b c d e f g", "x"), (5, "h i j k l m n", "x"), (6, "a b c d e f g", "x"), (7, "h i j k l m n", "x")]
     got = {(r.doc_id, r.component_id) for r in join.ngram_join(spark.createDataFrame(rows, DOCS)).collect()}
