@@ -126,13 +126,16 @@ def test_cursors_skip_blocks_that_cannot_reach_the_threshold():
     rng = np.random.default_rng(2)
     n = 64 * 40
     kind = rng.integers(0, 2, n)
+    kind.sort()  # as segments order them
     words = [np.unique(np.append(kind[i], rng.zipf(1.3, 30) % 200 * 2 + kind[i] + 10)) for i in range(n)]
     words = [np.append(w, [7, 9][: 1 + (i % 97 == 0)]) for i, w in enumerate(words)]
     size = np.array([len(w) for w in words])
     of, h = np.repeat(np.arange(n, dtype=np.int32), size), np.concatenate(words).astype(np.int64)
     tf = rng.integers(1, 5, len(h)).astype(np.int32)
     p = SearchParams(k=5)
-    shard = Shard(np.arange(n), size, kind, of, h, tf, float(size.mean()), p)
+    by = np.lexsort((of, h))
+    runs, counts = np.unique(h, return_counts=True)
+    shard = Shard(np.arange(n), size, runs, counts, of[by], tf[by], float(size.mean()), p)
     impact = tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size[of] / size.mean()))
     for q in range(20):
         asked = np.unique(np.append(words[q], [7]))
