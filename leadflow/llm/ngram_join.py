@@ -150,10 +150,14 @@ def _ends(docs: DataFrame, pairs: DataFrame, size: int, repeated: bool) -> DataF
 
 
 def _with_ends(ends: DataFrame, pairs: DataFrame, c: str, a: str, b: str, hot: DataFrame | None = None) -> DataFrame:
-    """pairs with column c of both ends as columns a and b; hot: hot keys among the first ends."""
-    met = pairs.join(ends.select(F.col("doc_id").alias("b"), F.col(c).alias(b)), "b")
-    own = ends.select(F.col("doc_id").alias("a"), F.col(c).alias(a))
-    return met.join(own, "a") if hot is None else skew_join(met, own, "a", "b", hot=hot)
+    """pairs with column c of both ends as columns a and b; hot: hot keys among the first ends. Only what a side needs is shuffled."""
+
+    def side(end: str, name: str) -> DataFrame:
+        own = ends.select(F.col("doc_id").alias(end), F.col(c).alias(name))
+        return may_contain(own, end, membership(pairs.select(end).distinct(), end)).where("_maybe").drop("_maybe")
+
+    met = pairs.join(side("b", b), "b")
+    return met.join(side("a", a), "a") if hot is None else skew_join(met, side("a", a), "a", "b", hot=hot)
 
 
 def _folded(x: str, y: str) -> Column:
