@@ -96,3 +96,29 @@ def first_in_table(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def locative(rows: DataFrame, forms: DataFrame, city: str = "city") -> DataFrame:
+    """rows with city_locative: the form of forms (city, locative), else the city itself. X24: forms are a list of known cities."""
+    known = forms.select(F.col("city").alias("_c"), "locative").dropDuplicates(["_c"])
+    j = rows.join(known, F.col(city) == F.col("_c"), "left")
+    return j.select(*rows.columns, F.coalesce("locative", F.col(city)).alias("city_locative"))
+
+
+def contact_zone(html: Column) -> Column:
+    """Lower-cased text of a page's footer, else its address, else a block named contact or footer, else of all of it. X36."""
+    block = lambda tag: F.regexp_extract(html, f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}>", 1)
+    named = F.regexp_extract(html, r"""(?is)<(\w+)\b[^>]*\bid\s*=\s*["'][^"']*(?:contact|footer)[^"']*["'][^>]*>(.*?)</\1>""", 2)
+    zone = F.coalesce(*(F.when(x != "", x) for x in (block("footer"), block("address"), named)), html)
+    return F.lower(F.regexp_replace(zone, "<[^>]*>", " "))
+
+
+def contact_city(pages: DataFrame, key: str, html: str, roots: DataFrame) -> DataFrame:
+    """(key, city) of the first foreign city, by order of roots, that a page's contact zone names at the start of a word. X36.
+
+    roots: ordinal, root, city; a list of known cities, so it is broadcast in whole.
+    """
+    text = pages.select(key, contact_zone(F.col(html)).alias("_t"))
+    at = F.instr(F.col("_t"), F.col("root"))
+    hit = text.join(F.broadcast(roots), (at > 0) & ~F.coalesce(F.substr("_t", at - 1, F.lit(1)).rlike(r"\p{L}") & (at > 1), F.lit(False)))
+    return hit.groupBy(key).agg(F.min_by("city", "ordinal").alias("city"))

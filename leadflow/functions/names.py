@@ -110,3 +110,28 @@ def token_sort_similarity(a: str, b: str) -> float:
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two lower-cased, trimmed names; null names count as empty."""
     return pd.Series([token_sort_similarity((x or "").lower().strip(), (y or "").lower().strip()) for x, y in zip(a, b, strict=True)])
+
+
+def usernames(name: Column, phone: Column, trade: str, phrase: str) -> Column:
+    """Names under which a company's profile may be found, best first: at least 5 characters, each once. X32.
+
+    From the transliterated name without anything but letters and digits: itself, itself with `phrase` shortened to
+    `trade`, with `trade` behind and in front, and with the last four characters of a phone of at least 11.
+    """
+    base = F.regexp_replace(transliterated(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")
+    short = F.substring(base, 1, 20)
+    found = F.array(
+        F.substring(base, 1, 30), F.substring(F.replace(base, F.lit(phrase), F.lit(trade)), 1, 30), F.concat(short, F.lit(f"_{trade}")), F.concat(F.lit(f"{trade}_"), short),
+        F.when(F.length(phone) >= 11, F.concat(F.substring(base, 1, 15), F.substring(phone, -4, 4))),
+    )
+    kept = F.array_distinct(F.filter(F.array_compact(found), lambda v: F.length(v) >= 5))
+    return F.when(base != "", kept).otherwise(F.array().cast("array<string>"))
+
+
+def profile_matches(html: Column, words: tuple[str, ...]) -> Column:
+    """Whether a landed profile page has a title, and its title or description holds a word of the trade. X33."""
+    part = lambda what: F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), f"tgme_page_{what}[^>]*>([^<]+)", 1))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | part("title").contains(w) | part("description").contains(w)
+    return F.coalesce(html.contains("tgme_page_title"), F.lit(False)) & hit

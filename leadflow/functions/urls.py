@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadflow.functions.values import MESSENGER_DOMAINS, NON_NETWORK_DOMAINS
+from leadflow.functions.values import MESSENGER_DOMAINS, NON_NETWORK_DOMAINS, PRIVATE_HOSTS, PRIVATE_RANGES
 
 
 def _netloc(url: Column) -> Column:
@@ -84,22 +84,18 @@ def classify_messenger(url: Column) -> Column:
     )
 
 
-#: First address, prefix length: private, loopback, link-local and other ranges that no public site uses.
-_PRIVATE = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16))
-
-
 def is_safe_url(url: Column) -> Column:
     """Whether a URL may be fetched: http(s), a public host. Addresses are tested by range, names by list."""
     h = hostname(url)
     part = lambda i: F.split_part(h, F.lit("."), F.lit(i)).try_cast("long")
     number = part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4)
     inside = F.lit(False)
-    for first, bits in _PRIVATE:
+    for first, bits in PRIVATE_RANGES:
         a, b, c, d = map(int, first.split("."))
         low = a * 16777216 + b * 65536 + c * 256 + d
         inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
     numeric = h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    named = h.isin("localhost", "metadata.google.internal") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal") | h.startswith("[")
+    named = h.isin(*PRIVATE_HOSTS) | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal") | h.startswith("[")
     ok = url.rlike("(?i)^https?://") & h.isNotNull() & ~named & ~(numeric & F.coalesce(inside, F.lit(False)))
     return F.coalesce(ok, F.lit(False))
 

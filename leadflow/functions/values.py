@@ -99,3 +99,14 @@ CITY_SEPARATORS = (",", "—", "-", ".", ":")
 
 # Legal forms in front of a name.
 LEGAL_FORMS = ("ООО", "ОАО", "ЗАО", "ИП", "АО", "ПАО", "ТОО", "ЧУП", "УП")
+
+#: Words of a profile page that shows the trade.
+PROFILE_WORDS = ("ритуал", "похорон", "памятник", "мемориал", "funeral", "angel")
+#: Domains whose companies a clean-up deletes.
+CLEANUP_DOMAINS = ("acbank.ru", "mvd-kbr.ru", "lotgame.ru", "stroinas.ru", "online-obuchenie.ru", "rosbaltnord.ru", "energogazeta.ru", "help-tel.ru", "2sp.me")
+#: Address ranges (first address, prefix length) and hosts that may not be fetched.
+PRIVATE_RANGES = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
+    ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.51.100.0", 24), ("203.0.113.0", 24),
+)
+PRIVATE_HOSTS = ("localhost", "metadata", "metadata.google.internal")

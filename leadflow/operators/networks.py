@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadflow.functions.phones import DEFAULT, PhoneRules, normalize_phones
 from leadflow.functions.urls import base_domain, extract_domain
 from leadflow.functions.values import FREE_EMAIL_DOMAINS, NON_NETWORK_DOMAINS, SPAM_DOMAINS
+from leadflow.plans.lineage import skew_join
 
 _NONE = "array<string>"
 
@@ -63,9 +64,14 @@ def assign_networks(companies: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def shared_emails(live: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, emails): each member's addresses with all those of its networks, sorted. N2."""
+    """(id, emails): each member's addresses with all those of its networks, sorted. N2.
+
+    A network's addresses are gathered once, as one array a network, and members meet the array, not its elements.
+    """
     every = members.join(live.select("id", F.explode("emails").alias("e")), "id").select("key", "e").distinct()
-    return members.join(every, "key").groupBy("id").agg(F.array_sort(F.collect_set("e")).alias("emails"))
+    arrays = every.groupBy("key").agg(F.collect_set("e").alias("es"))
+    own = skew_join(members, arrays, "key", "id").groupBy("id").agg(F.collect_list("es").alias("a"))
+    return own.select("id", F.array_sort(F.array_distinct(F.flatten("a"))).alias("emails"))
 
 
 def candidate_groups(live: DataFrame, least_companies: int = 3, least_cities: int = 3, **lists: tuple[str, ...]) -> DataFrame:
@@ -79,14 +85,14 @@ def candidate_groups(live: DataFrame, least_companies: int = 3, least_cities: in
 
 
 def email_badges(members: DataFrame, disabled: DataFrame, logs: DataFrame) -> DataFrame:
-    """(key, email, badge): disabled, bounced, sent or none for each network address. N7.
+    """(key, email, badge): disabled, else bounced or sent by the latest log, else none, for each network address. N7.
 
-    members: key, email; disabled: key, email; logs: email, status.
+    members: key, email; disabled: key, email; logs: log_id, email, status, at (the latest by time, then by id).
     """
-    last = logs.groupBy(F.lower("email").alias("email")).agg(F.max((F.col("status") == "bounced").cast("int")).alias("b"))
+    last = logs.groupBy(F.lower("email").alias("email")).agg(F.max_by("status", F.struct("at", "log_id")).alias("last"))
     off = disabled.select("key", F.lower("email").alias("email")).distinct().withColumn("_off", F.lit(True))
     j = members.select("key", F.lower("email").alias("email")).distinct().join(off, ["key", "email"], "left").join(last, "email", "left")
-    return j.select("key", "email", F.when(F.col("_off"), "disabled").when(F.col("b") == 1, "bounced").when(F.col("b") == 0, "sent").otherwise("none").alias("badge"))
+    return j.select("key", "email", F.when(F.col("_off"), "disabled").when(F.col("last") == "bounced", "bounced").when(F.col("last").isNotNull(), "sent").otherwise("none").alias("badge"))
 
 
 def tag_by_email(companies: DataFrame, domain: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadflow.plans.lineage import skew_join
+
 
 def shared_signal_pairs(signals: DataFrame, entity: str, signal: str, most: int) -> DataFrame:
     """(a, b, n_shared) for entities a < b with a signal in common; signals of more than `most` entities are hubs and tie nobody. J11, J13.
@@ -18,6 +20,16 @@ def shared_signal_pairs(signals: DataFrame, entity: str, signal: str, most: int)
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
+def signal_groups(signals: DataFrame, entity: str, signal: str) -> DataFrame:
+    """(entity, signal, first, n) of every entity that shares a signal with others: the group's smallest entity and size. J11-J13.
+
+    One row an entity and signal, never pairs, so a signal that a third of all entities carry is whole and no hub is left out.
+    """
+    own = signals.select(F.col(entity), F.col(signal)).where(F.col(entity).isNotNull() & F.col(signal).isNotNull()).distinct()
+    groups = own.groupBy(signal).agg(F.min(entity).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return skew_join(own, groups, signal, entity).select(entity, signal, "first", "n")
+
+
 def similar_to(signals: DataFrame, entity: str, signal: str, ids: DataFrame) -> DataFrame:
     """(entity, other, reasons) of everything that shares a signal with the given ids; signals has `reason`. J13."""
     asked = signals.join(ids.select(F.col(entity)).distinct(), entity, "left_semi").select(F.col(entity).alias("entity"), signal, "reason")

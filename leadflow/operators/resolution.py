@@ -45,23 +45,45 @@ def site_edges(rows: DataFrame) -> DataFrame:
 def name_edges(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     """Edges between rows (id, city, name) of one city with equal or similar names. C4.
 
-    Distinct names are compared, not rows: rows of one name are tied by a star. Names meet others of their block (first
-    letter) whose length can reach the threshold; blocks of fewer than SMALL_BLOCK rows also meet the next block.
+    Distinct names are compared, not rows: rows of one name are tied by a star. Names may match in their block (first
+    letter); blocks of fewer than SMALL_BLOCK rows also meet the next block. Within these, only names that share a rare
+    pair of letters are compared: see `_name_candidates`.
     """
     named = rows.select("id", "city", F.col("name"), name_key(F.col("name")).alias("k"), block_key(F.col("name")).alias("b")).where("b is not null")
     by_name = named.groupBy("city", "b", "k").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     equal = signal_edges(named.select("id", F.concat_ws("\1", "city", "b", "k").alias("s")), "id", "s", None)
     blocks = by_name.groupBy("city", "b").agg(F.sum("rows").alias("rows"))
     blocks = blocks.withColumn("next", F.lead("b").over(Window.partitionBy("city").orderBy("b")))
-    x = by_name.select("city", "b", F.col("k").alias("ka"), F.col("id").alias("src"))
-    y = by_name.select("city", F.col("b").alias("b2"), F.col("k").alias("kb"), F.col("id").alias("dst"))
     fits = F.least(F.length("ka"), F.length("kb")) * (200 - threshold) >= F.greatest(F.length("ka"), F.length("kb")) * threshold
     reach = blocks.select("city", "b", F.col("b").alias("b2")).union(blocks.where((F.col("rows") < SMALL_BLOCK) & F.col("next").isNotNull()).select("city", "b", "next"))
-    pairs = x.join(reach, ["city", "b"]).join(y, ["city", "b2"]).where(fits & ((F.col("b") != F.col("b2")) | (F.col("ka") < F.col("kb"))))
+    rare = _name_candidates(by_name, threshold)
+    left = rare.select("city", "g", "b", F.col("k").alias("ka"), F.col("id").alias("src"))
+    right = rare.select("city", "g", F.col("b").alias("b2"), F.col("k").alias("kb"), F.col("id").alias("dst"))
+    near = left.join(right, ["city", "g"]).where(fits & (F.col("src") != F.col("dst")) & ((F.col("b") != F.col("b2")) | (F.col("ka") < F.col("kb"))))
+    pairs = near.select("city", "b", "b2", "ka", "kb", "src", "dst").distinct().join(reach, ["city", "b", "b2"], "left_semi")
     similar = pairs.where(token_sort_ratio("ka", "kb") >= threshold).select("src", "dst")
     return equal.union(similar)
 
 
+def _name_candidates(names: DataFrame, threshold: float) -> DataFrame:
+    """(city, b, k, id, g) of each name's rarest letter pairs, one of which every similar name has among its own rarest.
+
+    Words in order, a name of n letters has n pairs (the first letter pairs with a mark), numbered where they repeat. A
+    similar name differs by d letters left out or added, at most (1 - t) of both lengths, and each touches two pairs;
+    so of the pairs in any common order the first 2 * d + 1 of each meet. Rare pairs come first, so lists stay short.
+    """
+    t = threshold / 100
+    text = F.concat(F.lit("\1"), F.array_join(F.array_sort(F.split(F.trim("k"), r"\s+")), " "))
+    grams = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr("s", i, F.lit(2)))
+    numbered = F.transform("gs", lambda g, i: F.concat(g, F.lit("\1"), F.size(F.filter(F.slice("gs", 1, i), lambda x: x == g)).cast("string")))
+    each = names.withColumn("s", text).withColumn("gs", grams).select("city", "b", "k", "id", F.length("s").alias("n"), F.explode(numbered).alias("g"))
+    often = each.groupBy("city", "g").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("city", "id", "k").orderBy("f", "g"))
+    # the longest similar name has n * (2 - t) / t letters; a hair more, so that rounding loses nothing
+    most = F.floor((1 - t) * (F.col("n") - 1) * 2 / t + 1e-6)
+    return each.join(often, ["city", "g"]).withColumn("r", rank).where(F.col("r") <= 2 * most + 1).select("city", "b", "k", "id", "g")
+
+
 def clusters(rows: DataFrame, *edges: DataFrame) -> DataFrame:
     """id, cluster for every row; a row without edges is its own cluster. C6."""
     every = edges[0]

@@ -130,12 +130,12 @@ def due_followups(spark: SparkSession, d: str) -> DataFrame:
     return crm.due_followups(tasks, _contacts(spark, d), last_time(e, "at"))
 
 
-@query(f"""WITH {COMPANIES}, e AS (SELECT 'n' || (id % 9) AS key, unnest(emails) AS email, id FROM companies), l AS (SELECT email, max((id % 7 = 0)::INT) AS b FROM e WHERE id % 2 = 1 AND id % 5 < 2 GROUP BY email)
+@query(f"""WITH {COMPANIES}, e AS (SELECT 'n' || (id % 9) AS key, unnest(emails) AS email, id FROM companies), l AS (SELECT email, arg_max((id % 7 = 0)::INT, id % 31 * 1000000000 + id) AS b FROM e WHERE id % 2 = 1 AND id % 5 < 2 GROUP BY email)
 SELECT DISTINCT key, e.email, CASE WHEN e.email LIKE 'info3@%' THEN 'disabled' WHEN b = 1 THEN 'bounced' WHEN b = 0 THEN 'sent' ELSE 'none' END AS badge FROM e LEFT JOIN l USING (email)""")
 def email_badges(spark: SparkSession, d: str) -> DataFrame:
     """N7, A13."""
     e = companies(spark, d).select(F.concat(F.lit("n"), (F.col("id") % 9).cast("string")).alias("key"), F.explode("emails").alias("email"), "id")
-    logs = e.where("id % 2 = 1 and id % 5 < 2").select("email", F.when(F.col("id") % 7 == 0, "bounced").otherwise("sent").alias("status"))
+    logs = e.where("id % 2 = 1 and id % 5 < 2").select(F.col("id").alias("log_id"), (F.col("id") % 31).alias("at"), "email", F.when(F.col("id") % 7 == 0, "bounced").otherwise("sent").alias("status"))
     return networks.email_badges(e, e.where(F.col("email").startswith("info3@")), logs)
 
 

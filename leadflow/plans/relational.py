@@ -109,22 +109,28 @@ def top_cities_by_region(spark: SparkSession, d: str) -> DataFrame:
 _HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '')"
 
 
-@query(f"""WITH s AS (SELECT DISTINCT page_id AS e, {_HOST_SQL} AS h FROM pages), u AS (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND 30)
-SELECT x.e AS a, y.e AS b, count(*)::BIGINT AS n_shared FROM s x JOIN s y ON x.h = y.h AND x.e < y.e WHERE x.h IN (SELECT h FROM u) GROUP BY ALL""")
+@query(f"""WITH s AS (SELECT DISTINCT page_id, {_HOST_SQL} AS host FROM pages), g AS (SELECT host, min(page_id) AS first, count(*)::BIGINT AS n FROM s WHERE host <> '' GROUP BY host HAVING count(*) > 1)
+SELECT page_id, host, first, n FROM s JOIN g USING (host)""")
 def pages_of_one_host(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs by a shared signal, hubs apart."""
+    """Every page that shares its host with others, as a member of the host's group."""
     from leadflow.plans.views import sites
 
-    return relations.shared_signal_pairs(sites(spark, d), "page_id", "host", 30)
+    return relations.signal_groups(sites(spark, d), "page_id", "host")
 
 
-@query(f"""WITH {COMPANIES}, sig AS (SELECT id, unnest(phones) AS s, 'phone' AS reason FROM companies UNION ALL SELECT id, unnest(emails), 'email' FROM companies)
-SELECT x.id AS entity, y.id AS other, array_to_string(list_sort(list(DISTINCT x.reason)), ',') AS reasons FROM sig x JOIN sig y ON x.s = y.s AND x.reason = y.reason AND x.id <> y.id WHERE x.id % 100 = 7 GROUP BY ALL""")
+@query(f"""WITH {COMPANIES}, sig AS (SELECT DISTINCT id, 'phone:' || right(regexp_replace(p, '[^0-9]', '', 'g'), 6) AS signal FROM (SELECT id, unnest(phones) AS p FROM companies) UNION SELECT id, 'email:' || e FROM (SELECT id, unnest(emails) AS e FROM companies)
+UNION SELECT id, 'site:' || {_HOST_SQL.replace("url", "website")} FROM companies WHERE website IS NOT NULL UNION SELECT id, 'address:' || address FROM companies WHERE address <> ''),
+g AS (SELECT signal, min(id) AS first, count(*)::BIGINT AS n FROM sig GROUP BY signal HAVING count(*) > 1) SELECT id, signal, first, n FROM sig JOIN g USING (signal)""")
 def similar_companies(spark: SparkSession, d: str) -> DataFrame:
-    """Everything that shares a phone or address with the asked-for ids."""
+    """All companies with others of the same line number, address, site or street."""
+    from leadflow.functions.urls import extract_domain
+
     c = companies(spark, d)
-    s = c.select("id", F.explode("phones").alias("s"), F.lit("phone").alias("reason")).union(c.select("id", F.explode("emails"), F.lit("email")))
-    return relations.similar_to(s, "id", "s", c.where("id % 100 = 7").select("id")).withColumn("reasons", F.array_join("reasons", ","))
+    own = lambda kind, value: F.concat(F.lit(f"{kind}:"), value).alias("signal")
+    phones = c.select("id", F.explode("phones").alias("v")).select("id", own("phone", F.substring(F.regexp_replace("v", "[^0-9]", ""), -6, 6)))
+    signals = phones.union(c.select("id", F.explode("emails").alias("v")).select("id", own("email", F.col("v"))))
+    signals = signals.union(c.select("id", own("site", extract_domain(F.col("website"))))).union(c.where("address <> ''").select("id", own("address", F.col("address"))))
+    return relations.signal_groups(signals, "id", "signal")
 
 
 @query(f"""WITH {TOUCHES}, v AS (SELECT CASE WHEN ('0x' || right(md5(company_id::VARCHAR), 1))::INT % 2 = 0 THEN 'A' ELSE 'B' END AS variant, status FROM touches)
