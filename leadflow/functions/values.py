@@ -110,3 +110,14 @@ PRIVATE_RANGES = (
     ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.51.100.0", 24), ("203.0.113.0", 24),
 )
 PRIVATE_HOSTS = ("localhost", "metadata", "metadata.google.internal")
+
+#: Elements whose content is no text, tags without content, attributes that only images have.
+NOISE_ELEMENTS = ("script", "style", "svg", "noscript")
+VOID_TAGS = ("img", "input", "source", "track", "meta", "link", "br", "hr")
+IMAGE_ATTRIBUTES = ("data-src", "data-image", "srcset", "data-original")
+#: Hosts of messenger links, what their path begins with, and words of links that only share.
+MESSENGER_LINKS = {"telegram": (("t.me", "telegram.me"), "/"), "whatsapp": (("wa.me", "api.whatsapp.com"), ""), "vk": (("vk.com", "www.vk.com"), "/")}
+SHARING = ("share", "joinchat")
+#: File names of images that look like addresses, in general and in stored addresses.
+IMAGE_FILES = r"^.+@[0-9]+x|^[a-z]+@[0-9]+x?\."
+IMAGE_FILES_STORED = r"^[a-z]+@[0-9]+x?\."

@@ -5,14 +5,11 @@ Fetching is ingestion and happens elsewhere; these readers parse what was landed
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from email import message_from_string, policy
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leadflow.functions.phones import DEFAULT, PhoneRules, normalize_phones
@@ -105,39 +102,9 @@ def read_mail(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", "m.*")
 
 
-class _Lines(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class _ListingReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Lines(p) for p in self.paths]
-
-    def read(self, partition: _Lines) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as f:
-            for line in f:
-                if line.strip():
-                    try:
-                        x = json.loads(line)
-                    except ValueError:
-                        continue  # a broken line is no listing
-                    yield (x.get("source"), x.get("source_url"), x.get("name"), x.get("phones") or [], x.get("address"), x.get("website"), x.get("emails") or [], x.get("lat"), x.get("lon"), x.get("city"))
-
-
-class ListingSource(DataSource):
-    """Batch source of landed listing files (a JSON object a line), one partition a file: format "listings", option "paths" (comma-separated). SRC1."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "listings"
-
-    def schema(self) -> str:
-        return RAW
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _ListingReader([p for p in self.options.get("paths", "").split(",") if p])
+def read_listings(spark: SparkSession, path: str) -> DataFrame:
+    """Landed listing files (a JSON object a line) at any path that Spark reads; broken lines are no listings. SRC1."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    x = lines.select(F.from_json("value", RAW + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("x")).where("x._broken is null").select("x.*").drop("_broken")
+    none = F.array().cast("array<string>")
+    return x.withColumn("phones", F.coalesce("phones", none)).withColumn("emails", F.coalesce("emails", none))

@@ -38,9 +38,30 @@ def export_rows(companies: DataFrame, preset: str | None = None) -> DataFrame:
     return out.orderBy(F.desc("score"), "id")
 
 
+#: Rows of a city that one task writes; larger cities are dealt over as many files as they need.
+FILE_ROWS = 500_000
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `_file`: which of its group's files a row goes to, by ranges of its place, so that files of a group keep its order.
+
+    rows have `_pos`, their place in the group.
+    """
+    return rows.withColumn("_file", F.floor((F.col("_pos") - 1) / FILE_ROWS)).repartition(*keys, "_file").sortWithinPartitions(*keys, "_file", "_pos")
+
+
 def write_csv(companies: DataFrame, path: str, preset: str | None = None) -> None:
-    """One folder of CSV files a city, header in each; Spark splits large cities. SNK1, SNK5."""
-    csv_rows(export_rows(companies, preset)).repartition("city").sortWithinPartitions(F.desc("score"), "id").write.mode("overwrite").partitionBy("city").option("header", True).csv(path)
+    """One folder of CSV files a city, header in each; a file holds FILE_ROWS rows at most, best first. SNK1, SNK5."""
+    rows = csv_rows(export_rows(companies, preset))
+    place = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("score"), "id"))
+    write = _dealt(rows.withColumn("_pos", place), ["city"]).drop("_pos", "_file").write.mode("overwrite")
+    write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("city").option("header", True).csv(path)
+
+
+def write_csv_presets(companies: DataFrame, path: str, presets: dict[str, str]) -> None:
+    """A folder for each preset, by its name. SNK5."""
+    for name, filters in presets.items():
+        write_csv(companies, f"{path}/{name}", filters)
 
 
 def markdown_lines(companies: DataFrame) -> DataFrame:
@@ -57,9 +78,9 @@ def markdown_lines(companies: DataFrame) -> DataFrame:
 
 
 def write_markdown(companies: DataFrame, path: str) -> None:
-    """markdown_lines as text, a folder a city and segment. SNK4."""
-    lines = markdown_lines(companies)
-    lines.repartition("city", "segment").sortWithinPartitions("city", "segment", "pos").select("city", "segment", F.col("line").alias("value")).write.mode("overwrite").partitionBy("city", "segment").text(path)
+    """markdown_lines as text, a folder a city and segment, in files of FILE_ROWS lines at most. SNK4."""
+    lines = _dealt(markdown_lines(companies).withColumn("_pos", F.col("pos")), ["city", "segment"])
+    lines.select("city", "segment", F.col("line").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("city", "segment").text(path)
 
 
 def conflict_lines(clusters: DataFrame) -> DataFrame:
@@ -72,8 +93,14 @@ def conflict_lines(clusters: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small result as JSON lines in one file. SNK8, SNK9."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A result as JSON lines, in as many files as its partitions need. SNK8, SNK9."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).json(path)
+
+
+def write_registry(sightings: DataFrame, path: str, least: int = 3) -> None:
+    """The registry of domains seen in `least` cities or more (domain, n_cities), as a small table. SNK10."""
+    seen = sightings.groupBy(F.lower("domain").alias("domain")).agg(F.countDistinct(F.lower("city")).alias("n_cities")).where(F.col("n_cities") >= least)
+    seen.write.mode("overwrite").parquet(path)
 
 
 def company_card(companies: DataFrame, emails: DataFrame) -> DataFrame:

@@ -37,8 +37,7 @@ def test_two_scrapes(spark):
 
 def test_listing_source_and_mail(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"name": "N", "phones": ["1"], "lat": 1.5}\nbroken\n\n{"name": "M"}\n')
-    spark.dataSource.register(landed.ListingSource)
-    assert {r.name for r in spark.read.format("listings").option("paths", str(tmp_path / "a.jsonl")).load().collect()} == {"N", "M"}
+    assert {r.name for r in landed.read_listings(spark, str(tmp_path / "a.jsonl")).collect()} == {"N", "M"}
     (tmp_path / "m.eml").write_text("From: Ann <a@x.ru>\nTo: b@x.ru\nSubject: Hi\nContent-Type: text/plain\n\nBody\n")
     r = landed.read_mail(spark, str(tmp_path / "m.eml")).first()
     assert (r.sender, r.subject, r.body.strip()) == ("Ann <a@x.ru>", "Hi", "Body")
