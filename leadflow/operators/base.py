@@ -136,7 +136,7 @@ def network_detail(networks: DataFrame, members: DataFrame, companies: DataFrame
     sent = logs.where(F.col("status").isin(*WENT_OUT)).groupBy(F.lower("email").alias("e")).agg(F.count("*").alias("n"))
     mailed = networks.select("base_domain", F.explode("emails").alias("e")).withColumn("e", F.lower("e")).join(sent, "e").groupBy("base_domain").agg(F.sum("n").alias("sent_count"))
     out = networks.join(each.withColumnRenamed("key", "base_domain"), "base_domain", "left").join(top.withColumnRenamed("key", "base_domain"), "base_domain", "left").join(mailed, "base_domain", "left")
-    out = out.withColumn("sent_count", F.coalesce("sent_count", F.lit(0))).withColumn("contact_status", F.when(F.col("sent_count") > 0, "sent").otherwise("none"))
+    out = out.withColumn("live_count", F.coalesce("live_count", F.lit(0))).withColumn("sent_count", F.coalesce("sent_count", F.lit(0))).withColumn("contact_status", F.when(F.col("sent_count") > 0, "sent").otherwise("none"))
     return out.withColumn("primary_email", F.get("emails", F.lit(0))).withColumn("group_id", F.concat(F.lit("website:"), "base_domain"))
 
 

@@ -129,7 +129,7 @@ l AS (SELECT emails[1] AS e, count(*) AS k FROM companies WHERE id % 9 = 1 AND l
 c AS (SELECT base_domain, city, count(*) AS k FROM m GROUP BY ALL), t AS (SELECT base_domain, string_agg(city || ':' || k, ',' ORDER BY k DESC, city) AS top_cities FROM (SELECT *, row_number() OVER (PARTITION BY base_domain ORDER BY k DESC, city) AS r FROM c) WHERE r <= 10 GROUP BY base_domain),
 x AS (SELECT base_domain, coalesce(sum(k), 0)::BIGINT AS sent_count FROM (SELECT base_domain, unnest(mails) AS e FROM n) LEFT JOIN l USING (e) GROUP BY base_domain)
 SELECT n.base_domain, count(m.id)::BIGINT AS live_count, string_agg(m.id::VARCHAR, ',' ORDER BY m.id) AS ids, any_value(top_cities) AS top_cities, any_value(sent_count) AS sent_count, CASE WHEN any_value(sent_count) > 0 THEN 'sent' ELSE 'none' END AS contact_status
-FROM n JOIN m USING (base_domain) JOIN t USING (base_domain) JOIN x USING (base_domain) GROUP BY n.base_domain""")
+FROM n LEFT JOIN m USING (base_domain) LEFT JOIN t USING (base_domain) JOIN x USING (base_domain) GROUP BY n.base_domain""")
 def network_details(spark: SparkSession, d: str) -> DataFrame:
     """N4, J3."""
     c = companies(spark, d).withColumn("deleted_at", F.when(F.col("deleted"), F.lit("x")))
