@@ -58,5 +58,39 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 """
 
 
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""(?:{_NAMES})["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+_KINDS = (("assign", _ASSIGN, 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24), ("owned", "[A-Za-z0-9+/_=-]{20,}", 0, 20))
+
+
+def _spans(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Rows (doc_id, own, repo, k, kind, s, e, v) of one kind: what lies before a match is gaps and matches up to it."""
+    before = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)"
+    cut = f"SELECT doc_id, own, repo, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d"
+    each = f"SELECT doc_id, own, repo, m, g, unnest(range(1, len(m) + 1)) AS i FROM ({cut}) WHERE len(m) > 0"
+    found = f"SELECT doc_id, own, repo, {k} AS k, '{kind}' AS kind, ({before})::BIGINT AS s, m[i] AS whole, regexp_extract(m[i], '{pattern}', {group}) AS v FROM ({each})"
+    return f"SELECT doc_id, own, repo, k, kind, s, s + length(whole) AS e, v FROM ({found}) WHERE length(v) >= {least}"
+
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '(none)') AS own, coalesce(source, '(none)') || '/' || coalesce(lang, '(none)') AS repo FROM documents),
+base AS ({" UNION ALL ".join(_spans(k, *x) for k, x in enumerate(_KINDS[:3]))}),
+tokens AS (SELECT * FROM ({_spans(3, *_KINDS[3])}) WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND round(list_entropy(string_split(v, '')), 9) >= 3.5),
+free AS (SELECT * FROM tokens x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.e AND x.s < b.e)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM free),
+held AS (SELECT v, count(DISTINCT own)::BIGINT AS owners, count(DISTINCT repo)::BIGINT AS repos FROM every GROUP BY v),
+kept AS (SELECT * FROM every JOIN held USING (v) WHERE kind <> 'owned' OR owners <= 1),
+b AS (SELECT doc_id, count_if(k = 0)::BIGINT AS n_assign, count_if(k = 1)::BIGINT AS n_access, count_if(k = 2)::BIGINT AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS line FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans, count_if(owners <= 1)::BIGINT AS n_live, count_if(owners > 1)::BIGINT AS n_widely_copied, max(repos)::BIGINT AS most_repositories FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(line, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_widely_copied, 0) AS n_widely_copied, coalesce(most_repositories, 0) AS most_repositories
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op7_top_k": OP7, "op8_ngram_join": OP8}
+    return {"op5_quality_rules": OP5, "op7_top_k": OP7, "op8_ngram_join": OP8, "op10_secrets": OP10}
