@@ -92,5 +92,40 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11 = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, list_inner_product(a.v, o.v)::BIGINT AS score
+  FROM e a JOIN e o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS n FROM s WHERE same) WHERE n <= 5),
+w AS (
+  SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 3
+"""
+
+
+def _kmeans_round(i: int) -> str:
+    """Assignment a{i} of all vectors to centroids c{i}, and the centroids after it."""
+    gap = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"""
+a{i} AS (SELECT vec_id, v, b.cluster AS cluster, b.d AS d FROM (SELECT e.vec_id, any_value(e.v) AS v, min({{'d': {gap}, 'cluster': c.cluster}}) AS b FROM e, c{i} c GROUP BY e.vec_id)),
+m{i} AS (SELECT cluster, list(x ORDER BY i) AS v FROM (SELECT cluster, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS x FROM a{i}, range(1, 65) r(i) GROUP BY cluster, i) GROUP BY cluster),
+c{i + 1} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster))"""
+
+
+OP12 = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM e ORDER BY h LIMIT 16)),{",".join(_kmeans_round(i) for i in range(4))}
+SELECT vec_id, cluster::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cluster)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op7_top_k": OP7, "op8_ngram_join": OP8, "op10_secrets": OP10}
+    return {"op5_quality_rules": OP5, "op7_top_k": OP7, "op8_ngram_join": OP8, "op10_secrets": OP10, "op11_hard_negatives": OP11, "op12_exponion_clusters": OP12}

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadflow.llm.clusters import clusters
 from leadflow.llm.common import table
+from leadflow.llm.graph_search import nearest_neighbours
+from leadflow.llm.hard_negatives import hard_negatives
 from leadflow.llm.mixing import schedule
 from leadflow.llm.ngram_join import ngram_join
 from leadflow.llm.packing import best_fit_packing
@@ -61,6 +64,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_mixing, op3_url_filter, op4_toxicity, op5_quality_rules, op6_pii, op7_top_k, op8_ngram_join, op9_quality_mil, op10_secrets)
+    own = (op1_best_fit_packing, op2_mixing, op3_url_filter, op4_toxicity, op5_quality_rules, op6_pii, op7_top_k, op8_ngram_join, op9_quality_mil, op10_secrets, op11_hard_negatives, op12_exponion_clusters, op13_graph_search)
     return {f.__name__: f for f in own}
