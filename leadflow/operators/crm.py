@@ -9,29 +9,45 @@ from leadflow.functions.emails import is_ascii, recipient_format
 from leadflow.functions.values import CADENCE, STAGES
 
 
-def next_stage(stage: Column, channel: Column, incoming: Column) -> Column:
-    """Stage after one touch. T1, T2."""
-    out = (
-        F.when((channel == "email") & (stage == "new"), "email_sent")
-        .when((channel == "tg") & stage.isin("new", "email_sent", "email_opened"), "tg_sent")
-        .when((channel == "wa") & ~stage.isin("replied", "interested", "not_interested", "tg_sent"), "wa_sent")
-        .otherwise(stage)
+#: Stages that a tg message changes, and those that a wa message leaves.
+_BEFORE_TG = ("new", "email_sent", "email_opened")
+_NOT_WA = ("replied", "interested", "not_interested", "tg_sent")
+
+
+def stage_reached(start: Column, answered: Column, mailed: Column, first_tg: Column, first_wa: Column) -> Column:
+    """The stage that a contact's touches lead to from `start`. T1, T2.
+
+    Touch by touch the rules are: an answer makes `replied` of all but decided stages; a mail makes `email_sent` of
+    `new`; a tg message makes `tg_sent` of the three stages before it; a wa message makes `wa_sent` of all but answered,
+    decided and tg stages. No rule leaves `replied`, `tg_sent` or `wa_sent` again but an answer, so order matters only
+    between the first tg and the first wa message, and touches need not be gathered or sorted: whether there was an
+    answer, whether there was a mail, and the two first places (null: none) decide.
+    """
+    tg_first = first_tg.isNotNull() & (first_wa.isNull() | (first_tg < first_wa))
+    sent = (
+        F.when(start.isin(*_BEFORE_TG) & tg_first, "tg_sent")
+        .when(~start.isin(*_NOT_WA) & first_wa.isNotNull(), "wa_sent")
+        .when((start == "new") & mailed, "email_sent")
+        .otherwise(start)
     )
-    return F.when(incoming, F.when(stage.isin("interested", "not_interested"), stage).otherwise(F.lit("replied"))).otherwise(out)
+    return F.when(answered, F.when(start.isin("interested", "not_interested"), start).otherwise("replied")).otherwise(sent)
 
 
 def fold_touches(touches: DataFrame, start: str = "new") -> DataFrame:
-    """One contact for each company from its touches (touch_id, company_id, at, channel, direction) in time order. T1, T2.
+    """One contact for each company from its touches (touch_id, company_id, at, channel, direction) in time order. T1, T2, ST7.
 
-    The order of touches matters, so each company's touches are sorted and folded in the JVM; counters need no order.
+    One aggregate with a small fixed state, batch or stream: a company with a third of all touches is summed up by every
+    task before the shuffle, and touches may come in any order. A touch without direction went out, but is not counted.
     """
-    step = F.struct("at", "touch_id", "channel", (F.col("direction") == "incoming").alias("incoming"))
+    incoming = F.coalesce(F.col("direction") == "incoming", F.lit(False))
+    out = lambda c: (F.col("channel") == c) & ~incoming
     sent = lambda c: F.count_if((F.col("channel") == c) & (F.col("direction") != "incoming"))
+    first = lambda c: F.min(F.when(out(c), F.struct("at", "touch_id")))
     by = touches.groupBy("company_id").agg(
-        F.array_sort(F.collect_list(step)).alias("_t"), F.count("*").alias("contact_count"), sent("email").alias("email_sent_count"), sent("tg").alias("tg_sent_count"),
-        sent("wa").alias("wa_sent_count"), F.min("at").alias("first_contact_at"), F.max("at").alias("last_contact_at"), F.bool_or(F.col("direction") == "incoming").alias("stop_automation"),
+        first("tg").alias("_tg"), first("wa").alias("_wa"), F.coalesce(F.bool_or(out("email")), F.lit(False)).alias("_mail"), F.count("*").alias("contact_count"), sent("email").alias("email_sent_count"),
+        sent("tg").alias("tg_sent_count"), sent("wa").alias("wa_sent_count"), F.min("at").alias("first_contact_at"), F.max("at").alias("last_contact_at"), F.bool_or(F.col("direction") == "incoming").alias("stop_automation"), F.bool_or(incoming).alias("_in"),
     )
-    stage = F.aggregate("_t", F.lit(start), lambda s, t: next_stage(s, t["channel"], t["incoming"]))
+    stage = stage_reached(F.lit(start), F.col("_in"), F.col("_mail"), F.col("_tg"), F.col("_wa"))
     return by.select("company_id", stage.alias("funnel_stage"), "contact_count", "email_sent_count", "tg_sent_count", "wa_sent_count", "first_contact_at", "last_contact_at", "stop_automation")
 
 

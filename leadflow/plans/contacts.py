@@ -197,10 +197,14 @@ def seeded_contacts(spark: SparkSession, d: str) -> DataFrame:
     return relations.seed_missing(companies(spark, d), have)
 
 
-@query()
+@query(f"""WITH {EVENTS}, k AS (
+  SELECT company_id, list({{'t': epoch_us(tm), 'id': event_id, 'tm': tm}} ORDER BY tm, event_id) AS l FROM ev GROUP BY company_id),
+ok AS (SELECT company_id, l, list_reduce(list_prepend(l[1:0], list_transform(l, lambda x: [x])), lambda s, x: CASE WHEN len(list_filter(s, lambda y: y.t > x[1].t - 21600000000)) < 2 THEN list_concat(s, x) ELSE s END) AS got FROM k)
+SELECT company_id::VARCHAR AS key, x.id AS request_id, x.tm AS "at", list_contains(list_transform(got, lambda y: y.id), x.id) AS admitted FROM (SELECT company_id, got, unnest(l) AS x FROM ok)""")
 def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     """ST3: at most two admissions of a company in any six hours."""
-    return streams.rate_limited(events(spark, d).withColumnRenamed("event_id", "request_id"), "company_id", 2, 6 * 3600.0)
+    out = streams.rate_limited(events(spark, d).withColumnRenamed("event_id", "request_id"), "company_id", 2, 6 * 3600.0)
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {EVENTS}, w AS (SELECT time_bucket(INTERVAL 6 HOURS, tm, TIMESTAMP '1970-01-01') - INTERVAL 6 HOURS * j AS window_start, kind AS key FROM ev, range(0, 4) r(j)) SELECT window_start, key, count(*)::BIGINT AS n FROM w GROUP BY ALL""")

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from leadflow.session import SETTINGS
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -8,6 +10,7 @@ def spark(tmp_path_factory):
     builder = builder.config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
     builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     builder = builder.config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+    builder = builder.config("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
