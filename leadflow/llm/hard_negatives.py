@@ -45,7 +45,7 @@ class NegativeParams:
     least_rows: int = 4096
     most_rows: int = 1 << 17
     #: Rows that are scored at once.
-    rows_at_once: int = 8192
+    rows_at_once: int = 2048
 
 
 class Codebooks:
@@ -101,6 +101,7 @@ class Index:
     def __init__(self, rows: pa.RecordBatch, books: Codebooks, params: NegativeParams):
         col = lambda name: rows.column(rows.schema.get_field_index(name))
         self.books, self.p = books, params
+        rows = rows.take(pa.array(np.argsort(col("label").to_numpy(), kind="stable")))
         self.x = matrix(col("v"), np.int64)
         self.label = col("label").to_numpy()
         self.codes = np.frombuffer(b"".join(col("code").to_pylist()), np.uint8).reshape(len(self.x), -1)
@@ -109,11 +110,11 @@ class Index:
         self.first = self.ids[self.starts[:-1]]
         self.scored = self.bounded = 0
 
-    def intervals(self, a: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For some rows at once: the first row's place, lower and upper bounds of their scores (anchors by rows)."""
+    def intervals(self, a: np.ndarray, start: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For some of the rows from start to end at once: the first one's place, lower and upper bounds of their scores (anchors by rows)."""
         tables, norm = self.books.tables(a), np.sqrt((a.astype(float) ** 2).sum(1)).astype(np.float32) * np.float32(1 + 1e-6)
-        for i in range(0, len(self.x), self.p.rows_at_once):
-            codes = self.codes[i : i + self.p.rows_at_once]
+        for i in range(start, end, self.p.rows_at_once):
+            codes = self.codes[i : min(end, i + self.p.rows_at_once)]
             about = np.zeros((len(codes), len(a)), np.float32)
             for j, t in enumerate(tables):
                 about += t[codes[:, j]]
@@ -129,15 +130,15 @@ class Index:
             out[i : i + 65536] = np.einsum("ij,ij->i", self.x[row[i : i + 65536]], a[anchor[i : i + 65536]])
         return out
 
-    def best(self, a: np.ndarray, slots: int, most: int, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slot, row, score): the `most` best rows of each slot, an anchor or one of its windows.
+    def best(self, a: np.ndarray, start: int, end: int, slots: int, most: int, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, row, score): the `most` best of the rows from start to end for each slot, an anchor or one of its windows.
 
-        wanted(i, lower, upper, slot, floor) gives, for the rows from i on, the anchors and rows (as masks) that can
-        still be among the best of each slot; floor: the score that a slot's `most`-th row has reached so far.
+        wanted(i, lower, upper, floor) gives, for the rows from i on, the slots, anchors and rows whose bounds leave them
+        a place among the best of the slot; floor: the score that a slot's `most`-th row has reached so far.
         """
         slot, row, score = (np.empty(0, np.int64) for _ in range(3))
         floor = np.full(slots, -np.inf)
-        for i, lower, upper in self.intervals(a):
+        for i, lower, upper in self.intervals(a, start, end):
             s, anchor, r = wanted(i, lower, upper, floor)
             got = self.exact(a, anchor, r + i)
             s, r, got = self.within(s, r + i, got)
@@ -168,12 +169,16 @@ class Positives(Index):
         most = self.p.positives + 1  # the anchor itself is one of them
 
         def wanted(i, lower, upper, floor):
-            same = self.label[None, i : i + lower.shape[1]] == label[:, None]
-            floor = np.maximum(floor, _kth(np.where(same, lower, -np.inf), most))
-            anchor, row = np.nonzero(same & ~(upper < floor[:, None]))
+            anchor, row = np.nonzero(~(upper < np.maximum(floor, _kth(lower, most))[:, None]))
             return anchor, anchor, row
 
-        slot, row, score = self.best(a, len(a), most, wanted)
+        found = []
+        for y in np.unique(label):
+            mine = np.flatnonzero(label == y)
+            start, end = np.searchsorted(self.label, [y, y + 1])
+            slot, row, score = self.best(a[mine], start, end, len(mine), most, wanted)
+            found.append((mine[slot], row, score))
+        slot, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
         n = np.diff(self.starts)[row]
         flat = np.repeat(self.starts[row] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         slot, other, score = np.repeat(slot, n), self.ids[flat], np.repeat(score, n)
@@ -187,27 +192,32 @@ class Negatives(Index):
         col = lambda name: queries.column(queries.schema.get_field_index(name))
         ids, label, a = id_lists(col("ids"))[0], col("label").to_numpy(), matrix(col("v"), np.int64)
         positive, cuts = id_lists(col("scores"))
-        owner = np.repeat(np.arange(len(a)), np.diff(cuts))
+        windows = np.diff(cuts)
+        owner = np.repeat(np.arange(len(a)), windows)
         # 100 * score >= low * positive and 100 * score <= high * positive, in whole numbers
         self.low, self.high = -(-self.p.low * positive // 100), self.p.high * positive // 100
         most = self.p.negatives
 
         def wanted(i, lower, upper, floor):
             other = self.label[None, i : i + lower.shape[1]] != label[:, None]
-            out = []
-            for depth in range(int(np.diff(cuts).max(initial=0))):
-                anchors = np.flatnonzero(np.diff(cuts) > depth)
-                w = cuts[anchors] + depth
-                lo, hi, high, low, o = lower[anchors], upper[anchors], self.high[w][:, None], self.low[w][:, None], other[anchors]
-                reached = np.maximum(floor[w], low[:, 0])
-                if np.isinf(floor[w]).any():
-                    reached = np.maximum(reached, _kth(np.where(o & (hi <= high) & (lo >= low), lo, -np.inf), most))
-                at, row = np.nonzero(o & ~(lo > high) & ~(hi < reached[:, None]))
-                out.append((w[at], row))
-            slot, row = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
-            return slot, owner[slot], row
-
-        slot, row, score = self.best(a, len(positive), most, wanted)
+            reached = np.maximum(floor, self.low)
+            for w in np.flatnonzero(np.isinf(floor)):  # nothing found yet: rows that are in the window for certain
+                lo, hi = lower[owner[w]], upper[owner[w]]
+                sure = np.where(other[owner[w]] & (hi <= self.high[w]) & (lo >= self.low[w]), lo, -np.inf)
+                reached[w] = max(reached[w], _kth(sure[None, :], most)[0])
+            least, largest = np.full(len(a), np.inf), np.full(len(a), -np.inf)
+            np.minimum.at(least, owner, reached)
+            np.maximum.at(largest, owner, self.high)
+            anchor, row = np.nonzero(other & ~(upper < least[:, None]) & ~(lower > largest[:, None]))
+            lo, hi, out = lower[anchor, row], upper[anchor, row], []
+            for depth in range(int(windows.max(initial=0))):
+                some = np.flatnonzero(windows[anchor] > depth)
+                w = cuts[anchor[some]] + depth
+                ok = ~(lo[some] > self.high[w]) & ~(hi[some] < reached[w])
+                out.append((w[ok], anchor[some[ok]], row[some[ok]]))
+            return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
+        slot, row, score = self.best(a, 0, len(self.x), len(positive), most, wanted)
         n = np.diff(self.starts)[row]
         flat = np.repeat(self.starts[row] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         slot, other, score = np.repeat(slot, n), self.ids[flat], np.repeat(score, n)
