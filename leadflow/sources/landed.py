@@ -5,15 +5,17 @@ Fetching is ingestion and happens elsewhere; these readers parse what was landed
 
 from __future__ import annotations
 
+from datetime import UTC
 from email import message_from_string, policy
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from leadflow.functions.phones import DEFAULT, PhoneRules, normalize_phones
 from leadflow.functions.urls import classify_messenger, extract_domain
+from leadflow.sources.snapshots import Store
 
 RAW = "source string, source_url string, name string, phones array<string>, address string, website string, emails array<string>, lat double, lon double, city string"
 _ITEM = "struct<url:string,name:string,telephone:string,email:string,sameAs:array<string>,address:struct<streetAddress:string,addressLocality:string>,geo:struct<latitude:string,longitude:string>>"
@@ -70,9 +72,9 @@ def without_seen(new: DataFrame, old: DataFrame, r: PhoneRules = DEFAULT) -> Dat
     return out.join(hit, "source_url", "left_anti").select(*new.columns)
 
 
-def replace_cities(rows: DataFrame, path: str) -> None:
-    """Write raw rows by city; the cities that rows has replace what the folder holds of them, others stay. SNK6."""
-    rows.repartition("city").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
+def replace_cities(store: Store, rows: DataFrame, cities: tuple[str, ...] = ()) -> int:
+    """A new version of the store's raw rows: the cities that rows has, and those named, hold just these rows; others stay. SNK6."""
+    return store.replace_parts("raw", rows, "city", cities)
 
 
 def declared_complete(got: DataFrame, declared: DataFrame, share: float = 0.9) -> DataFrame:
@@ -83,21 +85,28 @@ def declared_complete(got: DataFrame, declared: DataFrame, share: float = 0.9) -
 
 
 def mail_parts(raw: pd.Series) -> pd.DataFrame:
-    """Headers and text of raw messages; multipart bodies give their plain parts."""
+    """Headers and text of raw messages; multipart bodies give their plain parts, delivery reports their status too."""
     out = []
     for text in raw:
         m = message_from_string(text or "", policy=policy.default)
         body = m.get_body(("plain", "html"))
-        out.append((str(m.get("From", "")), str(m.get("To", "")), str(m.get("Subject", "")), body.get_content() if body else ""))
-    return pd.DataFrame(out, columns=["sender", "recipient", "subject", "body"])
+        content = body.get_content() if body else ""
+        report = [str(x) for part in m.walk() if part.get_content_type() == "message/delivery-status" for x in part.get_payload()]
+        at = m.get("Date").datetime if m.get("Date") is not None else None
+        at = at.astimezone(UTC).replace(tzinfo=None) if at is not None and at.tzinfo else at
+        out.append((str(m.get("From", "")), str(m.get("To", "")), str(m.get("Subject", "")), "\n".join([content, *report]), at, str(m.get("Auto-Submitted", "no"))))
+    out = pd.DataFrame(out, columns=["sender", "recipient", "subject", "body", "at", "auto_submitted"])
+    return out.assign(at=pd.to_datetime(out["at"]))
 
 
+_MAIL = StructType([*(StructField(c, StringType()) for c in ("sender", "recipient", "subject", "body")), StructField("at", TimestampType()), StructField("auto_submitted", StringType())])
+
 #: MIME needs a parser: Arrow batches of raw messages in, structs out. SRC16, X39.
-parse_mail = F.pandas_udf(mail_parts, StructType([StructField(c, StringType()) for c in ("sender", "recipient", "subject", "body")]))
+parse_mail = F.pandas_udf(mail_parts, _MAIL)
 
 
 def read_mail(spark: SparkSession, path: str) -> DataFrame:
-    """Landed message files as path, sender, recipient, subject, body."""
+    """Landed message files as path, sender, recipient, subject, body, at and auto_submitted."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), parse_mail("value").alias("m"))
     return raw.select("path", "m.*")
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from leadflow.sources import landed, sinks
+from leadflow.sources.snapshots import Store
 from leadflow.streaming import contacts as streams
 
 
@@ -57,10 +58,11 @@ def test_exports(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "csv"))
     sinks.write_markdown(df, str(tmp_path / "md"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2 and spark.read.text(str(tmp_path / "md")).count() == 3
-    landed.replace_cities(df, str(tmp_path / "raw"))
-    landed.replace_cities(df.where("id = 1").withColumn("city", F.lit("Томск")), str(tmp_path / "raw"))
-    landed.replace_cities(df.where("id = 2"), str(tmp_path / "raw"))
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "raw")).collect()) == [1, 2]
+    raw = Store(spark, str(tmp_path / "raw"))
+    landed.replace_cities(raw, df)
+    landed.replace_cities(raw, df.where("id = 1").withColumn("city", F.lit("Томск")))
+    landed.replace_cities(raw, df.where("id = 2"))
+    assert sorted(r.id for r in raw.read("raw").collect()) == [1, 2]
     card = sinks.company_card(df, spark.createDataFrame([(5, 1, "b@x.ru", True, False), (6, 1, "a@x.ru", True, True), (7, 1, "c@x.ru", False, False)], "id long, company_id long, email string, is_active boolean, is_primary boolean"))
     assert {r.id: r.emails for r in card.collect()} == {1: ["a@x.ru", "b@x.ru"], 2: [], 3: []}
     changed = sinks.enrichment_preview(df, df.withColumn("phones", F.array_append("phones", "9")))
