@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,35 +49,81 @@ def city_roots(cities: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     return each.groupBy("root").agg(F.min("name").alias("city"))
 
 
-def mention_weight(text: Column, at: Column, length: Column) -> Column:
-    """Weight of a mention at a 1-based place: 3 after a preposition, 2 after a separator, 1 otherwise, 0 inside a word. X22."""
-    before, after = F.substr(text, F.lit(1), at - 1), F.substr(text, at + length)
-    inside = before.rlike(r"\p{L}$") | after.rlike(r"^\p{L}{3}")
-    prep = F.lit(False)
-    for p in CITY_PREPOSITIONS:
-        prep = prep | before.endswith(p)
-    bare = F.regexp_replace(before, r"\s+$", "")
-    sep = F.lit(False)
-    for c in CITY_SEPARATORS:
-        sep = sep | bare.endswith(c)
-    return F.when(inside, 0).when(at == 1, 1).when(prep, 3).when(sep, 2).otherwise(1)
+#: Java's \s.
+_SPACE = " \t\n\x0b\f\r"
+
+
+def mention_weight(text: str, start: int, end: int, prepositions: tuple[str, ...], separators: tuple[str, ...]) -> int:
+    """Weight of a mention: 3 after a preposition, 2 after a separator, 1 otherwise, 0 inside a word or with over two letters behind it. X22."""
+    if start and text[start - 1].isalpha() or len(after := text[end : end + 3]) == 3 and after.isalpha():
+        return 0
+    if not start:
+        return 1
+    before = text[max(0, start - 40) : start]  # prepositions are short
+    if before.endswith(prepositions):
+        return 3
+    bare = before.rstrip(_SPACE) or text[:start].rstrip(_SPACE)[-40:]
+    return 2 if bare.endswith(separators) else 1
+
+
+class _Mentions:
+    """Finds the heaviest mention of a text by one pass of an automaton over all roots."""
+
+    def __init__(self, roots: list[tuple[str, str]], prepositions: tuple[str, ...], separators: tuple[str, ...]):
+        import ahocorasick
+
+        self.of = ahocorasick.Automaton()
+        for root, city in roots:
+            self.of.add_word(root, (len(root), city))
+        self.of.make_automaton()
+        self.words = prepositions, separators
+
+    def best(self, text: str, exclude: str | None) -> tuple[int, int, str] | None:
+        """(weight, length of the root, city); among equals the longer root, then the later name."""
+        out = None
+        for last, (n, city) in self.of.iter(text):
+            if city != exclude and (out is None or (3, n, city) > out):
+                w = mention_weight(text, last - n + 1, last + 1, *self.words)
+                if w and (out is None or (w, n, city) > out):
+                    out = (w, n, city)
+        return out
+
+
+#: Roots of one automaton: some tens of MB in a task.
+ROOTS = 100_000
 
 
-def detect_cities(texts: DataFrame, key: str, text: str, roots: DataFrame, exclude: str | None = None) -> DataFrame:
-    """(key, city) of the heaviest mention in each text, longer roots first among equals; texts without one are left out. X22.
+def detect_cities(texts: DataFrame, key: str, text: str, roots: DataFrame, exclude: str | None = None, prepositions: tuple[str, ...] = CITY_PREPOSITIONS, separators: tuple[str, ...] = CITY_SEPARATORS, most: int = ROOTS) -> DataFrame:
+    """(key, city) of the heaviest mention in each text, longer roots first among equals; texts without one are left out. X22, J20.
 
-    Texts meet roots by equal first four letters of a word (the shortest root), never root by root: each word's beginning is a join key.
+    Roots may have any length and several words. They form automata of `most` roots at most, which tasks get with their
+    code; a text passes each of them once, whatever the number of roots. A gazetteer that needs more than one automaton
+    is dealt over several, whose best mentions meet by key. An excluded city (column `exclude`) is no mention.
     """
-    low = F.lower(F.col(text))
-    cols = [F.col(key), low.alias("_t")] + ([F.col(exclude).alias("_x")] if exclude else [F.lit(None).cast("string").alias("_x")])
-    base = texts.where(F.col(text).isNotNull()).select(*cols)
-    keyed = base.withColumn("_k", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(r"(\p{L}[\p{L}-]{3,})"), F.lit(1)), lambda w: F.substring(w, 1, 4)))))
-    r = roots.withColumn("_k", F.substring("root", 1, 4))
-    hits = keyed.join(r, "_k").where(F.col("_t").contains(F.col("root")) & ~F.coalesce(F.col("city") == F.col("_x"), F.lit(False)))
-    gaps = F.transform(F.filter(F.sequence(F.lit(1), F.length("_t") - F.length("root") + 1), lambda i: F.substr(F.col("_t"), i, F.length("root")) == F.col("root")), lambda i: mention_weight(F.col("_t"), i, F.length("root")))
-    weighed = hits.withColumn("_w", F.array_max(gaps)).where("_w > 0")
-    best = F.max_by("city", F.struct("_w", F.length("root").alias("n"), "city"))
-    return weighed.groupBy(key).agg(best.alias("city"))
+    own = [F.col(key).alias("key"), F.lower(F.col(text)).alias("text"), (F.col(exclude) if exclude else F.lit(None)).cast("string").alias("not")]
+    base = texts.where(F.col(text).isNotNull()).select(*own)
+    named = roots.where(F.col("root").isNotNull() & (F.col("root") != "") & F.col("city").isNotNull()).select("root", "city")
+    parts = max(1, -(-named.count() // most))
+    kind = base.schema["key"].dataType.simpleString()
+
+    def search(listed: list[tuple[str, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mentions = _Mentions(listed, prepositions, separators) if listed else None
+            for b in batches:
+                found = [mentions.best(t, x) if mentions else None for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                rows = [i for i, f in enumerate(found) if f]
+                hits = [found[i] for i in rows]
+                keys = b.column(0).take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([w for w, _, _ in hits], pa.int32()), pa.array([n for _, n, _ in hits], pa.int32()), pa.array([c for _, _, c in hits], pa.string())], ["key", "w", "n", "city"])
+
+        return base.mapInArrow(run, f"key {kind}, w int, n int, city string")
+
+    found = None
+    for i in range(parts):
+        part = search([tuple(r) for r in named.where(F.pmod(F.xxhash64("root"), F.lit(parts)) == i).collect()])
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("key").agg(F.max_by("city", F.struct("w", "n", "city")).alias("city"))
+    return best.withColumnRenamed("key", key)
 
 
 def is_local(address_city: Column, city: Column) -> Column:

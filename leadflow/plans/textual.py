@@ -163,14 +163,28 @@ def rendered_messages(spark: SparkSession, d: str) -> DataFrame:
     return companies(spark, d).select("id", render(F.lit("Hello {name} in {city}: {score}"), {"name": F.col("name"), "city": F.col("city"), "score": F.col("score")}).alias("body"))
 
 
-@query("""WITH g AS (SELECT n_name AS city FROM nation WHERE length(n_name) >= 5) SELECT c_custkey AS id, n_name AS city FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN g ON g.city = n_name WHERE NOT contains(n_name, ' ')""")
+#: Names that texts of `documents` may hold: long words and pairs of words of the benchmark passages, as a gazetteer.
+_NAMES = r"""names AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z]{6,}') || regexp_extract_all(text, '[a-zA-Z]{4,} [a-zA-Z]{4,}'))) AS name FROM benchmark)"""
+_BEFORE = ("the ", "of ", "in ", "de ", "la ", "die ", "und ", "el ")
+_MENTION_SQL = f"""WITH {_NAMES},
+r0 AS (SELECT name AS city, unnest(list_distinct([name, CASE WHEN length(name) > 5 THEN left(name, greatest(5, length(name) - 1)) ELSE name END])) AS root FROM names WHERE length(name) >= 5),
+roots AS (SELECT root, min(city) AS city FROM r0 GROUP BY root),
+d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, t, i, substr(t, i, 5) AS k FROM (SELECT doc_id, t, unnest(range(1, length(t) - 3)) AS i FROM d)),
+m AS (SELECT doc_id, t, i, root, city FROM p JOIN roots ON left(root, 5) = k WHERE substr(t, i, length(root)) = root),
+w AS (SELECT doc_id, root, city, i, CASE WHEN regexp_matches(substr(t, i - 1, 1), '^\\p{{L}}$') AND i > 1 OR regexp_matches(substr(t, i + length(root), 3), '^\\p{{L}}{{3}}$') THEN 0 WHEN i = 1 THEN 1
+  WHEN {" OR ".join(f"ends_with(left(t, i - 1), '{x}')" for x in _BEFORE)} THEN 3
+  WHEN right(regexp_replace(left(t, i - 1), '[ \\t\\n\\x0B\\f\\r]+$', ''), 1) IN (',', '—', '-', '.', ':') THEN 2 ELSE 1 END AS weight FROM m)
+SELECT doc_id, arg_max(city, {{'w': weight, 'n': length(root), 'c': city}}) AS city FROM w WHERE weight > 0 GROUP BY doc_id"""
+
+
+@query(_MENTION_SQL)
 def detected_cities(spark: SparkSession, d: str) -> DataFrame:
-    """The city that an address names; one-word names of five letters or more."""
-    geo = geography(spark, d)
-    roots = towns.city_roots(geo.where(~F.col("city").contains(" ")).select(F.col("city").alias("name"), F.lit(False).alias("is_doppelganger")))
-    c = table(spark, d, "customer").join(F.broadcast(geo), F.col("c_nationkey") == F.col("nation_key")).where(~F.col("city").contains(" "))
-    texts = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Office 7, ul. Main, "), F.initcap("city"), F.lit(" 12")).alias("text"))
-    return towns.detect_cities(texts, "id", "text", roots)
+    """The name that a whole text mentions most plainly, by a gazetteer of words and pairs of words."""
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    names = table(spark, d, "benchmark").select(F.explode(F.transform(F.concat(found("[a-zA-Z]{6,}"), found("[a-zA-Z]{4,} [a-zA-Z]{4,}")), F.lower)).alias("name")).distinct()
+    roots = towns.city_roots(names.withColumn("is_doppelganger", F.lit(False)))
+    return towns.detect_cities(table(spark, d, "documents"), "doc_id", "text", roots, prepositions=_BEFORE)
 
 
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS s FROM documents),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions.templates import markdown_escaped
 from leadflow.functions.urls import is_safe_link
 from leadflow.operators.company_query import preset_filter
+from leadflow.plans.ordered import placed
 
 
 def _yes(c: str) -> Column:
@@ -29,32 +30,29 @@ def csv_rows(companies: DataFrame) -> DataFrame:
 
 
 def export_rows(companies: DataFrame, preset: str | None = None) -> DataFrame:
-    """Rows with a score, best first; with a preset also its conditions and no spam. SNK1-SNK3."""
+    """Rows with a score, in no order; with a preset also its conditions and no spam. SNK1-SNK3."""
     out = companies.where(F.col("score") > 0)
     if preset is not None:
         out = out.where((F.col("segment") != "spam") | F.col("segment").isNull())
         for c in preset_filter(preset)[0]:
             out = out.where(c)
-    return out.orderBy(F.desc("score"), "id")
+    return out
 
 
-#: Rows of a city that one task writes; larger cities are dealt over as many files as they need.
+#: Rows of a file.
 FILE_ROWS = 500_000
 
 
-def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with `_file`: which of its group's files a row goes to, by ranges of its place, so that files of a group keep its order.
-
-    rows have `_pos`, their place in the group.
-    """
-    return rows.withColumn("_file", F.floor((F.col("_pos") - 1) / FILE_ROWS)).repartition(*keys, "_file").sortWithinPartitions(*keys, "_file", "_pos")
+def _in_order(rows: DataFrame, group: list[str], order: list[Column | str]) -> DataFrame:
+    """rows in tasks by ranges of (group, order), so that a group is many tasks and its files, by name, keep the order."""
+    by = [*group, *order]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def write_csv(companies: DataFrame, path: str, preset: str | None = None) -> None:
-    """One folder of CSV files a city, header in each; a file holds FILE_ROWS rows at most, best first. SNK1, SNK5."""
-    rows = csv_rows(export_rows(companies, preset))
-    place = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("score"), "id"))
-    write = _dealt(rows.withColumn("_pos", place), ["city"]).drop("_pos", "_file").write.mode("overwrite")
+    """One folder of CSV files a city, best rows first over its files by name; each file begins with a byte-order mark and the header. SNK1, SNK5."""
+    rows = _in_order(csv_rows(export_rows(companies, preset)), ["city"], [F.desc("score"), "id"])
+    write = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0]).write.mode("overwrite")
     write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("city").option("header", True).csv(path)
 
 
@@ -64,23 +62,27 @@ def write_csv_presets(companies: DataFrame, path: str, presets: dict[str, str])
         write_csv(companies, f"{path}/{name}", filters)
 
 
-def markdown_lines(companies: DataFrame) -> DataFrame:
-    """(city, segment, pos, line): a report's table rows by segment, best first; unknown and spam segments go to D. SNK4.
-
-    Rows stay rows: no city is gathered into one value.
-    """
+def _report_rows(companies: DataFrame) -> DataFrame:
+    """(city, segment, score, id, line) of a report; unknown and spam segments go to D."""
     seg = F.when(F.col("segment").isin("A", "B", "C"), F.col("segment")).otherwise(F.lit("D"))
     cell = lambda c: markdown_escaped(F.coalesce(c.cast("string"), F.lit("")))
     link = F.when(is_safe_link(F.col("website")), F.concat(F.lit("["), cell(F.col("website")), F.lit("]("), F.col("website"), F.lit(")"))).otherwise(F.lit(""))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", cell(F.col("name")), cell(F.col("score")), F.array_join("phones", ", "), F.array_join("emails", ", "), link), F.lit(" |"))
-    pos = F.row_number().over(Window.partitionBy("city", "_seg").orderBy(F.desc("score"), "id"))
-    return companies.withColumn("_seg", seg).select("city", F.col("_seg").alias("segment"), pos.cast("long").alias("pos"), line.alias("line"))
+    return companies.select("city", seg.alias("segment"), "score", "id", line.alias("line"))
+
+
+def markdown_lines(companies: DataFrame) -> DataFrame:
+    """(city, segment, pos, line): a report's table rows by segment, best first. SNK4.
+
+    Places come from ranges and their counts: no city is one task, or gathered into one value.
+    """
+    return placed(_report_rows(companies), ["city", "segment"], [F.desc("score"), "id"]).select("city", "segment", "pos", "line")
 
 
 def write_markdown(companies: DataFrame, path: str) -> None:
-    """markdown_lines as text, a folder a city and segment, in files of FILE_ROWS lines at most. SNK4."""
-    lines = _dealt(markdown_lines(companies).withColumn("_pos", F.col("pos")), ["city", "segment"])
-    lines.select("city", "segment", F.col("line").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("city", "segment").text(path)
+    """A report's lines as text, a folder a city and segment, best first over its files by name. SNK4."""
+    lines = _in_order(_report_rows(companies), ["city", "segment"], [F.desc("score"), "id"]).select("city", "segment", F.col("line").alias("value"))
+    lines.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("city", "segment").text(path)
 
 
 def conflict_lines(clusters: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ COMPANY = "id long, name string, phones array<string>, address string, website s
 def test_exports(spark, tmp_path):
     rows = [(1, "A|b", ["1", "2"], "x", "https://a.ru", ["e@x.ru"], {"telegram": "t"}, "tilda", True, False, 50, "A", "Омск"), (2, "B", [], None, "ftp://b", [], None, None, None, None, 10, "spam", "Омск"), (3, "C", [], None, None, [], None, None, None, None, 0, None, "Омск")]
     df = spark.createDataFrame(rows, COMPANY)
-    assert [r.id for r in sinks.export_rows(df).collect()] == [1, 2] and [r.id for r in sinks.export_rows(df, "telegram IS NULL").collect()] == []
+    assert sorted(r.id for r in sinks.export_rows(df).collect()) == [1, 2] and sinks.export_rows(df, "telegram IS NULL").count() == 0
     first = sinks.csv_rows(df).where("id = 1").first()
     assert (first.phones, first.telegram, first.has_marquiz, first.is_network) == ("1; 2", "t", "Yes", "No")
     lines = {(r.segment, r.pos): r.line for r in sinks.markdown_lines(df).collect()}
@@ -71,6 +71,25 @@ def test_exports(spark, tmp_path):
     assert [labels[i].label for i in (0, 25, 26, 27)] == ["A", "Z", "AA", "AB"]
 
 
+def test_a_hot_city_is_written_in_order_by_many_tasks(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id", "'n' as name", "array('1') as phones", "'a' as address", "null as website", "array() as emails", "map('telegram', 't') as messengers", "'x' as cms", "true as has_marquiz", "false as is_network", "(id * 7919) % 101 as score", "if(id % 2 = 0, 'A', 'spam') as segment", "if(id % 10 = 0, 'Tomsk', 'Omsk') as city")
+    df = df.selectExpr(*(f"cast({c.strip().split(' ')[0]} as {c.strip().split(' ')[1]}) as {c.strip().split(' ')[0]}" for c in COMPANY.split(", ")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    sinks.write_markdown(df, str(tmp_path / "md"))
+    lines = {(r.city, r.segment, r.pos): r.line for r in sinks.markdown_lines(df).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    best = {c: [(r.id, r.score) for r in sorted(df.where(F.col("city") == c).collect(), key=lambda r: (-r.score, r.id)) if r.score > 0] for c in ("Omsk", "Tomsk")}
+    for city, want in best.items():
+        files = sorted((tmp_path / "csv" / f"city={city}").glob("*.csv"))
+        texts = [f.read_bytes().decode("utf-8") for f in files]
+        assert all(t.startswith("\ufeffid,name") for t in texts) and (len(files) > 2 or city == "Tomsk")
+        assert [int(line.split(",")[0]) for t in texts for line in t.splitlines()[1:]] == [i for i, _ in want]
+    for (city, seg), n in {("Omsk", "A"): 1200, ("Omsk", "D"): 1500}.items():
+        files = sorted((tmp_path / "md" / f"city={city}" / f"segment={seg}").glob("*.txt"))
+        assert [line for f in files for line in f.read_text().splitlines()] == [lines[city, seg, i + 1] for i in range(n)]
+
+
 T0 = datetime(2024, 1, 1)
 
 
