@@ -88,6 +88,7 @@ USEFUL_URLS = ("about", "o-nas", "o_kompanii", "production", "proizvodstvo", "ca
 
 # Funnel stages in order, and the follow-up rule of the open ones.
 STAGES = ("new", "email_sent", "email_opened", "tg_sent", "wa_sent", "replied", "interested", "not_interested", "unreachable")
+TERMINAL_STAGES = ("replied", "interested", "not_interested", "unreachable")
 CADENCE = (
     ("new", 0, "email", "cold_email_v1"), ("email_sent", 4, "tg", "tg_intro"), ("email_opened", 2, "tg", "tg_intro"),
     ("tg_sent", 4, "wa", "wa_intro"), ("wa_sent", 7, "email", "follow_up_email_v1"),

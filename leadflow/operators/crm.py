@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions.emails import is_ascii, recipient_format
-from leadflow.functions.values import CADENCE, STAGES
+from leadflow.functions.values import CADENCE, TERMINAL_STAGES
 
 
 #: Stages that a tg message changes, and those that a wa message leaves.
@@ -186,25 +186,4 @@ def due_followups(tasks: DataFrame, contacts: DataFrame, now: Column, most_tries
     """
     tries = F.coalesce(F.regexp_extract(F.coalesce("note", F.lit("")), r"\[retry:(\d+)\]", 1).try_cast("int"), F.lit(0))
     j = tasks.where((F.col("status") == "pending") & (F.col("due_at") <= now)).join(contacts, "company_id", "left")
-    return j.select("task_id", F.when(F.col("funnel_stage").isNull(), "cancelled").when(F.coalesce("stop_automation", F.lit(False)), "cancelled").when(F.col("funnel_stage").isin("replied", "interested", "not_interested", "unreachable"), "done").when(tries >= most_tries, "failed").otherwise("send").alias("decision"))
-
-
-def new_followup_tasks(opens: DataFrame, tasks: DataFrame, days: int = 7) -> DataFrame:
-    """(company_id, due_at): a task for each company with a first open and no pending one. T5."""
-    first = opens.groupBy("company_id").agg(F.min("opened_at").alias("at"))
-    pending = tasks.where("status = 'pending'").select("company_id").distinct()
-    return first.join(pending, "company_id", "left_anti").select("company_id", (F.col("at") + F.expr(f"INTERVAL {days} DAYS")).alias("due_at"))
-
-
-def sending_plan(queue: DataFrame, sent_last_day: int, per_run: int = 25, per_day: int = 150) -> DataFrame:
-    """The rows of a queue (ordinal, ...) that one run may send: the run's cap and what the day still allows. M9."""
-    return queue.orderBy("ordinal").limit(max(0, min(per_run, per_day - sent_last_day)))
-
-
-def is_stale(updated: Column, started: Column, created: Column, now: Column, minutes: int = 10) -> Column:
-    """Whether a running campaign has not moved for some minutes. M10."""
-    return F.greatest(updated, started, created) < now - F.expr(f"INTERVAL {minutes} MINUTES")
-
-
-def stage_order() -> dict[str, int]:
-    return {s: i for i, s in enumerate(STAGES)}
+    return j.select("task_id", F.when(F.col("funnel_stage").isNull(), "cancelled").when(F.coalesce("stop_automation", F.lit(False)), "cancelled").when(F.col("funnel_stage").isin(*TERMINAL_STAGES), "done").when(tries >= most_tries, "failed").otherwise("send").alias("decision"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.operators import crm, networks, relations
+from leadflow.operators import crm, networks, relations, sending
 from leadflow.plans.registry import COMPANIES, EVENTS, query
 from leadflow.plans.views import companies, events, last_time
 from leadflow.streaming import contacts as streams
@@ -130,6 +130,71 @@ def due_followups(spark: SparkSession, d: str) -> DataFrame:
     return crm.due_followups(tasks, _contacts(spark, d), last_time(e, "at"))
 
 
+_ROUND_SQL = f"""WITH {COMPANIES}, {EVENTS}, l AS (SELECT greatest(0, 150 - count(*)) AS l FROM ev WHERE kind = 'purchase' AND tm >= (SELECT max(tm) FROM ev) - INTERVAL 24 HOURS),
+al AS (SELECT id % 7 AS campaign_id, (id % 7) * 5 % 7 AS priority, id AS ordinal, emails[1] AS email, id % 5 <> 0 AS ok FROM companies WHERE len(emails) > 0 AND NOT deleted),
+q AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY ordinal) AS n FROM al WHERE campaign_id <> 3), r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY campaign_id ORDER BY n) AS k FROM q WHERE n <= 25),
+u AS (SELECT campaign_id, coalesce(sum(w) OVER (ORDER BY priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM (SELECT campaign_id, priority, max(k) AS w FROM r GROUP BY ALL)),
+plan AS (SELECT campaign_id, ordinal, ordinal AS company_id, email, CASE WHEN least(used, l) + k > l THEN 'day_limit' WHEN ok THEN 'send' ELSE 'error' END AS decision FROM r JOIN u USING (campaign_id), l)"""
+
+
+def _round(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Campaigns, their queue and the plan of a round: a campaign for each remainder of companies' ids."""
+    c = companies(spark, d).where(~F.col("deleted") & (F.size("emails") > 0))
+    queue = c.select((F.col("id") % 7).alias("campaign_id"), F.col("id").alias("ordinal"), F.col("id").alias("company_id"), F.get("emails", F.lit(0)).alias("email"), (F.col("id") % 5 != 0).alias("has_contact"))
+    k = F.col("campaign_id")
+    campaigns = queue.select("campaign_id").distinct().select(k, (k * 5 % 7).alias("priority"), F.when(k == 3, "draft").otherwise("running").alias("status"), F.lit(None).cast("long").alias("total_sent"), k.alias("total_errors"))
+    e = events(spark, d)
+    logs = e.where("kind = 'purchase'").select(F.col("at").alias("sent_at"))
+    return campaigns, queue, sending.send_plan(campaigns, queue, logs, last_time(e, "at"))
+
+
+@query(_ROUND_SQL + " SELECT * FROM plan")
+def send_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What a round sends under the cap of a run and what the rolling day allows."""
+    return _round(spark, d)[2]
+
+
+@query(_ROUND_SQL + """, c AS (SELECT campaign_id, count(*) AS n FROM al GROUP BY ALL), p AS (SELECT campaign_id, count(*) AS n, count_if(decision = 'send') AS s, count_if(decision = 'error') AS e, bool_or(decision = 'day_limit') AS cut FROM plan GROUP BY ALL)
+SELECT campaign_id, CASE WHEN campaign_id = 3 THEN 'draft' WHEN p.cut THEN 'paused_daily_limit' WHEN c.n > p.n THEN 'paused' ELSE 'completed' END AS status, coalesce(p.s, 0)::BIGINT AS total_sent, (campaign_id + coalesce(p.e, 0))::BIGINT AS total_errors FROM c LEFT JOIN p USING (campaign_id)""")
+def campaigns_after_round(spark: SparkSession, d: str) -> DataFrame:
+    """M9: status and counters of campaigns after a round."""
+    return sending.campaigns_after(*_round(spark, d)).drop("priority")
+
+
+@query(_ROUND_SQL + """, e AS (SELECT id * 10 + i - 1 AS id, id AS company_id, emails[i] AS email, i = 1 AS is_primary FROM (SELECT id, emails, unnest(range(1, len(emails) + 1)) AS i FROM companies)),
+x AS (SELECT e.*, email IN (SELECT email FROM plan WHERE decision = 'send') AS gone, (company_id, email) IN (SELECT company_id, email FROM plan WHERE decision = 'send') AS own FROM e),
+y AS (SELECT *, min(id) FILTER (WHERE NOT gone) OVER (PARTITION BY company_id) AS nxt, bool_or(gone AND is_primary) OVER (PARTITION BY company_id) AS lost FROM x)
+SELECT id, company_id, email, NOT gone AS is_active, (is_primary AND NOT gone) OR (lost AND coalesce(id = nxt, FALSE)) AS is_primary, own::BIGINT AS sent_count FROM y""")
+def addresses_after_round(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses that were written at go everywhere, primaries move on."""
+    mails = companies(spark, d).select("id", F.posexplode("emails").alias("p", "email"))
+    mails = mails.select((F.col("id") * 10 + F.col("p")).alias("id"), F.col("id").alias("company_id"), "email", F.lit(True).alias("is_active"), (F.col("p") == 0).alias("is_primary"), F.lit(None).cast("long").alias("sent_count"))
+    return sending.emails_after(mails, _round(spark, d)[2])
+
+
+@query(f"""WITH {_CONTACT_SQL}, t0 AS (SELECT event_id AS task_id, company_id, CASE WHEN k % 3 = 0 THEN 'call' ELSE 'follow_up' END AS task_type, CASE WHEN k % 4 = 0 THEN 'done' ELSE 'pending' END AS status, tm + INTERVAL 3 DAYS AS due_at FROM ev WHERE kind = 'click' AND k % 5 = 1),
+t1 AS (SELECT task_id, t0.company_id, task_type, CASE WHEN status = 'pending' AND task_type = 'follow_up' AND funnel_stage IN ('replied', 'interested', 'not_interested', 'unreachable') THEN 'cancelled' ELSE status END AS status, due_at FROM t0 LEFT JOIN con USING (company_id)),
+o AS (SELECT company_id, min(tm) AS m FROM ev WHERE kind = 'view' AND k % 7 <> 0 GROUP BY company_id)
+SELECT * FROM t1 UNION ALL SELECT NULL, company_id, 'follow_up', 'pending', m + INTERVAL 7 DAYS FROM o WHERE company_id NOT IN (SELECT company_id FROM t1 WHERE status = 'pending' AND task_type = 'follow_up')""")
+def followup_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Follow-ups end with their contact's stage and begin with a first open."""
+    e = events(spark, d)
+    k = F.col("k")
+    tasks = e.where("kind = 'click' and k % 5 = 1").select(F.col("event_id").alias("task_id"), "company_id", F.when(k % 3 == 0, "call").otherwise("follow_up").alias("task_type"), F.when(k % 4 == 0, "done").otherwise("pending").alias("status"), (F.col("at") + F.expr("INTERVAL 3 DAYS")).alias("due_at"))
+    opens = e.where("kind = 'view' and k % 7 <> 0").select("company_id", F.col("at").alias("opened_at"))
+    return sending.followups_after(tasks, _contacts(spark, d), opens).withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {EVENTS}, c AS (SELECT k % 11 AS campaign_id, max(tm) FILTER (WHERE kind = 'purchase') AS u, max(tm) FILTER (WHERE kind = 'click') AS s, min(tm) AS c FROM ev GROUP BY ALL)
+SELECT campaign_id, greatest(u, s, c) < (SELECT max(tm) FROM ev) - INTERVAL 10 MINUTES AS stale FROM c""")
+def stale_campaigns(spark: SparkSession, d: str) -> DataFrame:
+    """M10."""
+    e = events(spark, d)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("at")))
+    c = e.groupBy((F.col("k") % 11).alias("campaign_id")).agg(of("purchase").alias("u"), of("click").alias("s"), F.min("at").alias("c"))
+    return c.select("campaign_id", sending.is_stale(F.col("u"), F.col("s"), F.col("c"), last_time(e, "at")).alias("stale"))
+
+
 @query(f"""WITH {COMPANIES}, e AS (SELECT 'n' || (id % 9) AS key, unnest(emails) AS email, id FROM companies), l AS (SELECT email, arg_max((id % 7 = 0)::INT, id % 31 * 1000000000 + id) AS b FROM e WHERE id % 2 = 1 AND id % 5 < 2 GROUP BY email)
 SELECT DISTINCT key, e.email, CASE WHEN e.email LIKE 'info3@%' THEN 'disabled' WHEN b = 1 THEN 'bounced' WHEN b = 0 THEN 'sent' ELSE 'none' END AS badge FROM e LEFT JOIN l USING (email)""")
 def email_badges(spark: SparkSession, d: str) -> DataFrame:
