@@ -15,6 +15,8 @@ from leadflow.operators import networks, quality, resolution, scoring, stats
 from leadflow.plans.registry import COMPANIES, query
 from leadflow.plans.relational import _DOMAIN_SQL, _HOST_SQL
 from leadflow.plans.views import companies, geography, line_signals, sites, table
+from leadflow.sources.cards import CardRules, Pick
+from leadflow.sources.cards import landed_cards as landed_card_rows
 
 
 def _in(values: tuple[str, ...]) -> str:
@@ -298,3 +300,16 @@ def top_leads(spark: SparkSession, d: str) -> DataFrame:
     """The flagship report, best leads first."""
     live = scoring.scored(companies(spark, d).where("not deleted"))
     return live.orderBy(F.desc("score"), "id").limit(20).select("id", "score")
+
+
+_UNESCAPED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS x FROM pages),
+c AS (SELECT page_id, trim({_UNESCAPED.format("regexp_extract(x, '>([^<]*)</a>', 1)")}) AS name, {_UNESCAPED.format("regexp_extract(x, 'href=\"([^\"]*)\"', 1)")} AS source_url FROM l
+UNION ALL SELECT page_id, trim({_UNESCAPED.format("regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)")}), NULL FROM pages)
+SELECT page_id, name, source_url, count(*)::BIGINT AS n FROM c WHERE length(name) >= 3 GROUP BY ALL""")
+def landed_cards(spark: SparkSession, d: str) -> DataFrame:
+    """SRC8, SRC9: list items and articles of pages as cards, named by their link or heading."""
+    rules = CardRules(card=(Pick("li"), Pick("article")), name=(Pick("a"), Pick("h1")))
+    return landed_card_rows(table(spark, d, "pages"), "page_id", "html", rules).groupBy("page_id", "name", "source_url").agg(F.count("*").alias("n"))
