@@ -26,7 +26,7 @@ def test_box_cards(spark):
 
 
 def test_link_cards_take_contacts_from_around(spark):
-    page = '<div class="_searchCard_1"><div><a href="/firm/7">Omega</a></div><i>+7 903 123-45-67 mail@omega.ru</i><div class="address">Far street 10</div><a href="https://wa.me/79031234567">w</a></div><p><a href="/firm/8">Psi</a> 8 (903) 765-43-21</p>'
+    page = '<div class="_searchCard_1"><div><a href="/firm/7">Omega</a></div><i>+7 903 123-45-67 mail@omega.ru</i><div class="address">Far street 10</div><a href="https://wa.me/79031234567">w</a></div><p><a href="/firm/8">Psi</a> +7 (903) 765-43-21</p>'
     got = cards.landed_cards(spark.createDataFrame([(1, page)], "id long, h string"), "id", "h", cards.LINK_CARDS).orderBy("ordinal").collect()
     assert [(r.name, r.source_url, r.phones, r.emails, r.address) for r in got] == [("Omega", "/firm/7", ["79031234567"], ["mail@omega.ru"], "Far street 10"), ("Psi", "/firm/8", ["79037654321"], [], "")]
     assert got[0].messengers == {"whatsapp": "https://wa.me/79031234567"}
