@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 #: A key with more than one in SHARES of all rows is hot, so there are fewer than SHARES hot keys.
 SHARES = 400
@@ -42,9 +43,22 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Items that a sketch of frequent keys tracks: it misses no key that holds over 1 / SHARES of the rows.
+TRACKED = 10_000
+
+
 def hot_keys(left: DataFrame, on: str | list[str]) -> DataFrame:
-    """The keys that hold more than one in SHARES of left's rows, fewer than SHARES of them, and how many parts each needs."""
+    """The keys that hold more than one in SHARES of left's rows, SHARES of them at most, and how many parts each needs.
+
+    A single key is counted by a frequent-items sketch of bounded size in each task: one pass, nothing shuffled but the
+    sketches, and only hot keys reach the driver. Its counts may be off by a thousandth of the rows, which moves the
+    border of what is hot, never a result. Keys of several columns are counted exactly.
+    """
     on = [on] if isinstance(on, str) else on
+    if len(on) == 1 and isinstance(left.schema[on[0]].dataType, (LongType, IntegerType, StringType)):
+        found = left.agg(F.expr(f"approx_top_k(`{on[0]}`, {SHARES}, {TRACKED})").alias("top"), F.count("*").alias("n")).first()
+        hot = [(x["item"], -(-x["count"] * SHARES // found["n"])) for x in found["top"] or [] if x["count"] > max(found["n"], 1000) / SHARES]
+        return left.sparkSession.createDataFrame(hot, StructType([left.schema[on[0]], StructField("_parts", IntegerType())]))
     seen = Observation()
     counts = cut(left.groupBy(*on).agg(F.count("*").alias("_n")).observe(seen, F.sum("_n").alias("total")))
     total = seen.get["total"] or 0
