@@ -2,9 +2,9 @@
 
 Every stage works on all rows its predecessor kept. Toxic documents go; of each group of near duplicates the one with
 the smallest doc_id stays; personal data in text is replaced by its kind (n_chars follows); the rows are put in the
-order of the target mixture; the last stage packs them into bins in that order and returns their pieces. Tables keep no
-order of rows and no column of their own for it, so packing takes the slots anew from the rows: they depend on nothing
-else.
+order of the target mixture; the last stage packs them into bins in the order in which they were stored and returns
+their pieces. So the order that mixing leaves in the files is the order of the bins, and without that stage bins follow
+the order of the stage before.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.llm.common import cut, table
-from leadflow.llm.mixing import MixParams, mix
+from leadflow.llm.mixing import mix
 from leadflow.llm.ngram_join import keep_one
 from leadflow.llm.packing import best_fit_packing
 from leadflow.llm.pii import mask_pii
@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(docs, mixture=MixParams())
+    return best_fit_packing(docs, stored=True)
 
 
 STAGES = [

@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import cut
+from leadflow.llm.common import cut, unused
 
 REST = "(rest)"
 
@@ -147,9 +147,12 @@ def schedule(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     return placed.select(F.col("_id").alias("doc_id"), F.col("_class").alias("source_class"), F.col("_block").alias("block"), F.col("_phase").alias("phase"), F.col("_slot").alias("slot"))
 
 
-def with_slot(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """docs with the slot of each row as an extra column; a slot holds one block, and every slot from 0 on is taken."""
-    return _placed(docs, p, F.struct("*").alias("_own")).select("_own.*", F.col("_slot").alias("slot"))
+def with_slot(docs: DataFrame, p: MixParams = MixParams(), name: str = "slot") -> DataFrame:
+    """docs with the slot of each row as an extra column; a slot holds one block, and every slot from 0 on is taken.
+
+    The column is called name, lengthened while docs has such a column.
+    """
+    return _placed(docs, p, F.struct("*").alias("_own")).select("_own.*", F.col("_slot").alias(unused(docs, name)))
 
 
 def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:

@@ -11,6 +11,9 @@ may hold a third of all rows spread over all shards; only ids, lengths, sources
 
 With a mixture, a shard is a range of its slots instead, so that shards follow the order of the mixture and each holds
 the sources in its proportions; bins of a shard are numbered by their first slot, pieces of a bin lie in slot order.
+With stored=True the order is that in which the rows lie in their files, as whoever wrote them has left it: file by file
+by name, row by row. A row's place is its number in its file and the rows of the files before, so nothing is sorted or
+numbered again. Rows that do not come straight from files are written first.
 
 Defined cases: a text without words (or null) takes one bin place of length 0; null sources count as one source; a
 null cluster conflicts with nothing; repeated rows share a cluster and so never a bin; equally tight bins: the one
@@ -23,10 +26,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import SPACE, lower_ascii
+from leadflow.llm.common import SPACE, cut, lower_ascii
 from leadflow.llm.mixing import MixParams, with_slot
 from leadflow.plans.lineage import skew_join
 
@@ -127,24 +131,46 @@ def _repeated(values: list) -> set:
     return twice
 
 
-def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Column | None = None, mixture: MixParams | None = None, members: DataFrame | None = None) -> DataFrame:
+def _in_files(docs: DataFrame) -> DataFrame:
+    """docs with where each row lies: _file and _row; written first if it is no plain read of files."""
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    try:
+        return docs.select(*columns, *where)
+    except AnalysisException:
+        return cut(docs).select(*columns, *where)
+
+
+def _stored_order(rows: DataFrame) -> DataFrame:
+    """rows (with _file and _row) with _order, their place among all rows; parts of a write are numbered in its order."""
+    part = F.coalesce(F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    files = rows.groupBy("_file").agg(F.max("_row").alias("_last")).withColumn("_n", F.col("_last") + 1).select("_file", "_n", part.alias("_part"))
+    before = F.sum("_n").over(Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(files.select("_file", F.coalesce(before, F.lit(0)).alias("_before")), "_file").withColumn("_order", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
+def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Column | None = None, mixture: MixParams | None = None, members: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """doc_id, piece, n_words, shard, bin (unique over shards) and offset in the bin, for each piece of each row of docs.
 
     cluster: a long that near or exact copies share; by default a hash of the text with A-Z lower-cased. mixture: bins
-    ascend in the order of this mixture of the rows. members: doc_id and component_id of near copies, which take the
-    place of cluster for all rows with an id.
+    ascend in the order of this mixture of the rows; stored: in the order of the rows in their files. members: doc_id and
+    component_id of near copies, which take the place of cluster for all rows with an id.
     """
     cluster = F.when(F.length("text") > 0, F.xxhash64(lower_ascii(F.col("text")))) if cluster is None else cluster
-    rows = docs.select("doc_id", word_count(F.col("text")).alias("n"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), F.monotonically_increasing_id().alias("place"))
+    where = [F.col("_file"), F.col("_row")] if stored else []
+    rows = (_in_files(docs) if stored else docs).select("doc_id", word_count(F.col("text")).alias("n"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), F.monotonically_increasing_id().alias("place"), *where)
     if members is not None:
         near = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_near"))
         rows = skew_join(rows, near, "doc_id", "place", "left").withColumn("cluster", F.coalesce("_near", "cluster")).drop("_near")
-    if mixture is None:
+    ordered = stored or mixture is not None
+    if stored:
+        rows = _stored_order(rows).withColumn("shard", F.floor(F.col("_order") / p.shard_rows).cast("int"))
+    elif mixture is not None:
+        shard_slots = max(1, p.shard_rows // mixture.block_rows)
+        rows = with_slot(rows, mixture, "_order").withColumn("shard", F.floor(F.col("_order") / shard_slots).cast("int"))
+    else:
         n_shards = max(1, -(-docs.select("doc_id").count() // p.shard_rows))
         rows = rows.withColumn("shard", F.pmod(F.xxhash64("place", "doc_id", "n", F.lit(p.seed)), F.lit(n_shards)).cast("int"))
-    else:
-        shard_slots = max(1, p.shard_rows // mixture.block_rows)
-        rows = with_slot(rows, mixture).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
     rows = rows.withColumn("source", F.coalesce("source", F.lit("\0")))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
@@ -157,23 +183,17 @@ def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Col
         clusters = [None if pd.isna(c) else int(c) for c in packed["cluster"]]
         bins = pack_shard(packed["size"].tolist(), packed["source"].tolist(), clusters, p.capacity, p.planes)
         packed = packed.assign(bin=bins)
-        if mixture is not None:
-            packed = packed.sort_values(["slot", "doc_id", "n", "cluster"], kind="stable")
+        if ordered:
+            packed = packed.sort_values(["_order", "doc_id", "n", "cluster"], kind="stable")
         packed["offset"] = packed.groupby("bin")["size"].cumsum() - packed["size"]
         long = part.loc[full.index[full > 0]].assign(times=full[full > 0])
         long = long.loc[long.index.repeat(long["times"])]
         long = long.assign(piece=long.groupby(level=0).cumcount(), size=p.capacity, offset=0)
         long["bin"] = range(len(set(bins)), len(set(bins)) + len(long))
         out = pd.concat([packed, long])
-        if mixture is not None:
-            out = out.sort_values(["slot", "doc_id", "n", "cluster", "piece"], kind="stable")
-            out["bin"] = pd.factorize(out["bin"])[0]  # bins by their first slot
+        if ordered:
+            out = out.sort_values(["_order", "doc_id", "n", "cluster", "piece"], kind="stable")
+            out["bin"] = pd.factorize(out["bin"])[0]  # bins by their first place
         return pd.DataFrame({"doc_id": out["doc_id"], "piece": out["piece"].astype("int64"), "n_words": out["size"].astype("int64"), "shard": shard, "bin": out["bin"].astype("int64") + (shard << 32), "offset": out["offset"].astype("int64")})
 
     return rows.groupBy("shard").applyInPandas(pack, "doc_id long, piece long, n_words long, shard int, bin long, offset long")
-
-
-def packed_bins(docs: DataFrame, p: PackParams = PackParams(), cluster: Column | None = None) -> DataFrame:
-    """A row for each bin: bin, n_words and its pieces (doc_id, piece, offset, n_words) in order."""
-    pieces = best_fit_packing(docs, p, cluster)
-    return pieces.groupBy("bin").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "n_words"))).alias("pieces"))

@@ -10,7 +10,8 @@ taken from the words of the whole text, by the same rule for seeds and for insta
 pattern's confidence in a kind is the mean confidence of its distinct instances, an unseen instance's is the mean over
 its patterns. Patterns with enough distinct seeds and confidence become extractors; the unseen words after them are
 spans of that kind, and count as seeds of every other pattern that they follow, so that the next generation may
-become sure of more patterns, until none is found.
+become sure of more patterns, until none is found. Each generation adds a pattern at least, and patterns are finite, so it ends; scores
+only grow and stay below 1, so their rounds end too.
 
 Regular expressions are possessive, a match begins only at the start of a run or where the last match ended, and what
 lies where is looked up by binary search, so time is linear in the text but for logarithms. Defined cases: null and
@@ -24,8 +25,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import cut, lower_ascii, may_contain, membership
@@ -50,10 +52,13 @@ STEP = 64
 
 @dataclass(frozen=True)
 class PiiParams:
-    """rounds of scores a generation; a pattern needs least_seeds distinct seeds; generations ends the growth at the latest."""
+    """A pattern needs least_seeds distinct seeds; rounds of scores go on until none moves by more than tolerance.
 
-    rounds: int = 3
-    generations: int = 5
+    generations: ends the growth early, for those who want that; None: it ends when a generation finds nothing.
+    """
+
+    tolerance: float = 0.01
+    generations: int | None = None
     least_seeds: int = 5
     least_confidence: float = 0.8
 
@@ -182,7 +187,7 @@ def bootstrap(scanned: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     seeds, unseen = cut(seeds), cut(unseen)
     hot = hot_keys(unseen, "ctx")
     sure = None
-    for _ in range(p.generations):
+    for _ in count() if p.generations is None else range(p.generations):
         new = _sure_patterns(seeds, unseen, hot, p)
         new = cut(new if sure is None else new.join(sure, "ctx", "left_anti"))
         if new.isEmpty():
@@ -196,7 +201,7 @@ def bootstrap(scanned: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
 
 
 def _sure_patterns(seeds: DataFrame, unseen: DataFrame, hot: DataFrame, p: PiiParams) -> DataFrame:
-    """One generation: (ctx, k) of patterns with enough seeds and confidence after `rounds` of scores over the graph."""
+    """One generation: (ctx, k) of patterns with enough seeds and confidence after rounds of scores over the graph."""
     patterns = seeds.groupBy("ctx", "k").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= p.least_seeds)
     known = cut(seeds.groupBy("ctx").agg(F.countDistinct("v").alias("n_known")).join(patterns, "ctx"))
     # only the edges of patterns with enough seeds can matter
@@ -204,11 +209,16 @@ def _sure_patterns(seeds: DataFrame, unseen: DataFrame, hot: DataFrame, p: PiiPa
     n_unseen = edges.groupBy("ctx").agg(F.count("*").alias("n_unseen"))
     conf = known.join(n_unseen, "ctx", "left").withColumn("all", F.col("n_known") + F.coalesce("n_unseen", F.lit(0)))
     conf = conf.select("ctx", "k", "n_seeds", "all", (F.col("n_seeds") / F.col("all")).alias("conf"))
-    for _ in range(p.rounds):
+    moved = 1.0
+    while moved > p.tolerance:
         said = skew_join(edges, conf.select("ctx", "k", "conf"), "ctx", "v", hot=hot)
         instance = said.groupBy("v", "k").agg(F.avg("conf").alias("c"))
         gained = said.drop("conf").join(instance, ["v", "k"]).groupBy("ctx", "k").agg(F.sum("c").alias("gain"))
-        conf = cut(conf.join(gained, ["ctx", "k"], "left").select("ctx", "k", "n_seeds", "all", ((F.col("n_seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("all")).alias("conf")))
+        again = ((F.col("n_seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("all")).alias("conf")
+        seen = Observation()
+        next_ = conf.join(gained, ["ctx", "k"], "left").select("ctx", "k", "n_seeds", "all", F.col("conf").alias("old"), again)
+        conf = cut(next_.observe(seen, F.max(F.abs(F.col("conf") - F.col("old"))).alias("moved")).drop("old"))
+        moved = seen.get["moved"] or 0.0
     return conf.where(F.col("conf") >= p.least_confidence).groupBy("ctx").agg(F.max_by("k", F.struct("conf", -F.col("k"))).alias("k"))
 
 
@@ -231,10 +241,10 @@ def with_spans(docs: DataFrame, p: PiiParams = PiiParams(), keep: bool = False)
 
 def pii(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """A row for each row of docs: base counts, base_sha256, spans (base and discovered) and n_discovered."""
-    count = [_count_of(i, k) for i, k in enumerate(KINDS)]
+    counts = [_count_of(i, k) for i, k in enumerate(KINDS)]
     line = _line(F.col("base"))
     spans = F.when(F.size("more") == 0, line).otherwise(_line(F.concat("base", "more")))
-    return with_spans(docs, p).select("own.doc_id", *count, F.sha2(line, 256).alias("base_sha256"), spans.alias("spans"), F.size("more").cast("long").alias("n_discovered"))
+    return with_spans(docs, p).select("own.doc_id", *counts, F.sha2(line, 256).alias("base_sha256"), spans.alias("spans"), F.size("more").cast("long").alias("n_discovered"))
 
 
 def masked(text: Column, spans: Column) -> Column:

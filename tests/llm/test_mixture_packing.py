@@ -49,3 +49,26 @@ def test_the_pipeline_packs_in_the_order_of_its_mixture(spark):
     slot = mixing.schedule(docs).groupBy("doc_id").agg(F.max("slot").alias("slot"))
     bins = corpus_pipeline.packing_stage(spark, mixed, "").join(slot, "doc_id").groupBy("bin").agg(F.min("slot").alias("slot")).orderBy("bin").toPandas()
     assert bins["slot"].is_monotonic_increasing and len(bins) > 5
+
+
+def test_without_the_mixing_stage_the_bins_are_others(spark):
+    docs = cut(spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.col("id")).alias("text"), F.concat(F.lit("src"), (F.col("id") % 5).cast("string")).alias("source")))
+    mixed = cut(corpus_pipeline.mixing_stage(spark, docs, ""))
+    one, two = ({(r.doc_id, r.bin) for r in corpus_pipeline.packing_stage(spark, x, "").collect()} for x in (mixed, docs))
+    assert len(one) == len(two) == 6000 and one != two
+
+
+def test_stored_order_is_that_of_the_files(spark):
+    docs = _docs(spark).orderBy(F.col("doc_id").desc_nulls_first())
+    stored = cut(docs.repartitionByRange(7, F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc()))
+    for rows, null_at in ((stored, 900), (docs, -1)):  # read from files, and written first
+        got = packing.best_fit_packing(rows, PACK, stored=True).toPandas()
+        got["at"] = [899 - int(k) if k == k else null_at for k in got["doc_id"]]
+        assert got.groupby("bin")["at"].min().is_monotonic_increasing and got["doc_id"].nunique() == 900
+        assert got.groupby("shard")["at"].max().is_monotonic_increasing
+    assert packing.best_fit_packing(cut(docs.limit(0)), PACK, stored=True).collect() == []
+
+
+def test_a_column_called_slot_stays(spark):
+    got = mixing.with_slot(_docs(spark).withColumn("slot", F.lit(7)), mixing.MixParams(weights={"a": 700}, block_rows=4))
+    assert got.columns[-2:] == ["slot", "slot_"] and got.select("slot").distinct().count() == 1

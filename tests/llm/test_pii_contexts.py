@@ -66,6 +66,20 @@ def test_discovered_instances_become_seeds(spark):
     assert first[last].n_discovered == 0 and first[12].n_discovered == 1
 
 
+def test_growth_goes_on_until_nothing_is_found(spark):
+    """Nine patterns, each taught by what the one before has found."""
+    number = lambda g, i: f"77{g}1234{i:02d}"
+    names = [f"word{chr(97 + g)}" for g in range(9)]
+    texts = [f"please ring phone number: +1 555 123 45{i:02d} today" for i in range(20)]
+    texts += [f"then phone number: {number(0, i)} or so" for i in range(8)]
+    for g, name in enumerate(names):
+        texts += [f"under code {name} {number(g, i)} once" for i in range(8)] + [f"under code {name} {number(g + 1, i)} once" for i in range(8)]
+    got = {r.doc_id: r.n_discovered for r in pii.pii(_docs(spark, texts)).collect()}
+    assert [got[i] for i in range(20, len(texts))] == [1] * (len(texts) - 20)
+    six = {r.doc_id: r.n_discovered for r in pii.pii(_docs(spark, texts), pii.PiiParams(generations=6)).collect()}
+    assert six[28] == 1 and six[len(texts) - 1] == 0
+
+
 def _plain_mask(text, spans):
     """Runs of overlapping spans, found one by one."""
     order = sorted(spans, key=lambda x: (x[1], pii.KINDS.index(x[0])))
