@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.functions.values import CITY_PREPOSITIONS, CITY_SEPARATORS
+from leadflow.functions.names import slugify
+from leadflow.functions.urls import hostname
+from leadflow.functions.values import CITY_PREPOSITIONS, CITY_SEPARATORS, STREET_WORDS
 
 
 def gazetteer(rows: DataFrame) -> DataFrame:
@@ -134,17 +136,73 @@ def is_local(address_city: Column, city: Column) -> Column:
     return F.coalesce((a == b) | ((a.startswith(b) | b.startswith(a)) & (short >= 0.7 * long)) | ((F.length(stem(a)) >= 5) & (stem(a) == stem(b))), F.lit(False))
 
 
-def reassignable(name_city: Column, city: Column, address: Column, website: Column) -> Column:
-    """Whether a company may move to the city its address names. X23."""
-    a = F.trim(F.coalesce(address, F.lit("")))
-    street = a.rlike(r"(?iu)(ул\.?|улица|пр-т|проспект|пер\.?|переулок|ш\.|шоссе|д\.)")
-    return F.coalesce((F.length(a) >= 6) & ~a.rlike("(?i)^https?://") & street & (name_city != city) & ~F.coalesce(F.lower(website).contains(F.lower(city)), F.lit(False)), F.lit(False))
+def names_foreign_city(texts: DataFrame, key: str, text: str, roots: DataFrame, region: str, most: int = ROOTS) -> DataFrame:
+    """(key) of the texts in which a root of a city of another region begins a word; its end does not matter. F16.
 
+    roots: root, city, region. As in detect_cities, roots form automata of `most` roots at most.
+    """
+    foreign = roots.where(~F.col("region").eqNullSafe(F.lit(region)) & (F.col("root") != "")).select("root")
+    parts = max(1, -(-foreign.count() // most))
+    base = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"))
+    kind = base.schema["key"].dataType.simpleString()
+
+    def search(listed: list[tuple[str, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = _Mentions(listed, (), ()).of if listed else None
+            for b in batches:
+                hit = [of is not None and any(last < n or not t[last - n].isalpha() for last, (n, _) in of.iter(t)) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], ["key"])
 
-def first_in_table(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+        return base.mapInArrow(run, f"key {kind}")
+
+    found = None
+    for i in range(parts):
+        part = search([(r.root, "") for r in foreign.where(F.pmod(F.xxhash64("root"), F.lit(parts)) == i).collect()])
+        found = part if found is None else found.union(part)
+    return (found if parts == 1 else found.distinct()).withColumnRenamed("key", key)
+
+
+def _subdomain_is(website: Column, city: Column) -> Column:
+    """Whether a site's first label begins like a city: its first five letters, or all of the shorter one (three at least)."""
+    host = F.coalesce(hostname(website), F.lit(""))
+    label = F.when(host.contains("."), F.split_part(host, F.lit("."), F.lit(1))).otherwise(F.lit(""))
+    slug = slugify(city)
+    n = F.least(F.lit(5), F.length(label), F.length(slug))
+    return (n >= 3) & (F.substr(label, F.lit(1), n) == F.substr(slug, F.lit(1), n))
+
+
+def city_moves(companies: DataFrame, cities: DataFrame, roots: DataFrame, **words: tuple[str, ...]) -> DataFrame:
+    """(id, name, city, new_city, region) of companies whose address plainly names another city. X23.
+
+    companies: id, name, city, address, website. The address must have six characters, be no URL and hold a word for a
+    street; a site that holds the present city, or whose first label begins like it, keeps a company where it is. A city
+    that the gazetteer (name, region) gives no region is a dead letter: `region` is null. words: as in detect_cities.
+    """
+    a = F.trim(F.coalesce("address", F.lit("")))
+    street = F.lit(False)
+    for w in STREET_WORDS:
+        street = street | F.lower(a).contains(w)
+    link = a.startswith("http://") | a.startswith("https://") | a.startswith("www.")
+    named = F.coalesce(F.lower("website").contains(F.lower("city")), F.lit(False))
+    c = companies.where((F.length(a) >= 6) & ~link & street & ~named).select("id", "name", "city", "website", a.alias("_a"))
+    found = detect_cities(c, "id", "_a", roots, exclude="city", **words).withColumnRenamed("city", "new_city")
+    moved = c.join(found, "id").where(~F.coalesce(_subdomain_is(F.col("website"), F.col("city")), F.lit(False)))
+    known = cities.select(F.col("name").alias("new_city"), "region").where("region <> ''").dropDuplicates(["new_city"])
+    return moved.join(known, "new_city", "left").select("id", "name", "city", "new_city", "region")
+
+
+def reassigned(companies: DataFrame, moves: DataFrame) -> DataFrame:
+    """companies (id, city, region, review_reason, ...) in their new cities; dead letters change nothing. X23."""
+    to = moves.where("region is not null").select("id", F.col("new_city").alias("_city"), F.col("region").alias("_region"))
+    j = companies.join(to, "id", "left")
+    hit = F.col("_city").isNotNull()
+    new = {"city": F.col("_city"), "region": F.col("_region"), "review_reason": F.concat(F.lit("city_reassigned_from_"), F.col("city"))}
+    return j.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in companies.columns))
+
+
+def unmatched_cities(moves: DataFrame) -> DataFrame:
+    """(city, n, example) of the cities that addresses name and no gazetteer knows. X23."""
+    return moves.where("region is null").groupBy(F.col("new_city").alias("city")).agg(F.count("*").alias("n"), F.min_by("name", "id").alias("example"))
 
 
 def locative(rows: DataFrame, forms: DataFrame, city: str = "city") -> DataFrame:

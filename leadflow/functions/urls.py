@@ -96,7 +96,9 @@ def is_safe_url(url: Column) -> Column:
         inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
     numeric = h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
     named = h.isin(*PRIVATE_HOSTS) | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal") | h.startswith("[")
-    ok = url.rlike("(?i)^https?://") & h.isNotNull() & ~named & ~(numeric & F.coalesce(inside, F.lit(False)))
+    # names and shortened numbers that begin like a private address
+    begins = h.rlike(r"^(127|10|192\.168|169\.254|0)\.") | h.rlike(r"^172\.0*(1[6-9]|2[0-9]|3[01])(\.|$)") | h.rlike(r"^100\.0*(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])(\.|$)")
+    ok = url.rlike("(?i)^https?://") & h.isNotNull() & ~named & ~begins & ~(numeric & F.coalesce(inside, F.lit(False)))
     return F.coalesce(ok, F.lit(False))
 
 

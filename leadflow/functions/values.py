@@ -97,6 +97,8 @@ CADENCE = (
 # Prepositions and separators in front of a city's name.
 CITY_PREPOSITIONS = ("в ", "из ", "для ", "по ", "от ", "до ", "при ", "г. ")
 CITY_SEPARATORS = (",", "—", "-", ".", ":")
+# Words that mark a street address.
+STREET_WORDS = ("ул.", "улица", "проспект", "пр.", "пер.", "д.", "дом", "шоссе", "бульвар")
 
 # Legal forms in front of a name.
 LEGAL_FORMS = ("ООО", "ОАО", "ЗАО", "ИП", "АО", "ПАО", "ТОО", "ЧУП", "УП")

@@ -64,26 +64,6 @@ def page_with_total(found: DataFrame, order: list[Column], page: int = 1, per_pa
     return rows.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
 
 
-def of_source(companies: DataFrame, raw: DataFrame, source: str, key: str = "id") -> DataFrame:
-    """companies that a source named: by their own list, or by raw rows where no live company has a list. F4.
-
-    raw: id, merged_into, source; a raw row belongs to what it was merged into, else to the company of its own id.
-    """
-    listed = live(companies).where(F.size("sources") > 0).limit(1).agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
-    from_raw = raw.where(F.col("source") == source).select(F.coalesce("merged_into", "id").alias(key)).distinct().withColumn("_raw", F.lit(True))
-    j = companies.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one").join(from_raw, key, "left")
-    own = F.coalesce(F.array_contains("sources", source), F.lit(False))
-    return j.where(F.when(F.col("_n") > 0, own).otherwise(F.coalesce("_raw", F.lit(False)))).select(*companies.columns)
-
-
-def with_email_like(companies: DataFrame, company_emails: DataFrame, text: str, key: str = "id") -> DataFrame:
-    """companies with an address that holds a text, in their own list or among their company_emails (company_id, email). F12."""
-    low = text.lower()
-    known = company_emails.where(F.lower("email").contains(low)).select(F.col("company_id").alias(key)).distinct().withColumn("_known", F.lit(True))
-    own = F.coalesce(F.exists("emails", lambda e: F.lower(e).contains(low)), F.lit(False))
-    return companies.join(known, key, "left").where(own | F.coalesce("_known", F.lit(False))).select(*companies.columns)
-
-
 def followup_page(queue: DataFrame, companies: DataFrame, cities: tuple[str, ...] = (), segment: str | None = None, page: int = 1, per_page: int = 100) -> DataFrame:
     """A page of a follow-up queue with names: best score first, then the longest without contact, then id. J2, L2, S3."""
     own = live(companies).select(F.col("id").alias("company_id"), "name", "city", "region", "segment", "emails")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 SORTS = ("id", "name", "city", "score", "segment", "updated_at", "funnel_stage", "company_count")
 
@@ -35,6 +36,8 @@ class CompanyQuery:
     cms: str | None = None
     score: tuple[int | None, int | None] = (None, None)
     search: str | None = None
+    #: Where the search text must stand: name, domain, phone or email; None: in any of them.
+    field: str | None = None
     sort: str = "id"
     descending: bool = False
     page: int = 1
@@ -56,7 +59,8 @@ def condition(q: CompanyQuery, have: set[str]) -> Column:
         if high is not None:
             c.append(F.col(at) <= high)
     if q.source:
-        c.append(F.array_contains("sources", q.source))
+        own = F.coalesce(F.array_contains("sources", q.source), F.lit(False))
+        c.append(F.when(F.col("_listed"), own).otherwise(F.col("_from_raw")) if "_listed" in have else own)
     if cities := [x for x in q.cities if x.strip()]:
         c.append(F.col("city").isin(*cities))
     if q.region:
@@ -87,13 +91,16 @@ def condition(q: CompanyQuery, have: set[str]) -> Column:
         text = f"%{like_escaped(q.search.strip().lower())}%"
         number = re.sub(r"[\s()+-]", "", q.search)
         hit = F.lit(False)
-        for name in ("name", "website"):
-            if name in have:
+        for name, field_ in (("name", "name"), ("website", "domain")):
+            if name in have and q.field in (None, field_):
                 hit = hit | F.coalesce(F.lower(name).like(text), F.lit(False))
-        if "phones" in have and number:
+        if "phones" in have and number and q.field in (None, "phone"):
             hit = hit | F.coalesce(F.exists("phones", lambda p: F.replace(p, F.lit("+"), F.lit("")).contains(number)), F.lit(False))
-        if "emails" in have:
-            hit = hit | F.coalesce(F.exists("emails", lambda e: F.lower(e).like(text)), F.lit(False))
+        if q.field in (None, "email"):
+            if "emails" in have:
+                hit = hit | F.coalesce(F.exists("emails", lambda e: F.lower(e).like(text)), F.lit(False))
+            if "_mail_like" in have:
+                hit = hit | F.col("_mail_like")
         c.append(hit)
     out = c[0]
     for x in c[1:]:
@@ -106,6 +113,46 @@ def search(companies: DataFrame, q: CompanyQuery, key: str = "id") -> DataFrame:
     return companies.where(condition(q, set(companies.columns)))
 
 
+#: Sources that may be asked for.
+SOURCES = ("jsprav", "web_search", "2gis", "yell", "jsprav_playwright", "avito", "google_maps")
+
+
+def find(companies: DataFrame, q: CompanyQuery, company_emails: DataFrame | None = None, raw: DataFrame | None = None, key: str = "id", sources: tuple[str, ...] = SOURCES) -> DataFrame:
+    """Rows of companies that fit q, with all that a search may look at. F1-F12.
+
+    company_emails (company_id, email): addresses kept apart, which the text may stand in as well as in a company's own
+    list. raw (id, merged_into, source): where no live company lists its sources, the companies that raw rows of the
+    source belong to. Each is one semi join on ids that its filter leaves; an unknown source is an error.
+    """
+    if q.source and q.source not in sources:
+        raise ValueError(f"source must be one of {', '.join(sorted(sources))}")
+    columns, rows = companies.columns, companies
+    text = (q.search or "").strip().lower()
+    if company_emails is not None and text and q.field in (None, "email"):
+        like = company_emails.where(F.lower("email").like(f"%{like_escaped(text)}%")).select(F.col("company_id").alias(key)).distinct().withColumn("_mail_like", F.lit(True))
+        rows = rows.join(like, key, "left").withColumn("_mail_like", F.coalesce("_mail_like", F.lit(False)))
+    if raw is not None and q.source:
+        alive = F.col("deleted_at").isNull() if "deleted_at" in columns else F.lit(True)
+        listed = companies.where(alive & (F.size("sources") > 0)).limit(1).agg((F.count("*") > 0).alias("_listed"))
+        of = raw.where(F.col("source") == q.source).select(F.coalesce("merged_into", "id").alias(key)).distinct().withColumn("_from_raw", F.lit(True))
+        rows = rows.join(of, key, "left").withColumn("_from_raw", F.coalesce("_from_raw", F.lit(False))).crossJoin(F.broadcast(listed))  # one row
+    return rows.where(condition(q, set(rows.columns))).select(*columns)
+
+
+def find_page(companies: DataFrame, q: CompanyQuery, company_emails: DataFrame | None = None, raw: DataFrame | None = None, key: str = "id", sources: tuple[str, ...] = SOURCES) -> DataFrame:
+    """One page of find with `total`, the number of all its rows, from one pass: rows are counted on their way to the page. L1.
+
+    A page is small by its nature, so it is what the driver holds; an empty page has no row to carry the total.
+    """
+    seen = Observation()
+    found = find(companies, q, company_emails, raw, key, sources).observe(seen, F.count(F.lit(1)).alias("total"))
+    by = F.col(q.sort)
+    order = [by.desc_nulls_last() if q.descending else by.asc_nulls_first(), F.col(key)]
+    rows = found.orderBy(*order).limit(q.page * q.per_page).offset((q.page - 1) * q.per_page).collect()
+    schema = StructType([*companies.schema.fields, StructField("total", LongType())])
+    return companies.sparkSession.createDataFrame([(*r, seen.get["total"]) for r in rows], schema)
+
+
 def page(companies: DataFrame, q: CompanyQuery, key: str = "id") -> DataFrame:
     """One page of search, ordered; nulls last when descending and first when ascending, ties by key."""
     by = F.col(q.sort)

@@ -10,6 +10,7 @@ from leadflow.functions.names import token_sort_ratio
 from leadflow.functions.phones import DEFAULT, PhoneRules, phone_problem
 from leadflow.functions.urls import extract_domain
 from leadflow.functions.values import FAKE_EMAIL_LOCALS
+from leadflow.operators.resolution import rare_pairs
 
 
 def contact_problems(rows: DataFrame, table: str, r: PhoneRules = DEFAULT) -> DataFrame:
@@ -56,11 +57,22 @@ def site_merge_plan(companies: DataFrame) -> DataFrame:
 
 
 def best_listing(names: DataFrame, listings: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """(id, listing_id, score): the most similar listing of each name's city, later ones first among equals. C20."""
-    j = names.select("id", "city", F.col("name").alias("a")).join(listings.select("listing_id", "city", F.col("name").alias("b")), "city")
-    j = j.where(F.least(F.length("a"), F.length("b")) * (200 - threshold) >= F.greatest(F.length("a"), F.length("b")) * threshold)
-    s = j.withColumn("score", token_sort_ratio("a", "b")).where(F.col("score") >= threshold)
-    return s.groupBy("id").agg(F.max_by(F.struct("listing_id", "score"), F.struct("score", "listing_id")).alias("x")).select("id", "x.*")
+    """(id, listing_id, score): the most similar listing of each name's city, later ones first among equals. C20.
+
+    Different names are compared, once each, and only those that share one of their rarest letter pairs.
+    """
+    key = F.lower(F.trim("name")).alias("k")
+    asked = names.select("id", "city", key)
+    kept = listings.groupBy("city", key).agg(F.max("listing_id").alias("listing_id"))
+    side = lambda df, name: df.where("k <> ''").select("city", F.lit(name).alias("b"), "k", F.lit(name).alias("id")).distinct()
+    rare = rare_pairs(side(asked, "name").union(side(kept, "listing")), threshold)
+    left = rare.where("b = 'name'").select("city", "g", F.col("k").alias("ka"))
+    right = rare.where("b = 'listing'").select("city", "g", F.col("k").alias("kb"))
+    fits = F.least(F.length("ka"), F.length("kb")) * (200 - threshold) >= F.greatest(F.length("ka"), F.length("kb")) * threshold
+    pairs = left.join(right, ["city", "g"]).where(fits).select("city", "ka", "kb").distinct()
+    scored = pairs.withColumn("score", token_sort_ratio("ka", "kb")).where(F.col("score") >= threshold).join(kept.withColumnRenamed("k", "kb"), ["city", "kb"])
+    best = scored.groupBy("city", F.col("ka").alias("k")).agg(F.max_by(F.struct("listing_id", "score"), F.struct("score", "listing_id")).alias("x"))
+    return asked.join(best, ["city", "k"]).select("id", "x.*")
 
 
 def without_placeholders(rows: DataFrame, column: str = "emails") -> DataFrame:

@@ -8,18 +8,6 @@ from pyspark.sql import functions as F
 from leadflow.plans.lineage import skew_join
 
 
-def shared_signal_pairs(signals: DataFrame, entity: str, signal: str, most: int) -> DataFrame:
-    """(a, b, n_shared) for entities a < b with a signal in common; signals of more than `most` entities are hubs and tie nobody. J11, J13.
-
-    The hub bound keeps a list of k entities at k * (k - 1) / 2 <= most * (most - 1) / 2 pairs.
-    """
-    own = signals.select(F.col(entity).alias("e"), F.col(signal).alias("s")).where("e is not null and s is not null").distinct()
-    usable = own.groupBy("s").agg(F.count("*").alias("k")).where((F.col("k") >= 2) & (F.col("k") <= most)).select("s")
-    kept = own.join(usable, "s")
-    pairs = kept.withColumnRenamed("e", "a").join(kept.withColumnRenamed("e", "b"), "s").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"))
-
-
 def signal_groups(signals: DataFrame, entity: str, signal: str) -> DataFrame:
     """(entity, signal, first, n) of every entity that shares a signal with others: the group's smallest entity and size. J11-J13.
 

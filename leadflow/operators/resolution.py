@@ -47,7 +47,7 @@ def name_edges(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
 
     Distinct names are compared, not rows: rows of one name are tied by a star. Names may match in their block (first
     letter); blocks of fewer than SMALL_BLOCK rows also meet the next block. Within these, only names that share a rare
-    pair of letters are compared: see `_name_candidates`.
+    pair of letters are compared: see `rare_pairs`.
     """
     named = rows.select("id", "city", F.col("name"), name_key(F.col("name")).alias("k"), block_key(F.col("name")).alias("b")).where("b is not null")
     by_name = named.groupBy("city", "b", "k").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
@@ -56,7 +56,7 @@ def name_edges(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     blocks = blocks.withColumn("next", F.lead("b").over(Window.partitionBy("city").orderBy("b")))
     fits = F.least(F.length("ka"), F.length("kb")) * (200 - threshold) >= F.greatest(F.length("ka"), F.length("kb")) * threshold
     reach = blocks.select("city", "b", F.col("b").alias("b2")).union(blocks.where((F.col("rows") < SMALL_BLOCK) & F.col("next").isNotNull()).select("city", "b", "next"))
-    rare = _name_candidates(by_name, threshold)
+    rare = rare_pairs(by_name, threshold)
     left = rare.select("city", "g", "b", F.col("k").alias("ka"), F.col("id").alias("src"))
     right = rare.select("city", "g", F.col("b").alias("b2"), F.col("k").alias("kb"), F.col("id").alias("dst"))
     near = left.join(right, ["city", "g"]).where(fits & (F.col("src") != F.col("dst")) & ((F.col("b") != F.col("b2")) | (F.col("ka") < F.col("kb"))))
@@ -65,7 +65,7 @@ def name_edges(rows: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     return equal.union(similar)
 
 
-def _name_candidates(names: DataFrame, threshold: float) -> DataFrame:
+def rare_pairs(names: DataFrame, threshold: float) -> DataFrame:
     """(city, b, k, id, g) of each name's rarest letter pairs, one of which every similar name has among its own rarest.
 
     Words in order, a name of n letters has n pairs (the first letter pairs with a mark), numbered where they repeat. A

@@ -73,7 +73,7 @@ def companies_of_source(spark: SparkSession, d: str) -> DataFrame:
     c = companies(spark, d).select("id", F.when(F.col("id") % 4 == 1, F.array(F.lit("maps"))).otherwise(F.array().cast("array<string>")).alias("sources"))
     none = c.withColumn("sources", F.array().cast("array<string>"))
     raw = events(spark, d).select(F.col("company_id").alias("id"), F.when(F.col("k") % 10 == 0, F.col("company_id") + 1).alias("merged_into"), F.when(F.col("kind") == "purchase", "maps").otherwise("web").alias("source"))
-    by = lambda rows, name: base.of_source(rows, raw, "maps").select("id", F.lit(name).alias("by_what"))
+    by = lambda rows, name: company_query.find(rows, CompanyQuery(source="maps", spam=1), raw=raw, sources=("maps", "web")).select("id", F.lit(name).alias("by_what"))
     return by(none, "raw").union(by(c, "own"))
 
 
@@ -82,7 +82,21 @@ def search_by_address(spark: SparkSession, d: str) -> DataFrame:
     """the text may stand in a company's own list or among the addresses kept apart."""
     mails = events(spark, d).where("kind = 'signup'").select("company_id", F.concat(F.lit("User"), s(F.col("k")), F.lit("@kept.ru")).alias("email"))
     mails = mails.where(F.length("email") == 14)
-    return base.with_email_like(companies(spark, d), mails, "user1").select("id", "name")
+    return company_query.find(companies(spark, d), CompanyQuery(search="user1", field="email"), mails).select("id", "name")
+
+
+@query(f"""WITH {COMPANIES}, {EVENTS}, m AS (SELECT DISTINCT company_id AS id FROM ev WHERE kind = 'signup' AND k BETWEEN 30 AND 39), r AS (SELECT DISTINCT company_id AS id FROM ev WHERE kind IN ('view', 'click')),
+f AS (SELECT *, count(*) OVER () AS total FROM companies WHERE NOT deleted AND region IN ('ASIA', 'REGION_1', 'EUROPE', 'AMERICA', 'AFRICA') AND score >= 5 AND id IN (SELECT id FROM r)
+  AND (contains(lower(name), '3') OR contains(lower(coalesce(website, '')), '3') OR len(list_filter(phones, lambda p: contains(replace(p, '+', ''), '3'))) > 0 OR len(list_filter(emails, lambda e: contains(lower(e), '3'))) > 0 OR id IN (SELECT id FROM m)))
+SELECT id, name, score, total::BIGINT AS total FROM f ORDER BY score DESC, id LIMIT 10 OFFSET 10""")
+def company_search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """One search over names, sites, phones, own and separate addresses, sources from raw rows, a page and its total."""
+    mails = events(spark, d).where("kind = 'signup'").select("company_id", F.concat(F.lit("Box"), F.lpad(s(F.col("k")), 3, "0"), F.lit("@kept.ru")).alias("email")).where("email like 'Box03%'")
+    raw = events(spark, d).select(F.col("company_id").alias("id"), F.lit(None).cast("long").alias("merged_into"), F.when(F.col("kind").isin("view", "click"), "yell").otherwise("avito").alias("source"))
+    c = companies(spark, d).withColumn("deleted_at", F.when(F.col("deleted"), F.lit("x"))).withColumn("sources", F.array().cast("array<string>"))
+    c = c.where(F.col("region").isin("ASIA", "REGION_1", "EUROPE", "AMERICA", "AFRICA"))
+    q = CompanyQuery(search=" 3 ", source="yell", score=(5, None), sort="score", descending=True, page=2, per_page=10)
+    return company_query.find_page(c, q, mails, raw).select("id", "name", "score", "total")
 
 
 @query(f"""WITH {_CONTACT_SQL}, r AS (SELECT * FROM (VALUES ('new', 0), ('email_sent', 4), ('email_opened', 2), ('tg_sent', 4), ('wa_sent', 7)) v(funnel_stage, need)),

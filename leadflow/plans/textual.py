@@ -183,10 +183,13 @@ SELECT doc_id, arg_max(city, {{'w': weight, 'n': length(root), 'c': city}}) AS c
 @query(_MENTION_SQL)
 def detected_cities(spark: SparkSession, d: str) -> DataFrame:
     """The name that a whole text mentions most plainly, by a gazetteer of words and pairs of words."""
+    return towns.detect_cities(table(spark, d, "documents"), "doc_id", "text", _benchmark_roots(spark, d), prepositions=_BEFORE)
+
+
+def _benchmark_roots(spark: SparkSession, d: str) -> DataFrame:
     found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
     names = table(spark, d, "benchmark").select(F.explode(F.transform(F.concat(found("[a-zA-Z]{6,}"), found("[a-zA-Z]{4,} [a-zA-Z]{4,}")), F.lower)).alias("name")).distinct()
-    roots = towns.city_roots(names.withColumn("is_doppelganger", F.lit(False)))
-    return towns.detect_cities(table(spark, d, "documents"), "doc_id", "text", roots, prepositions=_BEFORE)
+    return towns.city_roots(names.withColumn("is_doppelganger", F.lit(False)))
 
 
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS s FROM documents),
@@ -302,6 +305,43 @@ def top_leads(spark: SparkSession, d: str) -> DataFrame:
     return live.orderBy(F.desc("score"), "id").limit(20).select("id", "score")
 
 
+@query(_MENTION_SQL.rsplit("w AS (SELECT doc_id", 1)[0].rstrip().rstrip(",") + """ SELECT DISTINCT doc_id FROM m WHERE length(city) % 3 <> 0 AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '^\\p{L}$'))""")
+def foreign_texts(spark: SparkSession, d: str) -> DataFrame:
+    """F16: texts in which a name of another region begins a word; a name's region is its length's remainder."""
+    roots = _benchmark_roots(spark, d).withColumn("region", (F.length("city") % 3).cast("string"))
+    return towns.names_foreign_city(table(spark, d, "documents"), "doc_id", "text", roots, "0")
+
+
+_MOVE_SQL = f"""WITH {COMPANIES}, n AS (SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey % 5 <> 0 THEN r_name END AS region FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT id, companies.name, city, id % 8 AS kind, CASE id % 4 WHEN 0 THEN website WHEN 1 THEN 'https://' || lower(replace(city, '_', '')) || '.shop.ru' WHEN 2 THEN 'https://shop.ru/' || lower(city) END AS website, n.name AS said, n.region FROM companies JOIN n ON n.k = id * 7 % 25),
+x AS (SELECT id, name, city, said AS new_city, region FROM c WHERE kind NOT IN (1, 2, 6) AND said <> city AND (website IS NULL OR NOT contains(lower(website), lower(city))) AND id % 4 <> 1)"""
+
+
+@query(_MOVE_SQL + " SELECT id, CASE WHEN x.region IS NOT NULL THEN x.new_city ELSE companies.city END AS city, CASE WHEN x.region IS NOT NULL THEN x.region ELSE companies.region END AS region, CASE WHEN x.region IS NOT NULL THEN 'city_reassigned_from_' || companies.city ELSE '' END AS review_reason FROM companies LEFT JOIN x USING (id)")
+def reassigned_cities(spark: SparkSession, d: str) -> DataFrame:
+    """Companies move to the city that their address names, unless a guard keeps them."""
+    c, moves = _moves(spark, d)
+    return towns.reassigned(c.select("id", "city", "region", F.lit("").alias("review_reason")), moves)
+
+
+@query(_MOVE_SQL + " SELECT new_city AS city, count(*)::BIGINT AS n, arg_min(name, id) AS example FROM x WHERE region IS NULL GROUP BY new_city")
+def unmatched_cities(spark: SparkSession, d: str) -> DataFrame:
+    """The dead letters."""
+    return towns.unmatched_cities(_moves(spark, d)[1])
+
+
+def _moves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    geo = geography(spark, d)
+    cities = geo.select(F.col("city").alias("name"), F.when(F.col("nation_key") % 5 != 0, F.col("region")).alias("region"))
+    said = geo.select((F.col("nation_key") * 18 % 25).alias("_k"), F.col("city").alias("said"))  # 7 * 18 = 1 modulo 25
+    kind = F.col("id") % 8
+    address = F.when(kind == 1, "ул. X").when(kind == 2, F.concat(F.lit("https://map.ru/ул."), "said")).when(kind == 6, F.concat(F.lit("Office in "), "said")).otherwise(F.concat(F.lit("ул. Main 7, "), "said", F.lit(" 12")))
+    site = F.when(F.col("id") % 4 == 0, F.col("website")).when(F.col("id") % 4 == 1, F.concat(F.lit("https://"), F.lower(F.replace("city", F.lit("_"), F.lit(""))), F.lit(".shop.ru"))).when(F.col("id") % 4 == 2, F.concat(F.lit("https://shop.ru/"), F.lower("city")))
+    c = companies(spark, d).withColumn("_k", F.col("id") % 25).join(F.broadcast(said), "_k").withColumn("address", address).withColumn("website", site)
+    roots = geo.select(F.concat(F.lower("city"), F.lit(" ")).alias("root"), "city")  # one name begins another
+    return c, towns.city_moves(c, cities, roots)
+
+
 _UNESCAPED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 

@@ -40,8 +40,6 @@ def test_base_projections(spark):
 def test_files_are_bounded_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "FILE_ROWS", 10)
     df = spark.range(35).select("id", F.lit("city").alias("city"), (F.col("id") % 7).alias("score"))
-    rows = sinks._dealt(df.withColumn("_pos", F.col("id") + 1), ["city"])
-    assert rows.select("_file").distinct().count() == 4
     sinks.write_report(df, str(tmp_path / "r"))
     assert all(sum(1 for _ in open(f)) <= 10 for f in glob.glob(f"{tmp_path}/r/*.json"))
     sinks.write_registry(spark.createDataFrame([("A.ru", c) for c in "xyz"] + [("b.ru", "x")], "domain string, city string"), str(tmp_path / "reg"))

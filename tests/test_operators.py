@@ -203,8 +203,6 @@ def test_rewrites(spark):
     assert got[2].merged_into == 1 and got[3].merged_into is None and got[3].contact_count == 5
     m = spark.createDataFrame([({"a": "1"}, {"a": "2", "b": "3"}), (None, {"b": "3"})], "x map<string,string>, y map<string,string>")
     assert [r[0] for r in m.select(relations.map_fill(F.col("x"), F.col("y"))).collect()] == [{"a": "1", "b": "3"}, {"b": "3"}]
-    pairs = relations.shared_signal_pairs(spark.createDataFrame([(1, "s"), (2, "s"), (2, "s"), (3, "t"), (None, "s")] + [(i, "hub") for i in range(9)], "e long, s string"), "e", "s", 4)
-    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 1)]
 
 
 def test_quality_reports(spark):
