@@ -82,22 +82,34 @@ def reassign_primary(emails: DataFrame) -> DataFrame:
     return emails.withColumn("is_primary", F.col("is_active") & (rank == 1))
 
 
-def merge_into(companies: DataFrame, plan: DataFrame) -> DataFrame:
+def merge_into(companies: DataFrame, plan: DataFrame, contacts: bool = True, sources: bool = True, ordered: bool = False, clear_network: tuple[str, ...] = ()) -> DataFrame:
     """A new snapshot in which sources of plan (source, target) are folded into their targets. C13, C17-C19.
 
     Targets take the union of phones, emails and sources, the ids they absorbed and the sum of contact_count; sources
     stay as rows with merged_into set. Chains must be resolved by the caller; a row that is its own target is left alone.
+    Switches: contacts and sources are carried or not; ordered sorts phones and emails, else what is new comes behind;
+    clear_network takes the network flag from the "target", the "source" or both.
     """
     p = plan.where("source <> target").select(F.col("source").alias("id"), "target").distinct()
     marked = companies.drop("merged_into").join(p, "id", "left").withColumn("_to", F.coalesce("target", "id"))
     flat = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((F.col("id") != F.col("_to")).alias("o"), F.col("id").alias("i"), F.coalesce(c, F.array().cast("array<string>")).alias("v")))), lambda x: x["v"])))
     gained = marked.groupBy("_to").agg(
-        flat("phones").alias("_phones"), flat("emails").alias("_emails"), F.array_sort(flat("sources")).alias("_sources"),
+        *((F.array_sort(flat(c)) if ordered else flat(c)).alias(f"_{c}") for c in ("phones", "emails")), F.array_sort(flat("sources")).alias("_sources"),
         F.array_sort(F.collect_list(F.when(F.col("id") != F.col("_to"), F.col("id")))).alias("_absorbed"), F.sum("contact_count").alias("_contacts"),
     ).withColumnRenamed("_to", "id").withColumn("_target", F.size("_absorbed") > 0)
     out = marked.drop("_to").join(gained, "id", "left")
     own = F.coalesce("_target", F.lit(False))
     pick = lambda new, old: F.when(own, F.col(new)).otherwise(F.col(old)).alias(old)
+    if not sources:
+        out = out.withColumn("_sources", F.col("sources"))
+    if not contacts:
+        out = out.withColumn("_contacts", F.col("contact_count"))
+    if clear_network:
+        side = {"target": own, "source": F.col("target").isNotNull()}
+        cleared = F.lit(False)
+        for which in clear_network:
+            cleared = cleared | side[which]
+        out = out.withColumn("is_network", F.when(cleared, False).otherwise(F.col("is_network")))
     rest = [c for c in companies.columns if c not in ("id", "phones", "emails", "sources", "merged_from", "contact_count", "merged_into")]
     return out.select(
         "id", *rest, pick("_phones", "phones"), pick("_emails", "emails"), pick("_sources", "sources"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.operators import crm, networks, relations, sending
+from leadflow.operators import crm, networks, relations, review, sending
 from leadflow.plans.registry import COMPANIES, EVENTS, query
 from leadflow.plans.views import companies, events, last_time
 from leadflow.streaming import contacts as streams
@@ -292,3 +292,42 @@ def failed_recently(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).withColumn("domain", F.concat(F.lit("d"), (F.col("k") % 20).cast("string")))
     out = streams.failed_recently(e.where("kind = 'click'").select("domain", "at"), e.where("kind = 'error'").select("domain", F.col("at").alias("failed_at")))
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+_JUDGED_SQL = f"""WITH {COMPANIES}, v AS (SELECT id, CASE id % 7 WHEN 0 THEN 'approve' WHEN 1 THEN 'spam' WHEN 2 THEN 'duplicate' WHEN 3 THEN 'erase' END AS action, CASE WHEN id % 2 = 0 THEN 'looks bad' END AS reason, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN id ELSE id + 3 END AS target_id FROM companies WHERE id % 7 < 4),
+j AS (SELECT v.*, CASE WHEN action = 'erase' THEN 'unknown_action' WHEN action = 'spam' AND reason IS NULL THEN 'no_reason' WHEN action = 'duplicate' AND target_id IS NULL THEN 'no_target' WHEN action = 'duplicate' AND target_id NOT IN (SELECT id FROM companies) THEN 'target_missing'
+  WHEN action = 'duplicate' AND target_id = v.id THEN 'itself' WHEN action = 'duplicate' AND deleted THEN 'deleted' END AS refusal FROM v JOIN companies USING (id))"""
+
+
+def _reviews(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("id")
+    c = companies(spark, d).select("id", "segment", F.lit("open").alias("status"), F.lit(True).alias("needs_review"), F.lit("why").alias("review_reason"), F.lit(None).cast("long").alias("merged_into"), F.when(F.col("deleted"), F.lit("2020-01-01").cast("timestamp")).alias("deleted_at"))
+    action = F.when(k % 7 == 0, "approve").when(k % 7 == 1, "spam").when(k % 7 == 2, "duplicate").otherwise("erase")
+    decisions = c.where("id % 7 < 4").select("id", action.alias("action"), F.when(k % 2 == 0, "looks bad").alias("reason"), F.when(k % 5 == 1, k).when(k % 5 > 1, k + 3).alias("target_id"))
+    return c, review.judged(c, decisions)
+
+
+@query(_JUDGED_SQL + " SELECT id, action, refusal FROM j")
+def judged_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Which decisions can be carried out."""
+    return _reviews(spark, d)[1].select("id", "action", "refusal")
+
+
+@query(_JUDGED_SQL + """ SELECT c.id, CASE WHEN a = 'spam' THEN 'spam' ELSE segment END AS segment, CASE WHEN a = 'spam' THEN 'spam' ELSE 'open' END AS status, a IS NULL AS needs_review, CASE WHEN a = 'duplicate' THEN target_id END AS merged_into, coalesce(a IN ('spam', 'duplicate'), FALSE) OR deleted AS gone,
+CASE a WHEN 'approve' THEN '' WHEN 'spam' THEN 'mark-spam:' || reason || ':prev_segment=' || segment WHEN 'duplicate' THEN 'duplicate_of:' || target_id ELSE 'why' END AS review_reason FROM (SELECT companies.*, j.action AS a, j.reason, j.target_id FROM companies LEFT JOIN j ON j.id = companies.id AND j.refusal IS NULL) c""")
+def reviewed_companies(spark: SparkSession, d: str) -> DataFrame:
+    """Companies after the decisions."""
+    c, verdicts = _reviews(spark, d)
+    out = review.reviewed(c, verdicts, last_time(events(spark, d), "at"))
+    return out.withColumn("gone", F.col("deleted_at").isNotNull()).drop("deleted_at")
+
+
+@query(f"""WITH {COMPANIES}, c AS (SELECT id, 'https://s' || (id % 60) || '.ru' AS website, CASE WHEN id % 60 % 4 = 0 THEN 'n' || (id % 3) ELSE 'n' END AS name, CASE WHEN id % 60 % 3 = 0 THEN city ELSE 'x' END AS city, (len(emails) > 0)::INT + (len(phones) > 0)::INT + (address <> '')::INT AS f FROM companies WHERE NOT deleted),
+g AS (SELECT website, arg_max(id, f * 100000000 - id) AS target FROM c GROUP BY website HAVING count(*) > 1 AND count(DISTINCT city) = 1 AND count(DISTINCT name) = 1)
+SELECT id AS source, target FROM c JOIN g USING (website) WHERE id <> target""")
+def single_city_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Which companies of one site, city and name go into which."""
+    k = F.col("id") % 60
+    c = companies(spark, d).withColumn("website", F.concat(F.lit("https://s"), k.cast("string"), F.lit(".ru"))).withColumn("name", F.when(k % 4 == 0, F.concat(F.lit("n"), (F.col("id") % 3).cast("string"))).otherwise("n"))
+    c = c.withColumn("city", F.when(k % 3 == 0, F.col("city")).otherwise("x")).withColumn("deleted_at", F.when(F.col("deleted"), F.lit("x"))).withColumn("merged_into", F.lit(None).cast("long"))
+    return review.single_city_plan(c)

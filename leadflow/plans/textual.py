@@ -11,7 +11,7 @@ from leadflow.functions import html as pages_of
 from leadflow.functions import names, phones, urls
 from leadflow.functions.templates import render
 from leadflow.functions.values import AGGREGATOR_NAMES, CMS_GENERATORS, CMS_MARKS, FAKE_EMAIL_LOCALS, FAKE_EMAIL_TLDS, FREE_EMAIL_DOMAINS, NON_NETWORK_DOMAINS, SEO_PHRASES, SPAM_DOMAINS
-from leadflow.operators import networks, quality, resolution, scoring, stats
+from leadflow.operators import networks, quality, resolution, review, scoring, stats
 from leadflow.plans.registry import COMPANIES, query
 from leadflow.plans.relational import _DOMAIN_SQL, _HOST_SQL
 from leadflow.plans.views import companies, geography, line_signals, sites, table
@@ -353,3 +353,18 @@ def landed_cards(spark: SparkSession, d: str) -> DataFrame:
     """SRC8, SRC9: list items and articles of pages as cards, named by their link or heading."""
     rules = CardRules(card=(Pick("li"), Pick("article")), name=(Pick("a"), Pick("h1")))
     return landed_card_rows(table(spark, d, "pages"), "page_id", "html", rules).groupBy("page_id", "name", "source_url").agg(F.count("*").alias("n"))
+
+
+_BAD_SITES = ("site5.ru", "site8.com", "site40.net")
+_REPAIR_SQL = _NET_SQL.replace("FROM companies WHERE NOT deleted)", f"FROM companies WHERE NOT deleted AND NOT coalesce(website IS NOT NULL AND regexp_extract({_DOMAIN_SQL}, '([^.]+\\.[^.]+)$', 1) IN ({_in(_BAD_SITES)}), FALSE))", 1)
+
+
+@query(f"""WITH {_REPAIR_SQL}, b AS (SELECT * EXCLUDE (is_network), coalesce(website IS NOT NULL AND regexp_extract({_DOMAIN_SQL}, '([^.]+\\.[^.]+)$', 1) IN ({_in(_BAD_SITES)}), FALSE) AS bad, id IN (SELECT id FROM mem) AS is_network FROM companies),
+s AS (SELECT id, bad, is_network, CASE WHEN bad THEN 0 ELSE greatest(0, {_SCORE_SQL}) END::BIGINT AS score FROM b)
+SELECT id, is_network, score, CASE WHEN bad OR score = 0 THEN 'spam' WHEN score >= 40 THEN 'A' WHEN score >= 25 THEN 'B' WHEN score >= 15 THEN 'C' ELSE 'D' END AS segment, bad AS spam FROM s""")
+def repaired_companies(spark: SparkSession, d: str) -> DataFrame:
+    """Spam sites, networks and scores, one after the other."""
+    c = companies(spark, d).withColumn("deleted_at", F.when(F.col("deleted"), F.lit("x"))).withColumn("status", F.lit("open")).withColumn("needs_review", F.lit(False)).withColumn("review_reason", F.lit(""))
+    subdomains = tuple(f"s{i}.{x}" for x in _BAD_SITES for i in range(3))  # sites of the view lie below their base domain
+    out = review.repaired(c, domains=(*_BAD_SITES, *subdomains))
+    return out.select("id", "is_network", "score", "segment", (F.col("status") == "spam").alias("spam"))
