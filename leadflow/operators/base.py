@@ -6,10 +6,11 @@ one to one, so the three are joined on one key and a partitioning by it serves a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.operators.campaigns import WENT_OUT
+from leadflow.plans.ordered import placed
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -104,15 +105,16 @@ def trust_stats(enriched: DataFrame) -> list[Column]:
 
 
 def network_detail(networks: DataFrame, members: DataFrame, companies: DataFrame, logs: DataFrame, most_cities: int = 10) -> DataFrame:
-    """Networks (base_domain, emails, ...) with their live companies, top cities and what was sent to their addresses. N4, J3.
+    """Networks (base_domain, emails, ...) with the number of their live companies, their top cities and what was sent to their addresses. N4, J3.
 
-    members: key, id. A network's companies and cities are its detail, so they are gathered in a row; how many rows a
-    network has is bounded by its size alone, and counts come first so that only one row a city is gathered.
+    members: key, id. Companies and cities are counted, and only the top cities of a network are gathered; its companies
+    stay rows: see network_companies.
     """
     j = members.join(live(companies), "id")
-    each = j.groupBy("key").agg(F.count("*").alias("live_count"), F.array_sort(F.collect_list(F.struct("id", "name", "city", F.coalesce("score", F.lit(0)).alias("score")))).alias("companies"))
-    cities = j.where(F.coalesce("city", F.lit("")) != "").groupBy("key", "city").agg(F.count("*").alias("n")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "city"))).alias("c"))
-    top = cities.select("key", F.transform(F.slice("c", 1, most_cities), lambda x: F.struct(x["city"].alias("name"), (-x["m"]).alias("count"))).alias("top_cities"))
+    each = j.groupBy("key").agg(F.count("*").alias("live_count"))
+    cities = j.where(F.coalesce("city", F.lit("")) != "").groupBy("key", "city").agg(F.count("*").alias("n"))
+    first = cities.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "city"))).where(F.col("_r") <= most_cities)
+    top = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_r", "city", "n"))).alias("c")).select("key", F.transform("c", lambda x: F.struct(x["city"].alias("name"), x["n"].alias("count"))).alias("top_cities"))
     sent = logs.where(F.col("status").isin(*WENT_OUT)).groupBy(F.lower("email").alias("e")).agg(F.count("*").alias("n"))
     mailed = networks.select("base_domain", F.explode("emails").alias("e")).withColumn("e", F.lower("e")).join(sent, "e").groupBy("base_domain").agg(F.sum("n").alias("sent_count"))
     out = networks.join(each.withColumnRenamed("key", "base_domain"), "base_domain", "left").join(top.withColumnRenamed("key", "base_domain"), "base_domain", "left").join(mailed, "base_domain", "left")
@@ -120,6 +122,13 @@ def network_detail(networks: DataFrame, members: DataFrame, companies: DataFrame
     return out.withColumn("primary_email", F.get("emails", F.lit(0))).withColumn("group_id", F.concat(F.lit("website:"), "base_domain"))
 
 
+def network_companies(members: DataFrame, companies: DataFrame, page: int | None = None, per_page: int = 50) -> DataFrame:
+    """(key, pos, id, name, city, score) of the live companies of networks by id, all of them or one page of each. N4."""
+    own = members.join(live(companies), "id").select("key", "id", "name", "city", F.coalesce("score", F.lit(0)).alias("score"))
+    out = placed(own, ["key"], ["id"])
+    return out if page is None else out.where(F.col("pos").between((page - 1) * per_page + 1, page * per_page))
+
+
 def allowed_categories(categories: Column, allowed: tuple[str, ...], default: str) -> Column:
     """The allowed ones of an array, in its order; the default where none is, or nothing was asked for. F18."""
     kept = F.filter(F.coalesce(categories, F.array().cast("array<string>")), lambda c: c.isin(*allowed))
