@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +31,48 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/leadflow-{spark.sparkContext.applicationId}"
 
 
+#: Lists that note the tables being cut, the innermost last.
+_noting: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: ends the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    for made in _noting:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all that `cut` wrote in this application; results that still read it must have been written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The tables that are cut inside, as a list for `drop_tables`."""
+    made: list[str] = []
+    _noting.append(made)
+    try:
+        yield made
+    finally:
+        _noting.pop()
+
+
+def drop_tables(made: list[str], keep: DataFrame) -> None:
+    """Delete noted tables that keep does not read, and take them off the list."""
+    if made:
+        read = keep.inputFiles()
+        for path in [p for p in made if not any(os.path.basename(p) in f for f in read)]:
+            _delete(keep.sparkSession, path)
+            made.remove(path)
 
 
 #: Items that a sketch of frequent keys tracks: it misses no key that holds over 1 / SHARES of the rows.

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from leadflow.operators import base, relations
-from leadflow.plans.lineage import cut, forget, shared_dir, skew_join
+from leadflow.plans.lineage import cut, drop_tables, forget, noted, shared_dir, skew_join
 from leadflow.sources import sinks
 from leadflow.streaming.progress import Progress
 
@@ -67,3 +67,14 @@ def test_forget_deletes_what_was_cut(spark):
     assert glob.glob(f"{at}/*.parquet")
     forget(spark)
     assert not glob.glob(f"{at}/*")
+
+
+def test_noted_tables_are_dropped_but_for_those_that_are_read(spark):
+    outside = cut(spark.range(2))
+    with noted() as made:
+        one, two = cut(spark.range(3)), cut(spark.range(4))
+    assert len(made) == 2
+    kept = two.where("id > 0")
+    drop_tables(made, kept)
+    assert kept.count() == 3 and outside.count() == 2 and len(made) == 1
+    assert not glob.glob(one.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
