@@ -9,6 +9,9 @@ the order of the stage before.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.llm.common import cut, table
@@ -17,6 +20,7 @@ from leadflow.llm.ngram_join import keep_one
 from leadflow.llm.packing import best_fit_packing
 from leadflow.llm.pii import mask_pii
 from leadflow.llm.toxicity import drop_toxic
+from leadflow.plans.lineage import drop_tables, noted
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +43,31 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return best_fit_packing(docs, stored=True)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables in the shared folder that the last stage cut and its result may still read.
+_made: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """stage, after the tables of the stage before it have gone: that one's result is written by then, or docs reads them still."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(_made, keep=docs)
+        with noted() as made:
+            out = stage(spark, docs, sf_dir)
+        _made.extend(made)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", toxicity_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("pii", pii_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
+    ("toxicity", _tidy(toxicity_stage)),
+    ("near_duplicates", _tidy(near_duplicate_stage)),
+    ("pii", _tidy(pii_stage)),
+    ("mixing", _tidy(mixing_stage)),
+    ("packing", _tidy(packing_stage)),
 ]
 
 #: Learned scores and bin packing have no SQL form; tests hold the stages against plain versions.
