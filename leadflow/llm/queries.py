@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadflow.llm.clusters import clusters
-from leadflow.llm.common import table
+from leadflow.llm.common import cut, table
 from leadflow.llm.graph_search import nearest_neighbours
 from leadflow.llm.hard_negatives import hard_negatives
 from leadflow.llm.mixing import schedule
@@ -20,11 +20,15 @@ from leadflow.llm.secrets import secrets
 from leadflow.llm.topk import top_k
 from leadflow.llm.toxicity import toxicity
 from leadflow.llm.url_filter import url_filter
+from leadflow.plans.lineage import drop_tables, noted
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return best_fit_packing(docs, members=ngram_join(docs))
+    with noted() as made:
+        members = cut(ngram_join(docs).select("doc_id", "component_id"))
+    drop_tables(made, keep=members)
+    return best_fit_packing(docs, members=members)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
