@@ -201,5 +201,6 @@ def failed_recently(attempts: DataFrame, failures: DataFrame, ttl_seconds: int =
     rows = row(attempts, "at", True).unionByName(row(failures, "failed_at", False)).unionByName(row(last, "failed_at", False, 1))
     before = Window.partitionBy("domain", "_slice").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     failed = F.max(F.when(~F.col("_asked"), F.col("at"))).over(before)
-    skip = F.coalesce(F.unix_timestamp("at") - F.unix_timestamp(failed) < ttl_seconds, F.lit(False)) & F.col("domain").isNotNull()
+    back = F.unix_micros("at") - F.unix_micros(failed)  # whole seconds would lose what is less than one short of the TTL
+    skip = F.coalesce(back < ttl_seconds * 1_000_000, F.lit(False)) & F.col("domain").isNotNull()
     return rows.withColumn("skip", skip).where("_asked").dropDuplicates(["domain", "_slice", "at"]).select("domain", "at", "skip")

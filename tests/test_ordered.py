@@ -132,6 +132,15 @@ def test_recent_failures_as_of_each_attempt(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_recent_failures_count_parts_of_a_second(spark):
+    at = lambda micros: T0 + timedelta(microseconds=micros)
+    ttl = 600_000_000
+    failures = [(d, at(900_000)) for d in "abc"]
+    attempts = [("a", at(900_000 + ttl - 1)), ("b", at(900_000 + ttl)), ("c", at(899_999))]
+    got = streams.failed_recently(spark.createDataFrame(attempts, "domain string, at timestamp"), spark.createDataFrame(failures, "domain string, failed_at timestamp"), 600)
+    assert {r.domain: r.skip for r in got.collect()} == {"a": True, "b": False, "c": False}
+
+
 def _stream(spark, rows, schema, path, parts):
     """rows as a stream of one file a batch, in the order given."""
     df = spark.createDataFrame(rows, schema)
