@@ -105,13 +105,15 @@ def trust_stats(enriched: DataFrame) -> list[Column]:
 
 
 def network_detail(networks: DataFrame, members: DataFrame, companies: DataFrame, logs: DataFrame, most_cities: int = 10) -> DataFrame:
-    """Networks (base_domain, emails, ...) with the number of their live companies, their top cities and what was sent to their addresses. N4, J3.
+    """Networks (base_domain, emails, ...) with their live companies, their number, top cities and what was sent to their addresses. N4, J3.
 
-    members: key, id. Companies and cities are counted, and only the top cities of a network are gathered; its companies
-    stay rows: see network_companies.
+    members: key, id. A network's companies are its detail: `companies` has them by id, `ids` the ids alone; what a query
+    does not ask for is not gathered. Cities are counted first, and only the top ones are gathered. Where a network is
+    too large for a row, network_companies has its companies as rows and pages.
     """
     j = members.join(live(companies), "id")
-    each = j.groupBy("key").agg(F.count("*").alias("live_count"))
+    one = F.struct("id", "name", "city", F.coalesce("score", F.lit(0)).alias("score"))
+    each = j.groupBy("key").agg(F.count("*").alias("live_count"), F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_list(one)).alias("companies"))
     cities = j.where(F.coalesce("city", F.lit("")) != "").groupBy("key", "city").agg(F.count("*").alias("n"))
     first = cities.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "city"))).where(F.col("_r") <= most_cities)
     top = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_r", "city", "n"))).alias("c")).select("key", F.transform("c", lambda x: F.struct(x["city"].alias("name"), x["n"].alias("count"))).alias("top_cities"))

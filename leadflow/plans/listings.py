@@ -142,7 +142,7 @@ n AS (SELECT 'site' || (id % 97) || '.ru' AS base_domain, array_agg(DISTINCT 'in
 l AS (SELECT emails[1] AS e, count(*) AS k FROM companies WHERE id % 9 = 1 AND len(emails) > 0 GROUP BY ALL),
 c AS (SELECT base_domain, city, count(*) AS k FROM m GROUP BY ALL), t AS (SELECT base_domain, string_agg(city || ':' || k, ',' ORDER BY k DESC, city) AS top_cities FROM (SELECT *, row_number() OVER (PARTITION BY base_domain ORDER BY k DESC, city) AS r FROM c) WHERE r <= 10 GROUP BY base_domain),
 x AS (SELECT base_domain, coalesce(sum(k), 0)::BIGINT AS sent_count FROM (SELECT base_domain, unnest(mails) AS e FROM n) LEFT JOIN l USING (e) GROUP BY base_domain)
-SELECT n.base_domain, count(m.id)::BIGINT AS live_count, any_value(top_cities) AS top_cities, any_value(sent_count) AS sent_count, CASE WHEN any_value(sent_count) > 0 THEN 'sent' ELSE 'none' END AS contact_status
+SELECT n.base_domain, count(m.id)::BIGINT AS live_count, string_agg(m.id::VARCHAR, ',' ORDER BY m.id) AS ids, any_value(top_cities) AS top_cities, any_value(sent_count) AS sent_count, CASE WHEN any_value(sent_count) > 0 THEN 'sent' ELSE 'none' END AS contact_status
 FROM n LEFT JOIN m USING (base_domain) LEFT JOIN t USING (base_domain) JOIN x USING (base_domain) GROUP BY n.base_domain""")
 def network_details(spark: SparkSession, d: str) -> DataFrame:
     """N4, J3."""
@@ -152,8 +152,8 @@ def network_details(spark: SparkSession, d: str) -> DataFrame:
     nets = own.groupBy(key.alias("base_domain")).agg(F.collect_set(F.concat(F.lit("info"), s(F.col("id") % 50), F.lit("@site"), s(F.col("id") % 97), F.lit(".ru"))).alias("emails"))
     logs = c.where("id % 9 = 1 and size(emails) > 0").select(F.get("emails", F.lit(0)).alias("email"), F.lit("sent").alias("status"))
     out = base.network_detail(nets, own.select(key.alias("key"), "id"), c, logs)
-    top = F.array_join(F.transform("top_cities", lambda x: F.concat_ws(":", x["name"], s(x["count"]))), ",")
-    return out.select("base_domain", "live_count", top.alias("top_cities"), "sent_count", "contact_status")
+    ids, top = F.array_join(F.transform("ids", s), ","), F.array_join(F.transform("top_cities", lambda x: F.concat_ws(":", x["name"], s(x["count"]))), ",")
+    return out.select("base_domain", "live_count", ids.alias("ids"), top.alias("top_cities"), "sent_count", "contact_status")
 
 
 @query(f"""WITH {COMPANIES} SELECT * FROM (SELECT 'site' || (id % 97) || '.ru' AS key, id, name, city, score, row_number() OVER (PARTITION BY id % 97 ORDER BY id) AS pos FROM companies WHERE website IS NOT NULL AND NOT deleted) WHERE pos BETWEEN 4 AND 6""")

@@ -37,6 +37,18 @@ def test_base_projections(spark):
     assert [r.source for r in base.active_sources(off, ("c", "b", "a")).collect()] == ["c", "a"]
 
 
+def test_network_details_hold_every_company(spark):
+    c = spark.createDataFrame([(i, f"n{i}", f"c{i % 12}", None if i % 2 else i, "x" if i == 5 else None) for i in range(40)], "id long, name string, city string, score long, deleted_at string")
+    nets = spark.createDataFrame([("a", ["m@a"]), ("b", [])], "base_domain string, emails array<string>")
+    members = c.select(F.lit("a").alias("key"), "id").repartition(4)
+    logs = spark.createDataFrame([("M@a", "sent")], "email string, status string")
+    got = {r.base_domain: r for r in base.network_detail(nets, members, c, logs).collect()}
+    live = [i for i in range(40) if i != 5]
+    assert got["a"].live_count == 39 and got["a"].ids == live and got["b"].ids is None and got["b"].live_count == 0
+    assert [tuple(x) for x in got["a"].companies] == [(i, f"n{i}", f"c{i % 12}", 0 if i % 2 else i) for i in live]
+    assert len(got["a"].top_cities) == 10 and got["a"].sent_count == 1
+
+
 def test_files_are_bounded_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "FILE_ROWS", 10)
     df = spark.range(35).select("id", F.lit("city").alias("city"), (F.col("id") % 7).alias("score"))
