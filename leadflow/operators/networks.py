@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions.phones import DEFAULT, PhoneRules, normalize_phones
 from leadflow.functions.urls import base_domain, extract_domain
 from leadflow.functions.values import FREE_EMAIL_DOMAINS, NON_NETWORK_DOMAINS, SPAM_DOMAINS
-from leadflow.plans.lineage import skew_join
+from leadflow.plans.lineage import cut, skew_join
 
 _NONE = "array<string>"
 
@@ -63,15 +65,18 @@ def assign_networks(companies: DataFrame, members: DataFrame) -> DataFrame:
     return companies.drop("network_key", "is_network").join(own, "id", "left").withColumn("is_network", F.col("network_key").isNotNull())
 
 
-def shared_emails(live: DataFrame, members: DataFrame) -> DataFrame:
+def shared_emails(live: DataFrame, members: DataFrame, shown: Callable[[Column], Column] = lambda emails: emails) -> DataFrame:
     """(id, emails): each member's addresses with all those of its networks, sorted. N2.
 
-    A network's addresses are gathered once, as one array a network, and members meet the array, not its elements.
+    Members of the same networks share one list: it is made, and brought into the form in which it is shown, once for
+    each set of networks, not once a member. Lists are shuffled once, and again only for parts of a hot set; a member
+    moves as its id and its set. Only the result, as many rows as members with a list each, is as long as it must be.
     """
+    own = cut(members.groupBy("id").agg(F.to_json(F.array_sort(F.collect_set("key"))).alias("set")))
     every = members.join(live.select("id", F.explode("emails").alias("e")), "id").select("key", "e").distinct()
-    arrays = every.groupBy("key").agg(F.collect_set("e").alias("es"))
-    own = skew_join(members, arrays, "key", "id").groupBy("id").agg(F.collect_list("es").alias("a"))
-    return own.select("id", F.array_sort(F.array_distinct(F.flatten("a"))).alias("emails"))
+    sets = own.select("set").distinct().select("set", F.explode(F.from_json("set", _NONE)).alias("key"))
+    lists = sets.join(every, "key").select("set", "e").distinct().groupBy("set").agg(F.array_sort(F.collect_list("e")).alias("emails"))
+    return skew_join(own, lists.select("set", shown(F.col("emails")).alias("emails")), "set", "id").select("id", "emails")
 
 
 def candidate_groups(live: DataFrame, least_companies: int = 3, least_cities: int = 3, **lists: tuple[str, ...]) -> DataFrame:

@@ -118,6 +118,20 @@ def test_networks(spark):
     assert {r.id: r.emails for r in networks.shared_emails(live, m).collect()} == {1: ["a@n.ru", "b@n.ru"], 2: ["a@n.ru", "b@n.ru"]}
 
 
+def test_members_meet_one_list_a_set_of_networks(spark):
+    live = spark.range(600).selectExpr("id", "case when id = 3 then array() else array(concat('u', id, '@x.ru')) end as emails")
+    m = spark.range(600).selectExpr("explode(array('a', if(id % 2 = 0, 'b', 'a'))) as key", "id").distinct().where("id <> 1").union(spark.createDataFrame([("none", 3)], "key string, id long"))
+    m = m.where("id <> 3 or key = 'none'")
+    seen = spark.sparkContext.accumulator(0)
+    got = networks.shared_emails(live, m).collect()
+    every = sorted(f"u{i}@x.ru" for i in range(600) if i not in (1, 3))
+    assert len(got) == 598 and all(r.emails == every for r in got)
+    # a list is made once for each of the two sets of networks, not once a member
+    count = F.udf(lambda e: (seen.add(1), ",".join(e))[1], "string").asNondeterministic()
+    rows = networks.shared_emails(live, m, count).collect()
+    assert {r.emails for r in rows} == {",".join(every)} and len(rows) == 598 and seen.value <= 8
+
+
 def test_network_types(spark):
     df = spark.createDataFrame([(1, 0, 0), (3, 3, 3), (3, 2, 3), (3, 1, 3), (0, 0, 0)], "c int, t int, n int")
     got = [r[0] for r in df.select(networks.network_type(F.col("c"), F.col("t"), F.col("n"))).collect()]
