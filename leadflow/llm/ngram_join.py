@@ -143,7 +143,7 @@ def _needed(s: Column, percent: int) -> Column:
 
 def _ends(docs: DataFrame, pairs: DataFrame, size: int, repeated: bool) -> DataFrame:
     """hashed_sets of the ends of pairs as a written table; only texts that a bitmap of the ends marks are hashed."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     wanted = may_contain(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", membership(ids, "doc_id")).where("_maybe")
     sets = cut(hashed_sets(wanted, size))
     return cut(sets.dropDuplicates(["doc_id", "s"])) if repeated else sets
@@ -154,7 +154,7 @@ def _with_ends(ends: DataFrame, pairs: DataFrame, c: str, a: str, b: str, hot: D
 
     def side(end: str, name: str) -> DataFrame:
         own = ends.select(F.col("doc_id").alias(end), F.col(c).alias(name))
-        return may_contain(own, end, membership(pairs.select(end).distinct(), end)).where("_maybe").drop("_maybe")
+        return may_contain(own, end, membership(pairs.select(end), end)).where("_maybe").drop("_maybe")
 
     met = pairs.join(side("b", b), "b")
     return met.join(side("a", a), "a") if hot is None else skew_join(met, side("a", a), "a", "b", hot=hot)

@@ -1,12 +1,13 @@
 """Base relation, dealt joins, sinks and progress on small relations."""
 
 import glob
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from leadflow.operators import base, relations
-from leadflow.plans.lineage import cut, drop_tables, forget, noted, shared_dir, skew_join
+from leadflow.plans.lineage import CLEANUP, cut, drop_tables, forget, noted, shared_dir, skew_join
 from leadflow.sources import sinks
 from leadflow.streaming.progress import Progress
 
@@ -37,6 +38,21 @@ def test_base_projections(spark):
     assert [r.source for r in base.active_sources(off, ("c", "b", "a")).collect()] == ["c", "a"]
 
 
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_(\d+)_", blocks.getAllBlocks().mkString(" ")))
+    before, set_to = shuffles(), spark.conf.get(CLEANUP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n"))
+    assert cut(df).count() == 10 and df.count() == 10 and cut(df).count() == 10
+    assert spark.conf.get(CLEANUP, None) == set_to
+    written = cut(df.repartition(3))
+    for _ in range(50):
+        if len(shuffles() - before) <= 4:  # what count() made stays until the driver's garbage is collected
+            break
+        time.sleep(0.1)
+    assert len(shuffles() - before) <= 4 and written.count() == 10
+
+
 def test_network_details_hold_every_company(spark):
     c = spark.createDataFrame([(i, f"n{i}", f"c{i % 12}", None if i % 2 else i, "x" if i == 5 else None) for i in range(40)], "id long, name string, city string, score long, deleted_at string")
     nets = spark.createDataFrame([("a", ["m@a"]), ("b", [])], "base_domain string, emails array<string>")
