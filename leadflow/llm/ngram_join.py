@@ -29,15 +29,16 @@ ngram_join and kept by keep_one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadflow.llm.common import cut, in_arrow, may_contain, membership, pieces, unused
-from leadflow.llm.shingles import mix, shingles_of, word_hashes
+from leadflow.llm.shingles import mix, shingle_sets
 from leadflow.operators.components import connected_components
 from leadflow.plans.lineage import SHARES, hot_keys, skew_join
 
@@ -53,60 +54,73 @@ SMALL = 16
 STRANGER = 0.4
 
 
+def _bytes(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def sketch(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     """Counts of all documents' distinct shingles by hash slot."""
+    n_slots, width = 1 << SKETCH_BITS, 1 << (SKETCH_BITS - 8)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
-
-        def add() -> None:
-            nonlocal held, n
-            if held:
-                total[:] += np.bincount(np.concatenate(held), minlength=len(total))
-            held, n = [], 0
+    def rows(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["part", "counts"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_slots, np.int64)
         for b in pieces(batches):
-            for w in word_hashes(b.column(0).to_pylist()):
-                held.append((shingles_of(w, size) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                n += len(held[-1])
-                if n > 1 << 20:
-                    add()
-        add()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
-
-    got = in_arrow(docs.select("text"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+            for s, _, _ in shingle_sets(_bytes(b.column(0)), size):
+                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        yield rows({i: total[i * width : (i + 1) * width] for i in range(n_slots // width) if total[i * width : (i + 1) * width].any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                totals[i] = totals.get(i, 0) + np.frombuffer(x, np.int64)
+        yield rows(totals)
+
+    kind = "part int, counts binary"
+    counted = in_arrow(docs.select("text"), count, kind)
+    got = in_arrow(counted.repartition("part"), add, kind).toArrow()
+    out = np.zeros(n_slots, np.int64)
+    for i, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        out[i * width : (i + 1) * width] = np.frombuffer(x, np.int64)
     return out
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, signature (s1, s2) and prefix in rare-first order, for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def _sums(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of stretches of x, modulo 2**64."""
+    return np.diff(np.append(np.zeros(1, np.uint64), np.cumsum(x))[cuts])
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, size: int = SIZE, percent: int = PERCENT, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n, signature (s1, s2), prefix in rare-first order and words, for each row of docs, with its carried columns."""
+    rank = np.empty(len(counts), np.int64)  # a shingle's first bits become its slot's place by count, so that shingles ascend from the rare ones
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    own = docs.select(F.col("doc_id").cast("long"), "text", *carried)
+    kind = T.StructType([*T.StructType.fromDDL("doc_id long, n int, s1 long, s2 long, prefix array<long>, words long").fields, *(own.schema[c] for c in carried)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            n, s1, s2, prefix = [], [], [], []
-            for w in word_hashes(b.column(1).to_pylist()):
-                s = shingles_of(w, size)
-                n.append(len(s))
-                s1.append(mix(s + np.uint64(1)).sum().astype(np.int64))
-                s2.append(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64))
-                order = np.lexsort((s, shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                prefix.append(s[order[:keep]].astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(prefix, pa.int64())],
-                ["doc_id", "n", "s1", "s2", "prefix"],
-            )
+            n, s1, s2, prefix, kept, words = [], [], [], [], [], []
+            for s, cuts, k in shingle_sets(_bytes(b.column(1)), size, shared.value):
+                m = np.diff(cuts)
+                n.append(m)
+                words.append(k)
+                s1.append(_sums(mix(s + np.uint64(1)), cuts))
+                s2.append(_sums(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), cuts))
+                kept.append(np.where(m > 0, m - (percent * m + 99) // 100 + 1, 0))
+                prefix.append(s[np.arange(len(s)) - np.repeat(cuts[:-1], m) < np.repeat(kept[-1], m)])
+            n, words, kept, s1, s2, prefix = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n, words, kept, s1, s2, prefix))
+            made = [pa.array(n.astype(np.int32)), pa.array(s1.astype(np.int64)), pa.array(s2.astype(np.int64)), _cut_lists(prefix.astype(np.int64), kept), pa.array(words.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made, *(b.column(2 + i) for i in range(len(carried)))], kind.names)
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n int, s1 long, s2 long, prefix array<long>")
+    return in_arrow(own, run, kind)
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), kind))
+def _cut_lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
 
 
 def hashed_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -116,14 +130,20 @@ def hashed_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     The difference of two sets' counts is a lower bound of their Hamming distance; counts stop at 127, which keeps it one.
     """
 
-    def count(s: np.ndarray) -> np.ndarray:
-        bits = max(1, (len(s) - 1).bit_length())
-        return np.minimum(np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 127).astype(np.int8)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            sets = [shingles_of(w, size) for w in word_hashes(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([s.astype(np.int64) for s in sets], pa.int64()), _lists([count(s) for s in sets], pa.int8())], ["doc_id", "s", "c"])
+            sets, n, counts, parts = [], [], [], []
+            for s, cuts, _ in shingle_sets(_bytes(b.column(1)), size):
+                m = np.diff(cuts)
+                bits = np.array([max(1, (int(x) - 1).bit_length()) for x in m])
+                first = np.append(0, np.cumsum(1 << bits))
+                part = (mix(s) >> np.repeat((64 - bits).astype(np.uint64), m)).astype(np.int64) + np.repeat(first[:-1], m)
+                sets.append(s)
+                n.append(m)
+                parts.append(1 << bits)
+                counts.append(np.minimum(np.bincount(part, minlength=first[-1]), 127).astype(np.int8))
+            sets, n, counts, parts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sets, n, counts, parts))
+            yield pa.RecordBatch.from_arrays([b.column(0), _cut_lists(sets.astype(np.int64), n), _cut_lists(counts.astype(np.int8), parts)], ["doc_id", "s", "c"])
 
     return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, s array<long>, c array<byte>")
 
@@ -160,18 +180,29 @@ def _with_ends(ends: DataFrame, pairs: DataFrame, c: str, a: str, b: str, hot: D
     return met.join(side("a", a), "a") if hot is None else skew_join(met, side("a", a), "a", "b", hot=hot)
 
 
-def _folded(x: str, y: str) -> Column:
-    """Counts x summed up to as many parts as y has, where y has fewer."""
-    r = F.greatest(F.lit(1), F.floor(F.size(x) / F.size(y))).cast("int")
-    fewer = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / r).cast("int") - 1), lambda i: F.aggregate(F.slice(x, i * r + 1, r), F.lit(0), lambda s, v: s + v.cast("int")))
-    return F.when(r == 1, F.transform(x, lambda v: v.cast("int"))).otherwise(fewer)
+def _far(x: np.ndarray, y: np.ndarray) -> int:
+    """The difference of two sets' counts by part, summed up to as many parts as the one with fewer has."""
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(1)
+    return int(np.abs(np.minimum(x, 127) - np.minimum(y, 127)).sum())
 
 
 def _bounded(ends: DataFrame, pairs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """pairs with `most`: an upper bound of the shingles that their ends share (suffix filter)."""
     met = _with_ends(ends, pairs, "c", "pa", "pb", hot)
-    far = F.aggregate(F.zip_with(_folded("pa", "pb"), _folded("pb", "pa"), lambda x, y: F.abs(F.least(x, F.lit(127)) - F.least(y, F.lit(127)))), F.lit(0), lambda s, x: s + x)
-    return met.withColumn("most", F.floor((F.col("na") + F.col("nb") - far) / 2)).drop("pa", "pb")
+    rest = [c for c in met.columns if c not in ("pa", "pb")]
+    kind = T.StructType([*(met.schema[c] for c in rest), T.StructField("far", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [b.column(len(rest) + i) for i in (0, 1)]
+            (x, y), (i, j) = ([c.flatten().to_numpy().astype(np.int32) for c in sides], [np.append(0, np.cumsum(c.value_lengths().to_numpy())) for c in sides])
+            far = [_far(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]) for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(rest))), pa.array(far, pa.int64())], kind.names)
+
+    return in_arrow(met.select(*rest, "pa", "pb"), run, kind).withColumn("most", F.floor((F.col("na") + F.col("nb") - F.col("far")) / 2)).drop("far")
 
 
 def _one_way(pairs: DataFrame) -> DataFrame:
@@ -221,9 +252,9 @@ def _family_pairs(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[Da
     return pairs, sure.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs."""
-    rows = cut(prefixes(docs, sketch(docs, size), size, percent))
+def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, small: int = SMALL, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs; with carried columns, these and the row's words too."""
+    rows = cut(prefixes(docs, sketch(docs, size), size, percent, carried))
     filled = rows.where("n > 0 and doc_id is not null")
     classes = cut(filled.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("i", "token"))
@@ -273,9 +304,10 @@ def ngram_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, small:
     labels = connected_components(links.union(sure).union(last), "a", "b")
 
     component = classes.select("s1", "s2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("c"))
-    named = rows.select("doc_id", "n", "s1", "s2").join(component, ["s1", "s2", "n"], "left")
+    more = ["words", *carried] if carried else []
+    named = rows.select("doc_id", "n", "s1", "s2", *more).join(component, ["s1", "s2", "n"], "left")
     out = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("c", "doc_id")).alias("component_id")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), out)
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), out, *more)
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

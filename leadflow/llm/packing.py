@@ -162,15 +162,28 @@ def best_fit_packing(docs: DataFrame, p: PackParams = PackParams(), cluster: Col
     if members is not None:
         near = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_near"))
         rows = skew_join(rows, near, "doc_id", "place", "left").withColumn("cluster", F.coalesce("_near", "cluster")).drop("_near")
-    ordered = stored or mixture is not None
     if stored:
         rows = _stored_order(rows).withColumn("shard", F.floor(F.col("_order") / p.shard_rows).cast("int"))
     elif mixture is not None:
         shard_slots = max(1, p.shard_rows // mixture.block_rows)
         rows = with_slot(rows, mixture, "_order").withColumn("shard", F.floor(F.col("_order") / shard_slots).cast("int"))
     else:
-        n_shards = max(1, -(-docs.select("doc_id").count() // p.shard_rows))
-        rows = rows.withColumn("shard", F.pmod(F.xxhash64("place", "doc_id", "n", F.lit(p.seed)), F.lit(n_shards)).cast("int"))
+        rows = _dealt(rows, docs.select("doc_id").count(), p)
+    return _packed(rows, p, stored or mixture is not None)
+
+
+def pack_counted(rows: DataFrame, p: PackParams = PackParams()) -> DataFrame:
+    """What best_fit_packing gives, for rows whose words are counted: doc_id, n, source (string), cluster and place (a long of each row's own)."""
+    return _packed(_dealt(rows, rows.count(), p), p, False)
+
+
+def _dealt(rows: DataFrame, n: int, p: PackParams) -> DataFrame:
+    """rows with the shard to which each goes by hash; n: their number."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64("place", "doc_id", "n", F.lit(p.seed)), F.lit(max(1, -(-n // p.shard_rows)))).cast("int"))
+
+
+def _packed(rows: DataFrame, p: PackParams, ordered: bool) -> DataFrame:
+    """Each shard of rows packed for itself; ordered: by _order."""
     rows = rows.withColumn("source", F.coalesce("source", F.lit("\0")))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadflow.llm.clusters import clusters
-from leadflow.llm.common import cut, table
+from leadflow.llm.common import cut, lower_ascii, table
 from leadflow.llm.graph_search import nearest_neighbours
 from leadflow.llm.hard_negatives import hard_negatives
 from leadflow.llm.mixing import schedule
 from leadflow.llm.ngram_join import ngram_join
-from leadflow.llm.packing import best_fit_packing
+from leadflow.llm.packing import pack_counted
 from leadflow.llm.pii import pii
 from leadflow.llm.quality_mil import quality_mil
 from leadflow.llm.quality_rules import quality_rules
@@ -24,11 +25,13 @@ from leadflow.plans.lineage import drop_tables, noted
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    exact = F.when(F.col("doc_id").isNull() & (F.length("text") > 0), F.xxhash64(lower_ascii(F.col("text"))))
+    columns = F.col("source").cast("string").alias("source"), exact.alias("exact"), F.monotonically_increasing_id().alias("place")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
     with noted() as made:
-        members = cut(ngram_join(docs).select("doc_id", "component_id"))
+        members = cut(ngram_join(docs, carried=("source", "exact", "place")))
     drop_tables(made, keep=members)
-    return best_fit_packing(docs, members=members)
+    return pack_counted(members.select("doc_id", F.col("words").alias("n"), "source", F.coalesce("component_id", "exact").alias("cluster"), "place"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

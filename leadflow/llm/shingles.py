@@ -17,7 +17,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Bytes of text that are hashed at a time; one longer text is hashed alone.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,22 +33,22 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _chunk_words(raw: list[bytes], pw: np.ndarray, inv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and the text of each word."""
+    """Hashes of all words of the texts, and where those of each text begin and the last ends."""
     buf = np.frombuffer(b" ".join(raw).translate(_TABLE) + b" ", np.uint8)
     space = buf == 32
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts = np.concatenate([[0], edge]) if len(buf) and not space[0] else edge
     starts, ends = starts[0::2], starts[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * pw[: len(buf)])])
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * pw[: len(buf)], out=total[1:])
     h = (total[ends] - total[starts]) * inv[starts]
     h = mix(h + (ends - starts).astype(np.uint64) * _M2)
-    bounds = np.cumsum([len(r) + 1 for r in raw])
-    return h, np.searchsorted(bounds, starts, side="right")
+    return h, np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """For each text, the hashes of its words in order."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+def word_chunks(texts: list[str | bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts a chunk at a time, as _chunk_words has them."""
+    raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
     i = 0
     longest = max([len(r) + 1 for r in raw], default=1)
     size = max(CHUNK + longest, 2)
@@ -58,13 +58,17 @@ def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
         while j < len(raw) and (j == i or n + len(raw[j]) + 1 <= CHUNK):
             n += len(raw[j]) + 1
             j += 1
-        h, of = _chunk_words(raw[i:j], pw, inv)
-        cuts = np.searchsorted(of, np.arange(j - i + 1))
-        for k in range(j - i):
-            yield h[cuts[k] : cuts[k + 1]]
+        yield _chunk_words(raw[i:j], pw, inv)
         i = j
 
 
+def word_hashes(texts: list[str | bytes | None]) -> Iterator[np.ndarray]:
+    """For each text, the hashes of its words in order."""
+    for h, cuts in word_chunks(texts):
+        for k in range(len(cuts) - 1):
+            yield h[cuts[k] : cuts[k + 1]]
+
+
 def shingles_of(words: np.ndarray, size: int) -> np.ndarray:
     """The distinct shingle hashes of a text's word hashes, ascending; empty without words."""
     if not len(words):
@@ -79,3 +83,34 @@ def shingles_of(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         h = h * _M1 + words[k : len(words) - size + 1 + k]
     return np.unique(mix(h))
+
+
+def shingle_sets(texts: list[str | bytes | None], size: int, rank: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sets that shingles_of gives, a chunk of texts at a time: one after the other, where each begins and the last ends, and the words of each text.
+
+    rank: a permutation of 2**k numbers, which takes the place of a shingle's first k bits; sets ascend in what that gives.
+    """
+    for h, cuts in word_chunks(texts):
+        n = np.diff(cuts)
+        ahead = np.append(h, np.zeros(size - 1, np.uint64))
+        s = np.full(len(h), size, np.uint64)
+        for k in range(size):
+            s = s * _M1 + ahead[k : k + len(h)]
+        s = mix(s)
+        whole = np.ones(len(h), bool)  # shingles that end in the text in which they begin
+        last = cuts[1:, None] - np.arange(1, size)
+        whole[last[last >= cuts[:-1, None]]] = False
+        for k in np.flatnonzero((n > 0) & (n < size)):
+            s[cuts[k]] = shingles_of(h[cuts[k] : cuts[k + 1]], size)[0]
+            whole[cuts[k]] = True
+        s = s[whole]
+        if rank is not None:
+            low = np.uint64(64 - (len(rank) - 1).bit_length())
+            s = (rank[(s >> low).astype(np.int64)].astype(np.uint64) << low) | (s & ((np.uint64(1) << low) - np.uint64(1)))
+        begin = np.append(0, np.cumsum(np.where(n >= size, n - size + 1, np.minimum(n, 1))))
+        for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            s[i:j].sort()
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        new[begin[:-1][begin[:-1] < len(s)]] = True
+        yield s[new], np.append(0, np.cumsum(new))[begin], n
