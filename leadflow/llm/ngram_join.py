@@ -1,6 +1,6 @@
 """N-gram Jaccard join: documents whose sets of word shingles are at least 0.8 alike, and their components.
 
-1. A count sketch of fixed size over all shingles gives the global order: rare first, then by hash. Any total order
+1. A count sketch of fixed size over all shingles gives the global order: rare slots first, then by hash. Any total order
    is valid for prefix filtering; the sketch decides only how short the candidate lists are.
 2. Equal sets collapse to classes (128-bit signatures); each class is represented by its smallest doc_id.
 3. Each class gives its prefix (the n - ceil(0.8 n) + 1 rarest shingles) to an inverted index; shingles that only one
