@@ -4,11 +4,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from leadflow.llm import topk
+from leadflow.llm.common import cut
 from leadflow.llm.ngram_join import ngram_join
 from leadflow.llm.packing import best_fit_packing
 from leadflow.llm.queries import op1_best_fit_packing
 from leadflow.llm.shingles import shingle_sets, shingles_of, word_hashes
-from leadflow.llm.topk import BATCH, SearchParams, Shard
+from leadflow.llm.topk import BATCH, SearchParams, Shard, top_k
 
 
 def _shard(n, k, rng):
@@ -73,3 +75,37 @@ def test_the_join_carries_columns_and_counts_words(spark, tmp_path):
     plain = best_fit_packing(docs, members=ngram_join(docs).select("doc_id", "component_id"))
     left, right = (sorted(map(tuple, x.select(*(F.coalesce(F.col(c), F.lit(-1)) for c in key)).collect())) for x in (op1_best_fit_packing(spark, str(tmp_path)), plain))
     assert left == right
+
+
+def test_a_floor_leaves_out_what_cannot_reach_it_and_keeps_ties():
+    rng = np.random.default_rng(5)
+    words, shard, *_ = _shard(1500, 6, rng)
+    weight = rng.random(3001) * 3
+    for q in range(0, 1500, 75):
+        t, w = np.searchsorted(shard.words, words[q]), weight[words[q]]
+        ids, scores = shard.search(t, w)
+        for floor in (scores[2], scores[-1], scores[0] + 1):
+            got = shard.search(t, w, floor=floor)
+            assert got[0].tolist() == ids[scores >= floor].tolist() and (got[1] >= floor).all()
+
+
+def test_a_task_of_the_search_holds_a_shard_and_a_part_of_the_queries(spark):
+    """Nothing is copied or sorted for pairs of queries and shards, shards are even, and documents without a word of a query are counted only."""
+    rows = [(i, " ".join(f"w{(i * j) % 89}" for j in range(30)) if i % 3 else "" if i % 2 else f"none{i}") for i in range(1, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    p = SearchParams(k=3, segment_postings=400, shard_postings=1500)
+    asked = docs.where("doc_id % 50 = 0 and doc_id % 3 > 0")
+    segments = cut(topk._segments(docs, spark.sparkContext.broadcast(topk._vocabulary(asked)), p))
+    got = segments.agg(F.sum("docs"), F.sum(F.size("id")), F.sum("n"), F.sum(F.aggregate("size", F.lit(0), lambda a, x: a + x))).first()
+    assert got[0] == len(rows) and got[1] < len(rows) * 0.7 and got[2] == got[3]
+    shards = -(-got[2] // p.shard_postings)
+    index = topk._dealt(segments, shards)
+    held = [r["count"] for r in index.groupBy("shard").count().collect()]
+    assert shards > 5 and len(held) == shards and max(held) - min(held) <= 1
+    queries = asked.selectExpr("doc_id as query_id", "array(1L) as h", "array(1D) as w", "0D as floor")
+    plan = topk._meet(index, shards, queries, 4, 20.0, p)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "Sort" not in plan
+    assert topk._meet(index, shards, queries, 4, 20.0, p).count() == 0
+    # rounds of one, two and more shards give what one shard gives
+    one = [tuple(r) for r in top_k(docs, asked, SearchParams(k=3)).orderBy("query_id", "rank").collect()]
+    assert one == [tuple(r) for r in top_k(docs, asked, p).orderBy("query_id", "rank").collect()] and len(one) > 20
