@@ -109,3 +109,9 @@ def test_a_task_of_the_search_holds_a_shard_and_a_part_of_the_queries(spark):
     # rounds of one, two and more shards give what one shard gives
     one = [tuple(r) for r in top_k(docs, asked, SearchParams(k=3)).orderBy("query_id", "rank").collect()]
     assert one == [tuple(r) for r in top_k(docs, asked, p).orderBy("query_id", "rank").collect()] and len(one) > 20
+
+
+def test_postings_come_back_from_their_planes():
+    for kind, x in ((np.int16, [0, 1, 300, 29_999]), (np.uint16, [1, 255, 65_535]), (np.int32, [1, 70_000, 2**31 - 1]), (np.int16, [])):
+        planes = topk._planes(np.array(x, kind))
+        assert len(planes) == len(x) * np.dtype(kind).itemsize and topk._joined(planes, kind).tolist() == x
